@@ -108,10 +108,19 @@ def correlation(fact: Fact) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def statistical_report(fact: Fact, k: int = 10) -> dict[str, DataFrame]:
-    """The three statistics frames of one table."""
-    return {
-        "describe": describe_measures(fact),
-        "correlation": correlation(fact),
-        "distribution": region_record_counts(fact, fact.spec.levels[0], k),
-    }
+def statistical_report(fact: Fact, k: int = 10) -> DataFrame:
+    """Statistics, correlations and record counts of one table in long form."""
+    wide = fact.spec.levels[0]
+    described = describe_measures(fact)
+    names = [c for c in described.columns if c != "measure"]
+    stats = described.select("measure", *[F.col(c).cast("double") for c in names]).unpivot(
+        ["measure"], names, "statistic", "value"
+    )
+    parts = [
+        stats.select(F.lit("describe").alias("section"), F.col("measure").alias("item"), "statistic", "value"),
+        correlation(fact).select(F.lit("correlation"), "a", "b", "r"),
+        region_record_counts(fact, wide, k).select(
+            F.lit("distribution"), F.col(wide), F.lit("records"), F.col("n").cast("double")
+        ),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
