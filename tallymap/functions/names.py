@@ -6,7 +6,8 @@ that miss the exact lookups reach the containment search.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,17 @@ from tallymap.functions.name_tables import ALIASES, INVALID_NAMES, UNKNOWN
 
 Aliases = Sequence[tuple[str, str]]
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Fixed value: the characters that count as white space at the ends of a name.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def title_case(text: Column) -> Column:
@@ -31,34 +36,39 @@ def title_case(text: Column) -> Column:
     return F.array_join(capital, "")
 
 
+def _first_match(pairs: Aliases, condition: Callable[[str], Column]) -> Column:
+    """Official name of the first alias for which the condition holds, else NULL."""
+    return reduce(lambda case, pair: case.when(condition(pair[0]), pair[1]), pairs, F)
+
+
 def region_name(
     raw: Column,
+    cleaned: Column,
+    key: Column,
     aliases: Aliases = ALIASES,
     invalid: Iterable[str] = INVALID_NAMES,
     strict: bool = False,
 ) -> Column:
-    """Official name of a region as written in the source.
+    """Official name of a region; ``cleaned`` and ``key`` are the stripped and the lower-case name.
 
     Rules, first hit wins: missing -> Unknown; a known wrong entry or a number
     -> Unknown; exact alias; first alias (in table order) that contains the
     name or is contained in it; else the name in title case.  ``strict`` turns
     blank names into Unknown and leaves out the containment rule.
     """
-    cleaned = strip(raw)
-    value = F.lower(cleaned)
-    lookup = F.create_map(*[F.lit(x) for pair in aliases for x in pair])
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in aliases])
-    nearest = F.get(
-        F.filter(table, lambda e: F.contains(value, e["k"]) | F.contains(e["k"], value)), F.lit(0)
-    )["name"]
-
-    unknown = raw.isNull() | ((value if strict else raw) == "")
-    result = F.when(unknown | value.isin(*invalid) | value.rlike(r"^\p{Nd}+$"), F.lit(UNKNOWN))
-    exact = F.try_element_at(lookup, value)
-    result = result.when(exact.isNotNull(), exact)
-    if strict:
-        return result.otherwise(title_case(cleaned))
-    return result.otherwise(F.coalesce(nearest, title_case(cleaned)))
+    names = dict(aliases)
+    wrong = set(invalid)
+    # Most rows carry an official name already; one hash lookup settles them.
+    official = [n for n in dict.fromkeys(names.values()) if names.get(n.lower()) == n and n.lower() not in wrong]
+    exact = _first_match(aliases, lambda k: key == k)
+    inside = _first_match(aliases, lambda k: F.contains(key, F.lit(k)) | F.contains(F.lit(k), key))
+    unknown = raw.isNull() | ((key if strict else raw) == "") | key.isin(*wrong) | key.rlike(r"^\p{Nd}+$")
+    fallback = [title_case(cleaned)] if strict else [inside, title_case(cleaned)]
+    return (
+        F.when(raw.isin(*official), raw)
+        .when(unknown, F.lit(UNKNOWN))
+        .otherwise(F.coalesce(exact, *fallback))
+    )
 
 
 def normalize_region_name(
@@ -68,4 +78,16 @@ def normalize_region_name(
     invalid: Iterable[str] = INVALID_NAMES,
     strict: bool = False,
 ) -> DataFrame:
-    return df.withColumn(column, region_name(F.col(column), aliases, invalid, strict))
+    """Replace a name column by the official names.
+
+    The stripped and the lower-case text get columns of their own first, so the
+    rules do not repeat that work for every alias.
+    """
+    cleaned, key = f"{column}__cleaned", f"{column}__key"
+    rules = region_name(F.col(column), F.col(cleaned), F.col(key), aliases, invalid, strict)
+    return (
+        df.withColumn(cleaned, strip(F.col(column)))
+        .withColumn(key, F.lower(cleaned))
+        .withColumn(column, rules)
+        .drop(cleaned, key)
+    )

@@ -7,16 +7,19 @@ entities as scalar subqueries, so no join and no broadcast hint is needed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.util import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymap.functions.columns import total
+from tallymap.functions.shape import align
 from tallymap.operators.filters import filter_region
 from tallymap.operators.joins import entity_features
 from tallymap.operators.rollup import pincode_features
@@ -28,7 +31,7 @@ from tallymap.spec import Fact, FactSet
 HIGH, GROWING, STABLE = "High Activity", "Growing Region", "Stable Region"
 GOOD, FAIR, POOR = "Good", "Fair", "Needs Improvement"
 
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 100_000
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -45,9 +48,26 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{c}_z": scaled(c) for c in cols})
 
 
-def _best_model(points: DataFrame, k: int, seeds: Sequence[int]) -> KMeansModel:
-    """k-means has several local optima: fit once per seed, keep the tightest."""
-    fits = [KMeans(k=k, seed=s, maxIter=300, tol=1e-4).fit(points) for s in seeds]
+def _best_model(
+    points: DataFrame, k: int, seeds: Sequence[int], parallelism: int = 4
+) -> KMeansModel:
+    """k-means has several local optima: fit once per seed, keep the tightest.
+
+    A fit is a row of short jobs, so some fits run side by side.
+    """
+
+    # Stop when the squared moves of all centres add up to less than 1e-4 (unit variance data).
+    tol = (1e-4 / k) ** 0.5
+
+    def fit(seed: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, maxIter=300, tol=tol).fit(points)
+
+    points.persist()
+    try:
+        with ThreadPool(min(parallelism, len(seeds))) as pool:
+            fits = pool.map(inheritable_thread_target(points.sparkSession)(fit), seeds)
+    finally:
+        points.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -147,8 +167,17 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
 
 
+def _needed(df: DataFrame, cols: Sequence[str], cluster: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The quality measures read their input several times, so it is computed once."""
+    return stage(df.select(*keys, F.col(cluster).alias("cluster"), *cols))
+
+
 def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / centre distance; one row."""
+    return _davies_bouldin(_needed(df, cols, cluster), cols)
+
+
+def _davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
     centers = df.groupBy(cluster).agg(F.array(*[F.avg(c) for c in cols]).alias("center"))
     by_cluster = centers.agg(
         F.map_from_entries(F.collect_list(F.struct(cluster, "center"))).alias("centers")
@@ -190,12 +219,18 @@ def silhouette_samples(
     holds two blocks, and a large cluster is spread over as many blocks as it
     fills.
     """
+    return _silhouette_samples(_needed(df, cols, cluster, keys), keys, cols, block_rows)
+
+
+def _silhouette_samples(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], block_rows: int = 2000
+) -> DataFrame:
     blocks = df.agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("n")
     ).scalar()
     points = df.select(
         *keys,
-        F.col(cluster).cast("int").alias("cluster"),
+        F.col("cluster").cast("int").alias("cluster"),
         _point(cols).alias("point"),
         blocks.alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64(*keys), F.col("blocks")).cast("int"))
@@ -255,7 +290,10 @@ def silhouette(
     block_rows: int = 2000,
 ) -> DataFrame:
     """Mean silhouette; NULL unless there are at least 2 clusters and fewer than entities."""
-    samples = silhouette_samples(df, keys, cols, cluster, block_rows)
+    return _mean_silhouette(silhouette_samples(df, keys, cols, cluster, block_rows))
+
+
+def _mean_silhouette(samples: DataFrame) -> DataFrame:
     labels = F.count_distinct("cluster")
     usable = (labels >= 2) & (labels < F.count(F.lit(1)))
     return samples.agg(F.when(usable, F.avg("silhouette")).alias("silhouette"))
@@ -269,18 +307,12 @@ def cluster_quality(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """Both quality measures and the label, one row."""
-    labels = df.agg(
-        (F.count_distinct(cluster) < F.count(F.lit(1))).alias("usable")
-    )
-    scores = silhouette(df, keys, cols, cluster).withColumns(
-        {
-            "davies_bouldin": davies_bouldin(df, cols, cluster).scalar(),
-            "usable": labels.scalar(),
-        }
-    )
-    return scores.select(
+    points = _needed(df, cols, cluster, keys)
+    samples = _mean_silhouette(_silhouette_samples(points, keys, cols))
+    usable = F.col("silhouette").isNotNull()
+    return align([samples, _davies_bouldin(points, cols)]).select(
         "silhouette",
-        F.when(F.col("usable"), F.col("davies_bouldin")).alias("davies_bouldin"),
+        F.when(usable, F.col("davies_bouldin")).alias("davies_bouldin"),
         quality_label(F.col("silhouette")).alias("quality"),
     )
 

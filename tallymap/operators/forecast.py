@@ -28,7 +28,7 @@ CALENDAR = ("day_of_year", "month", "day_of_week")
 def _training_rows(df: DataFrame, key: str, blocks: int = 1) -> DataFrame:
     """Training rows in few blocks, always the same ones: a fit runs many short jobs over
     some thousand rows."""
-    return stage(df.repartition(blocks, key).sortWithinPartitions(key))
+    return stage(df.repartition(blocks, key).sortWithinPartitions(key)).coalesce(blocks)
 
 
 def _bins(n: int) -> int:
@@ -64,7 +64,7 @@ def forecast_daily(
         return future.select("date", F.lit(None).cast("bigint").alias("predicted_total")).limit(0)
     assemble = VectorAssembler(inputCols=["index"], outputCol="features")
     model = GBTRegressor(
-        maxIter=rounds, stepSize=0.1, maxDepth=3, maxBins=_bins(n), seed=seed, cacheNodeIds=False
+        maxIter=rounds, stepSize=0.1, maxDepth=3, maxBins=_bins(n), seed=seed
     ).fit(assemble.transform(rows).select("features", "label"))
     return model.transform(assemble.transform(future)).select(
         "date", trunc_long(F.col("prediction")).alias("predicted_total")
@@ -118,7 +118,7 @@ def calendar_model(
     trees: int = 100,
     seed: int = 42,
     min_rows: int = 10,
-    blocks: int = 16,
+    blocks: int = 4,
 ) -> CalendarModel | None:
     """Fit on the calendar totals of a region; None with too few rows."""
     # A district counts only together with its state.
@@ -130,7 +130,7 @@ def calendar_model(
         return None
     forest = RandomForestRegressor(
         numTrees=trees, maxDepth=30, featureSubsetStrategy="all", maxBins=367, seed=seed,
-        minInstancesPerNode=1,
+        cacheNodeIds=True,
     )
     last = stage(scope.df.agg(F.max(fact.spec.date_col).alias("last")))
     return CalendarModel(forest.fit(_calendar_vector(rows)), rows, last)

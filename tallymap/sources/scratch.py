@@ -27,9 +27,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative fits read it many times and lose nothing with an executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """The frame as a table in the shared folder.
+
+    Iterative fits and quality measures read an aggregated frame many times: it
+    is computed once, does not depend on an executor staying alive, and its
+    size is known to the planner afterwards.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
