@@ -18,7 +18,7 @@ from tallymap.functions.columns import (
     total,
     with_total,
 )
-from tallymap.functions.shape import align, stack_facts
+from tallymap.functions.shape import distinct_places, fold_places
 from tallymap.operators.filters import filter_region
 from tallymap.operators.topk import top_k
 from tallymap.spec import Fact, FactSet
@@ -154,12 +154,14 @@ def time_rollup(fact: Fact, unit: str) -> DataFrame:
 
 def overview(facts: FactSet) -> DataFrame:
     """One row: record counts and band sums of the three tables, coverage and dates of the first."""
-    demo = facts.demographic
-    date = demo.spec.date_col
-    rows = stack_facts(facts.all(), [])
-    sums = rows.agg(
-        *[sum_or_zero(f"{f.spec.name}_records").alias(f"{f.spec.name}_records") for f in facts.all()],
+    spec = facts.demographic.spec
+    dated = F.when(F.col(f"{spec.name}_records").isNotNull(), F.col(spec.date_col))
+    places = fold_places(facts, F.min(dated).alias("start_date"), F.max(dated).alias("end_date"))
+    counts = [f"{f.spec.name}_records" for f in facts.all()]
+    return places.agg(
+        *[sum_or_zero(c).alias(c) for c in counts],
         *[c for f in facts.all() for c in measure_sums(f.spec)],
+        F.min("start_date").alias("start_date"),
+        F.max("end_date").alias("end_date"),
+        *distinct_places(spec.levels),
     )
-    dates = demo.df.agg(F.min(date).alias("start_date"), F.max(date).alias("end_date"))
-    return align([sums, dates, coverage(demo)])

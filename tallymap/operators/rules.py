@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymap.functions.columns import present, sum_or_zero, total
-from tallymap.functions.shape import align, stack_facts
-from tallymap.operators.rollup import coverage
+from tallymap.functions.columns import present, total
+from tallymap.functions.shape import distinct_places, fold_places
 from tallymap.spec import FactSet
 
 # Threshold, priority and category of each rule.
@@ -28,24 +27,22 @@ ACTIONS = {
 
 def region_balance(facts: FactSet, by: Sequence[str] = ()) -> DataFrame:
     """What the rules look at: totals of the tables, child and adult sums, coverage."""
-    demo = facts.demographic
-    child, adult = demo.spec.measures[:2]
-    known = f"{demo.spec.name}_records"
-    rows = present(stack_facts(facts.all(), by), by)
-    sums = rows.groupBy(*by).agg(
+    spec = facts.demographic.spec
+    child, adult = spec.measures[:2]
+    known = f"{spec.name}_records"
+    _, middle, fine = spec.levels
+    totals = present(fold_places(facts), by).groupBy(*by).agg(
         *[
-            sum_or_zero(total(f.spec.measures)).alias(n)
+            F.sum(total(f.spec.measures)).alias(n)
             for f, n in zip(facts.all(), ("demo_total", "bio_total", "enrol_total"))
         ],
-        sum_or_zero(child).alias("child_total"),
-        sum_or_zero(adult).alias("adult_total"),
+        F.sum(child).alias("child_total"),
+        F.sum(adult).alias("adult_total"),
         F.sum(known).alias("known"),
+        *distinct_places([middle, fine]),
     )
-    _, middle, fine = demo.spec.levels
-    places = coverage(demo, by).select(
-        *by, F.col(f"{middle}s").alias("n_districts"), F.col(f"{fine}s").alias("n_pincodes")
-    )
-    return align([sums, places], by).filter(F.col("known") > 0).drop("known")
+    renamed = totals.withColumnsRenamed({f"{middle}s": "n_districts", f"{fine}s": "n_pincodes"})
+    return renamed.filter(F.col("known") > 0).drop("known")
 
 
 def _rule(category: str, priority: str, value: Column, limit: Column) -> Column:

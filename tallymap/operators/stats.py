@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,69 +28,81 @@ def _pick(rank: Column) -> Column:
     return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
 
 
-def exact_quantiles(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles from value counts.
+def _moments(counts: DataFrame) -> DataFrame:
+    amount = F.col("value") * F.col("n")
+    return counts.groupBy("measure").agg(
+        F.sum("n").alias("rows"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        (F.sum(amount) / F.sum("n")).alias("mean"),
+    )
+
 
-    Rows are folded into value counts before anything is sorted.  Running
-    counts are built in two steps, over at most 4096 value ranges per measure
-    and then inside each range, so no task ever holds all values of a measure.
+def describe_counts(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
+    """Moments and exact, linearly interpolated quantiles from value counts.
+
+    Running counts are built in two steps, over at most 4096 value ranges per
+    measure and then inside the ranges that hold a wanted rank, so no task ever
+    sorts all values of a measure.
     """
     span = W.partitionBy("measure")
-    ranges = counts.groupBy("measure").agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    width = (F.col("most") - F.col("least")) / _BUCKETS
-    position = F.floor((F.col("value") - F.col("least")) / F.nullif(width, F.lit(0)))
-    placed = counts.join(ranges, "measure").select(
-        "measure", "value", "n",
-        F.least(F.coalesce(position, F.lit(0)), F.lit(_BUCKETS - 1)).alias("bucket"),
+    width = (F.col("max") - F.col("min")) / _BUCKETS
+    position = F.floor((F.col("value") - F.col("min")) / F.nullif(width, F.lit(0)))
+    placed = counts.join(_moments(counts), "measure").withColumn(
+        "bucket", F.least(F.coalesce(position, F.lit(0)), F.lit(_BUCKETS - 1))
     )
-    sizes = placed.groupBy("measure", "bucket").agg(F.sum("n").alias("size"))
-    earlier = F.coalesce(
-        F.sum("size").over(span.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    off = F.col("value") - F.col("mean")
+    ranges = placed.groupBy("measure", "bucket").agg(
+        F.sum("n").alias("size"),
+        F.sum(off * off * F.col("n")).alias("squares"),
+        *[F.max(c).alias(c) for c in ("rows", "min", "max", "mean")],
     )
-    offsets = sizes.select(
-        "measure", "bucket", earlier.alias("start"), F.sum("size").over(span).alias("rows"), "size"
+    before = F.sum("size").over(span.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.withColumns(
+        {
+            "start": F.coalesce(before, F.lit(0)),
+            "std": F.sqrt(F.sum("squares").over(span) / F.nullif(F.col("rows") - 1, F.lit(0))),
+        }
     )
-    # Keep only the ranges in which a wanted rank falls (two per probability at most).
     ranks = {}
     for name, p in probabilities.items():
         exact = (F.col("rows") - 1) * F.lit(float(p))
         ranks[name] = (F.floor(exact), F.ceil(exact), exact - F.floor(exact))
-    wanted = F.lit(False)
-    for low, high, _ in ranks.values():
-        for r in (low, high):
-            wanted = wanted | ((F.col("start") <= r) & (r < F.col("start") + F.col("size")))
+    wanted = reduce(
+        or_,
+        [
+            (F.col("start") <= r) & (r < F.col("start") + F.col("size"))
+            for low, high, _ in ranks.values()
+            for r in (low, high)
+        ],
+    )
     inside = W.partitionBy("measure", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    running = placed.join(offsets.filter(wanted), ["measure", "bucket"]).withColumn(
+    chosen = ranges.filter(wanted).select("measure", "bucket", "start", "std")
+    running = placed.join(chosen, ["measure", "bucket"]).withColumn(
         "before", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
+    kept = ["mean", "std", "min", "max"]
     ends = running.groupBy("measure").agg(
+        *[F.max(c).alias(c) for c in kept],
         *[_pick(low).alias(f"{n}_low") for n, (low, _, _) in ranks.items()],
         *[_pick(high).alias(f"{n}_high") for n, (_, high, _) in ranks.items()],
         *[F.max(part).alias(f"{n}_part") for n, (_, _, part) in ranks.items()],
     )
-    return ends.select(
-        "measure",
-        *[
-            (
-                F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")
-            ).cast("double").alias(n)
-            for n in probabilities
-        ],
-    )
+
+    def between(n: str) -> Column:
+        low, high = F.col(f"{n}_low"), F.col(f"{n}_high")
+        return (low + (high - low) * F.col(f"{n}_part")).cast("double").alias(n)
+
+    return ends.select("measure", *kept, *[between(n) for n in probabilities])
 
 
 def describe_measures(fact: Fact) -> DataFrame:
-    """Mean, median, sample deviation, extremes and quartiles of each measure over source rows."""
+    """Mean, median, sample deviation, extremes and quartiles of each measure over source rows.
+
+    The rows are read once and folded into value counts before anything else.
+    """
     counts = value_counts(fact.df, fact.spec.measures)
-    tall = fact.df.unpivot([], list(fact.spec.measures), "measure", "value")
-    moments = tall.groupBy("measure").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quantiles = exact_quantiles(counts, {"median": 0.5, "q1": 0.25, "q3": 0.75})
-    return moments.join(quantiles, "measure", "left")
+    return describe_counts(counts, {"median": 0.5, "q1": 0.25, "q3": 0.75})
 
 
 def pearson(a: str, b: str) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymap.functions.columns import percent_change, present, record_count
-from tallymap.functions.shape import align
 from tallymap.operators.rollup import daily_totals, rollup_by
 from tallymap.spec import Fact, FactSet
 
@@ -86,11 +85,14 @@ def growth_rate_7(series: DataFrame, by: Sequence[str] = (), date: str = "date")
     return _numbered(series, by, date).groupBy(*by).agg(growth_7().alias("growth"))
 
 
-def growth_rate_30(series: DataFrame, by: Sequence[str] = (), date: str = "date") -> DataFrame:
+def growth_30() -> Column:
     """Last 7 rows against the first 7 of the last 37, 0 for series of 30 rows or fewer."""
     change = percent_change(_recent("total"), _from_row("total", F.greatest(F.lit(1), F.col("n") - 36)))
-    growth = F.when(F.max("n") > 30, change).otherwise(F.lit(0.0))
-    return _numbered(series, by, date).groupBy(*by).agg(growth.alias("growth"))
+    return F.when(F.max("n") > 30, change).otherwise(F.lit(0.0))
+
+
+def growth_rate_30(series: DataFrame, by: Sequence[str] = (), date: str = "date") -> DataFrame:
+    return _numbered(series, by, date).groupBy(*by).agg(growth_30().alias("growth"))
 
 
 def trend_label(
@@ -126,15 +128,15 @@ def peak_low(series: DataFrame, by: Sequence[str] = (), date: str = "date") -> D
 def trend_report(fact: Fact, by: Sequence[str] = (), min_days: int = 7) -> DataFrame:
     """Growth, peak, low, mean and deviation of daily totals; short series give no row."""
     date = fact.spec.date_col
-    series = rollup_by(fact, [date, *by])
-    summary = series.groupBy(*by).agg(
+    series = _numbered(rollup_by(fact, [date, *by]), by, date)
+    report = series.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_days"),
         F.avg("total").alias("average"),
         F.stddev_samp("total").alias("volatility"),
         *peak_columns(date),
+        growth_30().alias("growth"),
     )
-    both = align([summary, growth_rate_30(series, by, date)], by)
-    return both.filter(F.col("n_days") >= min_days)
+    return report.filter(F.col("n_days") >= min_days)
 
 
 def time_series_panel(facts: FactSet) -> DataFrame:

@@ -2,40 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymap.functions.columns import present, record_weight, sum_or_zero, total
-from tallymap.functions.shape import align, stack_facts
+from tallymap.functions.columns import present, sum_or_zero, total
+from tallymap.functions.shape import align, distinct_places, fold_places, stack_facts
 from tallymap.operators.anomaly import low_activity_alerts
 from tallymap.operators.capacity import load_columns, monthly_cost, utilization
-from tallymap.operators.filters import recent_activity
-from tallymap.operators.rollup import coverage, rollup_by
+from tallymap.operators.filters import last_date
+from tallymap.operators.rollup import rollup_by
 from tallymap.operators.topk import top_bottom
 from tallymap.spec import FactSet
 
 
 def kpi_dashboard(facts: FactSet, n_expected: int = 36, days: int = 30) -> DataFrame:
     """Record counts, coverage and recent records (second table not counted there)."""
-    demo = facts.demographic
+    demo, _, enrol = facts.all()
     wide = demo.spec.levels[0]
-    records = stack_facts(facts.all(), []).agg(
-        *[sum_or_zero(f"{f.spec.name}_records").alias(f.spec.name) for f in facts.all()]
-    )
-    every = sum(F.col(f.spec.name) for f in facts.all())
-    recent = [recent_activity(f, demo, days) for f in (demo, facts.enrolment)]
-    recent_rows = recent[0].df.select(record_weight(demo.spec).alias("n")).union(
-        recent[1].df.select(record_weight(facts.enrolment.spec).alias("n"))
-    )
-    row = align(
-        [
-            records.select(every.alias("total_records")),
-            coverage(demo),
-            recent_rows.agg(sum_or_zero("n").alias(f"recent_{days}_days")),
-        ]
+    since = F.date_sub(last_date(demo), days)
+    counted = [f"{f.spec.name}_records" for f in (demo, enrol)]
+    weight = reduce(add, [F.coalesce(c, F.lit(0)) for c in counted])
+    recent = sum_or_zero(F.when(F.col(demo.spec.date_col) >= since, weight))
+    every = reduce(add, [F.sum(f"{f.spec.name}_records") for f in facts.all()])
+    row = fold_places(facts, recent.alias("recent")).agg(
+        every.alias("total_records"),
+        *distinct_places(demo.spec.levels),
+        sum_or_zero("recent").alias(f"recent_{days}_days"),
     )
-    percent = F.col(f"{wide}s") / n_expected * 100
-    return row.withColumn("coverage_percentage", percent)
+    return row.withColumn("coverage_percentage", F.col(f"{wide}s") / n_expected * 100)
 
 
 def dashboard(facts: FactSet) -> dict[str, DataFrame]:
