@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tallymap.checks.base import REN, REN_SUMS, SGN, SGN_SUMS, UPD, UPD_SUMS, big, query, rounded
 from tallymap.checks.series import DAILY, _growth, _numbered
 from tallymap.operators import capacity, cluster, forecast, joins, quality, rollup, rules, trends
-from tallymap.plans.profile import profile_by
 from tallymap.sources import fixtures
 
 FEATURES = ("upd_new", "upd_old", "sgn_first", "sgn_act", "sgn_look")
@@ -243,11 +242,8 @@ def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM numbered GROUP BY state""",
 )
 def flat_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = profile_by(fixtures.updates(spark, sf_dir), "state").select(
-        "state", "avg_daily", "growth_7", "end_date"
-    )
-    months = forecast.flat_projection(base, F.col("avg_daily"), F.col("growth_7"), F.col("end_date"))
-    return rounded(months.select("state", "month", "predicted", "confidence"), ["predicted"])
+    projected = forecast.monthly_projection(fixtures.updates(spark, sf_dir), ["state"])
+    return rounded(projected, ["predicted"])
 
 
 # --- rules and capacity --------------------------------------------------------------------

@@ -14,18 +14,19 @@ from tallymap.operators.trends import growth_rate_7, rolling_stats
 from tallymap.spec import Fact
 
 
-def zscores(fact: Fact) -> DataFrame:
+def zscores(daily: DataFrame, date: str = "date") -> DataFrame:
     """Daily totals with mean, sample deviation and z-score over all days."""
-    daily = daily_totals(fact)
     everything = W.partitionBy()  # one row per day is left here
+    dated = F.when(F.col(date).isNotNull(), F.col("total"))
     scored = daily.withColumns(
-        {"mean": F.avg("total").over(everything), "std": F.stddev_samp("total").over(everything)}
+        {"mean": F.avg(dated).over(everything), "std": F.stddev_samp(dated).over(everything)}
     )
-    return scored.withColumn("z_score", (F.col("total") - F.col("mean")) / F.nullif("std", F.lit(0)))
+    return scored.withColumn("z_score", (dated - F.col("mean")) / F.nullif("std", F.lit(0)))
 
 
 def zscore_anomalies(fact: Fact, threshold: float = 2.0) -> DataFrame:
-    return zscores(fact).filter(F.abs("z_score") > threshold)
+    scored = zscores(daily_totals(fact), fact.spec.date_col)
+    return scored.filter(F.abs("z_score") > threshold)
 
 
 def spike_detection(

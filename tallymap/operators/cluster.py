@@ -345,4 +345,5 @@ def clusters_with_category(facts: FactSet, k: int = 6) -> DataFrame:
     profile = cluster_profile(
         assigned, facts.demographic.spec.measures, facts.enrolment.spec.measures, "export"
     )
-    return assigned.join(profile.select("cluster", F.col("category").alias("cluster_category")), "cluster")
+    categories = profile.select("cluster", F.col("category").alias("cluster_category"))
+    return assigned.join(F.broadcast(categories), "cluster")  # k rows

@@ -6,6 +6,7 @@ only feed the aggregation before it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallymap.functions.columns import calendar_cols, trunc_long
+from tallymap.functions.columns import calendar_cols, per_day, trunc_long
 from tallymap.operators.filters import filter_region
-from tallymap.operators.rollup import calendar_totals
+from tallymap.operators.rollup import calendar_totals, rollup_by
+from tallymap.operators.trends import growth_7, numbered
 from tallymap.sources.scratch import stage
 from tallymap.spec import Fact
 
@@ -156,3 +158,16 @@ def flat_projection(
             "confidence": F.greatest(F.lit(50), 95 - 7 * F.col("step")),
         }
     ).drop("start", "step")
+
+
+def monthly_projection(fact: Fact, by: Sequence[str] = (), months: int = 6) -> DataFrame:
+    """Flat projection of every region from its daily average and weekly growth."""
+    date = fact.spec.date_col
+    series = numbered(rollup_by(fact, [date, *by]), by, date)
+    base = series.groupBy(*by).agg(
+        per_day(F.sum("total"), F.count(date)).alias("avg_daily"),
+        F.round(growth_7(), 2).alias("growth"),
+        F.max(date).alias("last"),
+    )
+    out = flat_projection(base, F.col("avg_daily"), F.col("growth"), F.col("last"), months)
+    return out.select(*by, "month", "predicted", "confidence")

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymap.functions.columns import present, record_weight, sum_or_zero
+from tallymap.functions.columns import present, record_weight, sum_or_zero, total
 from tallymap.operators.anomaly import zscores
 from tallymap.spec import Fact
 
@@ -39,29 +39,38 @@ def quality_report(
     and three deviations, consistency counts regions absent from another table.
     """
     spec = fact.spec
+    wide, day = spec.levels[0], F.col(spec.date_col)
     weight = record_weight(spec)
 
     def bad(condition: Column) -> Column:
         return sum_or_zero(F.when(condition, weight))
 
-    day = F.col(spec.date_col)
     columns = [spec.date_col, *spec.levels, *spec.measures]
-    checks = [("missing", c, bad(F.col(c).isNull())) for c in columns]
-    checks.append(("date_range", spec.date_col, bad((day < F.lit(date_min)) | (day > F.lit(date_max)))))
-    checks += [("negative", m, bad(F.col(m) < 0)) for m in spec.measures]
-    parts = [_rows(fact.df, checks, sum_or_zero(weight))]
+    outside = (day < F.lit(date_min)) | (day > F.lit(date_max))
+    failures = [("missing", c, bad(F.col(c).isNull())) for c in columns]
+    failures.append(("date_range", spec.date_col, bad(outside)))
+    failures += [("negative", m, bad(F.col(m) < 0)) for m in spec.measures]
+    # All checks read this fold by day and region; it leaves missing keys in, as a filter on
+    # one would be pushed below and cost every check its own scan.
+    folded = fact.df.groupBy(spec.date_col, wide).agg(
+        sum_or_zero(weight).alias("rows"),
+        sum_or_zero(total(spec.measures)).alias("total"),
+        *[n.alias(f"f{i}") for i, (_, _, n) in enumerate(failures)],
+    )
+    checks = [(check, c, sum_or_zero(f"f{i}")) for i, (check, c, _) in enumerate(failures)]
+    parts = [_rows(folded, checks, sum_or_zero("rows"))]
 
+    daily = folded.groupBy(spec.date_col).agg(F.sum("total").alias("total"))
     z = F.abs("z_score")
     outliers = [(f"outlier_{n}sd", "total", F.count_if(z > n)) for n in (2, 3)]
-    parts.append(_rows(zscores(fact), outliers, F.count(F.lit(1))))
+    parts.append(_rows(zscores(daily, spec.date_col), outliers, F.count(spec.date_col)))
 
-    wide = spec.levels[0]
-    regions = present(fact.df, [wide]).select(wide).distinct()
+    regions = folded.groupBy(wide).agg(F.sum("rows").alias("rows"))
     for other in others:
         known = present(other.df, [wide]).select(F.col(wide).alias("known")).distinct()
         matched = regions.join(known, F.col(wide) == F.col("known"), "left")
-        check = (f"absent_in_{other.spec.name}", wide, F.count_if(F.col("known").isNull()))
-        parts.append(_rows(matched, [check], F.count(F.lit(1))))
+        absent = F.count_if(F.col(wide).isNotNull() & F.col("known").isNull())
+        parts.append(_rows(matched, [(f"absent_in_{other.spec.name}", wide, absent)], F.count(wide)))
 
     report = parts[0]
     for p in parts[1:]:

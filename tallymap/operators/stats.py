@@ -48,7 +48,8 @@ def describe_counts(counts: DataFrame, probabilities: dict[str, float]) -> DataF
     span = W.partitionBy("measure")
     width = (F.col("max") - F.col("min")) / _BUCKETS
     position = F.floor((F.col("value") - F.col("min")) / F.nullif(width, F.lit(0)))
-    placed = counts.join(_moments(counts), "measure").withColumn(
+    # One row per measure, and two per probability: bounded whatever the data.
+    placed = counts.join(F.broadcast(_moments(counts)), "measure").withColumn(
         "bucket", F.least(F.coalesce(position, F.lit(0)), F.lit(_BUCKETS - 1))
     )
     off = F.col("value") - F.col("mean")
@@ -78,7 +79,7 @@ def describe_counts(counts: DataFrame, probabilities: dict[str, float]) -> DataF
     )
     inside = W.partitionBy("measure", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     chosen = ranges.filter(wanted).select("measure", "bucket", "start", "std")
-    running = placed.join(chosen, ["measure", "bucket"]).withColumn(
+    running = placed.join(F.broadcast(chosen), ["measure", "bucket"]).withColumn(
         "before", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
     kept = ["mean", "std", "min", "max"]

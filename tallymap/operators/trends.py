@@ -53,7 +53,7 @@ def rolling_stats(
     )
 
 
-def _numbered(series: DataFrame, by: Sequence[str], date: str) -> DataFrame:
+def numbered(series: DataFrame, by: Sequence[str], date: str) -> DataFrame:
     """Row number by date and length of each series; rows without a date come last and are not counted."""
     part = W.partitionBy(*by)
     return series.withColumns(
@@ -82,7 +82,7 @@ def growth_7() -> Column:
 
 
 def growth_rate_7(series: DataFrame, by: Sequence[str] = (), date: str = "date") -> DataFrame:
-    return _numbered(series, by, date).groupBy(*by).agg(growth_7().alias("growth"))
+    return numbered(series, by, date).groupBy(*by).agg(growth_7().alias("growth"))
 
 
 def growth_30() -> Column:
@@ -92,21 +92,25 @@ def growth_30() -> Column:
 
 
 def growth_rate_30(series: DataFrame, by: Sequence[str] = (), date: str = "date") -> DataFrame:
-    return _numbered(series, by, date).groupBy(*by).agg(growth_30().alias("growth"))
+    return numbered(series, by, date).groupBy(*by).agg(growth_30().alias("growth"))
 
 
-def trend_label(
-    counts: DataFrame, by: Sequence[str] = (), value: str = "n_records", date: str = "date"
-) -> DataFrame:
-    """Direction of the daily record counts: last 7 rows against first 7."""
+def direction(value: str) -> Column:
+    """Last 7 against first 7 rows of a numbered series in words."""
     recent, older = _recent(value), _from_row(value, F.lit(1))
-    label = (
+    return (
         F.when(F.max("n") <= 1, "stable")
         .when(recent > older, "increasing")
         .when(recent < older, "decreasing")
         .otherwise("stable")
     )
-    return _numbered(counts, by, date).groupBy(*by).agg(label.alias("trend"))
+
+
+def trend_label(
+    counts: DataFrame, by: Sequence[str] = (), value: str = "n_records", date: str = "date"
+) -> DataFrame:
+    """Direction of the daily record counts."""
+    return numbered(counts, by, date).groupBy(*by).agg(direction(value).alias("trend"))
 
 
 def peak_columns(date: str = "date", value: str = "total") -> list[Column]:
@@ -128,7 +132,7 @@ def peak_low(series: DataFrame, by: Sequence[str] = (), date: str = "date") -> D
 def trend_report(fact: Fact, by: Sequence[str] = (), min_days: int = 7) -> DataFrame:
     """Growth, peak, low, mean and deviation of daily totals; short series give no row."""
     date = fact.spec.date_col
-    series = _numbered(rollup_by(fact, [date, *by]), by, date)
+    series = numbered(rollup_by(fact, [date, *by]), by, date)
     report = series.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_days"),
         F.avg("total").alias("average"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymap.functions.columns import present, sum_or_zero, total
-from tallymap.functions.shape import align, distinct_places, fold_places, stack_facts
+from tallymap.functions.shape import distinct_places, fold_places, stack_facts
 from tallymap.operators.anomaly import low_activity_alerts
 from tallymap.operators.capacity import load_columns, monthly_cost, utilization
 from tallymap.operators.filters import last_date
@@ -51,13 +51,22 @@ def region_report(facts: FactSet, level: str = "state") -> DataFrame:
     demo, bio, enrol = facts.all()
     date = enrol.spec.date_col
     bands = [*demo.spec.measures[:2], *bio.spec.measures[:2]]
-    rows = present(stack_facts(facts.all(), [level]), [level])
-    sums = rows.groupBy(level).agg(
-        sum_or_zero(total(enrol.spec.measures)).alias("total_enrollments"),
+    # Days of all tables in one pass; the load is that of the third table's days.
+    rows = present(stack_facts(facts.all(), [level, date]), [level])
+    days = rows.groupBy(level, date).agg(
+        sum_or_zero(total(enrol.spec.measures)).alias("amount"),
+        F.count(f"{enrol.spec.name}_records").alias("seen"),
         *[sum_or_zero(m).alias(m) for m in bands],
     )
-    load = rollup_by(enrol, [date, level]).groupBy(level).agg(*load_columns(date))
-    both = align([sums, load], [level])
+    loaded = (F.col("seen") > 0) & F.col(date).isNotNull()
+    days = days.withColumns(
+        {"total": F.when(loaded, F.col("amount")), "day": F.when(loaded, F.col(date))}
+    )
+    both = days.groupBy(level).agg(
+        F.sum("amount").alias("total_enrollments"),
+        *load_columns("day"),
+        *[F.sum(m).alias(m) for m in bands],
+    )
     avg = F.coalesce("avg_daily", F.lit(0))
     peak = F.coalesce("peak", F.lit(0))
     return both.select(

@@ -20,7 +20,7 @@ from tallymap.functions.shape import align, stack_facts
 from tallymap.operators.filters import entity_values, filter_entities
 from tallymap.operators.rollup import coverage, rollup_by
 from tallymap.operators.topk import top_k
-from tallymap.operators.trends import _numbered, growth_7, peak_columns, record_series, trend_label
+from tallymap.operators.trends import direction, growth_7, numbered, peak_columns
 from tallymap.spec import Fact, FactSet
 
 
@@ -38,7 +38,7 @@ def profile(fact: Fact, base: Fact | None = None, by: Sequence[str] = ()) -> Dat
     daily = daily.withColumn("total", total(spec.measures))
     whole = F.sum("total")
     dated = F.when(F.col(date).isNotNull(), F.col("total"))
-    summary = _numbered(daily, by, date).withColumn("dated", dated).groupBy(*by).agg(
+    summary = numbered(daily, by, date).withColumn("dated", dated).groupBy(*by).agg(
         F.sum("records").alias("records"),
         whole.alias("total"),
         *[F.sum(m).alias(m) for m in spec.measures],
@@ -77,19 +77,26 @@ def compare_entities(facts: FactSet, level: str, entities: Sequence) -> DataFram
     wide, middle, fine = demo.spec.levels
     date = demo.spec.date_col
     scoped = facts.map(lambda f: filter_entities(f, level, entities))
-    totals = stack_facts(scoped.all(), [level]).groupBy(level).agg(
+    known = F.col(f"{demo.spec.name}_records")
+    # Days of all tables in one pass; only days of the first one count as days.
+    days = stack_facts(scoped.all(), [level, date]).groupBy(level, date).agg(
         *[
             sum_or_zero(total(f.spec.measures)).alias(n)
             for f, n in zip(scoped.all(), ("total_demographic", "total_biometric", "total_enrollment"))
         ],
-        F.sum(f"{demo.spec.name}_records").alias("known"),
+        F.sum(known).alias("n_records"),
+    )
+    days = numbered(days.withColumn("day", F.when(F.col("n_records") > 0, F.col(date))), [level], "day")
+    totals = days.groupBy(level).agg(
+        *[F.sum(n).alias(n) for n in ("total_demographic", "total_biometric", "total_enrollment")],
+        F.sum("n_records").alias("known"),
+        F.count("day").alias("days"),
+        direction("n_records").alias("trend"),
     )
-    counts = record_series(scoped.demographic, [level])
-    days = counts.groupBy(level).agg(F.count(date).alias("days"))
     places = coverage(scoped.demographic, [level]).select(
         level, F.col(f"{middle}s").alias("districts"), F.col(f"{fine}s").alias("pincodes")
     )
-    answers = align([totals, days, trend_label(counts, [level], date=date), places], [level])
+    answers = align([totals, places], [level])
     demo_total = F.col("total_demographic")
     request = demo.df.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.struct(v.alias("key"), F.lit(str(e)).alias("entity"))
@@ -105,8 +112,8 @@ def compare_entities(facts: FactSet, level: str, entities: Sequence) -> DataFram
         "total_demographic",
         "total_biometric",
         "total_enrollment",
-        per_day(demo_total, F.coalesce("days", F.lit(0))).alias("avg_daily"),
-        F.coalesce("trend", F.lit("stable")).alias("trend"),
+        per_day(demo_total, F.col("days")).alias("avg_daily"),
+        "trend",
         F.when(F.lit(level == wide), F.col("districts")).alias("districts"),
         "pincodes",
         share(F.col("total_biometric"), demo_total, 1).alias("bio_coverage_percent"),
