@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymap.sources.csv_parts import CSV_FORMAT
 from tallymap.sources.exports import write_csv
 from tallymap.sources.scratch import fresh_path
 
@@ -78,4 +79,4 @@ def through_csv(df: DataFrame, name: str) -> DataFrame:
     """Write a result as CSV into the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
     write_csv(df, path)
-    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+    return df.sparkSession.read.schema(df.schema).options(**CSV_FORMAT).csv(path)

@@ -82,7 +82,10 @@ def _profile_sql(factor: str, growth) -> str:
     return f"""
         SELECT cluster, size, ROUND(d, 4) AS avg_demographic, ROUND(e, 4) AS avg_enrollment,
                CASE WHEN d > gd * {factor} THEN 'High Activity' WHEN g > gg * {factor} THEN 'Growing Region'
-                    ELSE 'Stable Region' END AS category
+                    ELSE 'Stable Region' END AS category,
+               CASE WHEN d > gd * {factor} THEN 'keep resources and watch the load'
+                    WHEN g > gg * {factor} THEN 'add desks ahead of demand'
+                    ELSE 'watch routinely and trim idle desks' END AS advice
         FROM (SELECT cluster, COUNT(*) AS size, {_means(FIRST)} AS d, {_means(SECOND)} AS e, {_means(growth)} AS g
               FROM assigned GROUP BY cluster),
              (SELECT {_means(FIRST)} AS gd, {_means(growth)} AS gg FROM assigned)"""
@@ -254,18 +257,22 @@ def _rules_sql(by: str = "") -> dict[str, str]:
     group = f"GROUP BY {by}" if by else ""
     join = f"USING ({by})" if by else "ON TRUE"
 
-    def rule(category: str, priority: str, value: str, limit: str) -> str:
-        actions = "; ".join(rules.ACTIONS[category])
-        return f"""SELECT {key}'{priority}' AS priority, '{category}' AS category, CAST({value} AS DOUBLE) AS value,
-                          ROUND(CAST({limit} AS DOUBLE), 4) AS "limit", '{actions}' AS actions FROM b WHERE {value} < {limit}"""
+    texts = {r.category: (r.title, "; ".join(r.actions), r.impact) for r in rules.RULES}
+
+    def rule(category: str, priority: str, value: str, base: str, factor: str) -> str:
+        title, actions, impact = texts[category]
+        return f"""SELECT {key}'{priority}' AS priority, '{category}' AS category, '{title}' AS title,
+                          CAST({value} AS DOUBLE) AS value, ROUND(CAST({base} * {factor} AS DOUBLE), 4) AS "limit",
+                          COALESCE(ROUND(CAST({value} AS DOUBLE) / NULLIF({base}, 0) * 100, 1), 0.0) AS percent,
+                          '{actions}' AS actions, '{impact}' AS impact FROM b WHERE {value} < {base} * {factor}"""
 
     return {
         "select": " UNION ALL ".join(
             [
-                rule("enrollment", "high", "enrol", "demo * 0.5"),
-                rule("coverage", "medium", "pincodes", "districts * 10"),
-                rule("demographics", "high", "child", "adult * 0.3"),
-                rule("biometric", "medium", "bio", "demo * 0.7"),
+                rule("enrollment", "high", "enrol", "demo", "0.5"),
+                rule("coverage", "medium", "pincodes", "districts", "10"),
+                rule("demographics", "high", "child", "adult", "0.3"),
+                rule("biometric", "medium", "bio", "demo", "0.7"),
             ]
         ),
         "du": f"""SELECT {key}SUM({UPD}) AS demo, SUM(upd_new) AS child, SUM(upd_old) AS adult,

@@ -21,11 +21,13 @@ from tallymap.operators.anomaly import low_activity_alerts
 from tallymap.plans import dashboard
 from tallymap.plans import profile as profiles
 from tallymap.sources import fixtures
+from tallymap.sources.cube import open_cube, save_cube
+from tallymap.sources.scratch import fresh_path
+from tallymap.spec import Fact
 
 
 @query(
-    """
-    SELECT u.*, r.*, s.*, p.* FROM u, r, s, p""",
+    "SELECT u.*, r.*, s.*, p.* FROM u, r, s, p",
     u=f"SELECT COUNT(*) AS updates_records, {UPD_SUMS}, MIN(date) AS start_date, MAX(date) AS end_date FROM updates",
     r=f"SELECT COUNT(*) AS renewals_records, {REN_SUMS} FROM renewals",
     s=f"SELECT COUNT(*) AS signups_records, {SGN_SUMS} FROM signups",
@@ -36,6 +38,23 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.overview(fixtures.facts(spark, sf_dir))
 
 
+@query(
+    "SELECT u.*, r.*, s.*, p.* FROM u, r, s, p",
+    u=f"SELECT COUNT(*) AS updates_records, {UPD_SUMS}, MIN(date) AS start_date, MAX(date) AS end_date FROM updates",
+    r=f"SELECT COUNT(*) AS renewals_records, {REN_SUMS} FROM renewals",
+    s=f"SELECT COUNT(*) AS signups_records, {SGN_SUMS} FROM signups",
+    p="""SELECT COUNT(DISTINCT state) AS states, COUNT(DISTINCT district) AS districts,
+                COUNT(DISTINCT pincode) AS pincodes FROM updates""",
+)
+def overview_of_saved_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def saved(fact: Fact) -> Fact:
+        path = fresh_path(spark, f"cube-{fact.spec.name}")
+        save_cube(fact, path)
+        return open_cube(spark, fact.spec, path)
+
+    return rollup.overview(fixtures.facts(spark, sf_dir).map(saved))
+
+
 @query(f"SELECT state, {UPD_SUMS}, {big(UPD, 'total')} FROM updates GROUP BY state")
 def rollup_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rollup_by(fixtures.updates(spark, sf_dir), ["state"])

@@ -29,6 +29,11 @@ from tallymap.spec import Fact, FactSet
 
 # Categories of clusters and labels of their quality.
 HIGH, GROWING, STABLE = "High Activity", "Growing Region", "Stable Region"
+ADVICE = {
+    HIGH: "keep resources and watch the load",
+    GROWING: "add desks ahead of demand",
+    STABLE: "watch routinely and trim idle desks",
+}
 GOOD, FAIR, POOR = "Good", "Fair", "Needs Improvement"
 
 ROWS_PER_TASK = 100_000
@@ -142,7 +147,8 @@ def cluster_profile(
         .when(F.col("growth") > overall["growth"] * factor, GROWING)
         .otherwise(STABLE)
     )
-    return means.withColumn("category", category).drop("growth")
+    advice = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    return means.withColumn("category", category).withColumn("advice", advice[F.col("category")]).drop("growth")
 
 
 def cluster_top(assigned: DataFrame, by: str, keys: Sequence[str], k: int = 5) -> DataFrame:

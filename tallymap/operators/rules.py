@@ -3,26 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymap.functions.columns import present, total
+from tallymap.functions.columns import present, share, total
 from tallymap.functions.shape import distinct_places, fold_places
 from tallymap.spec import FactSet
 
-# Threshold, priority and category of each rule.
-ENROLMENT_SHARE = 0.5
-PINCODES_PER_DISTRICT = 10
-CHILD_SHARE = 0.3
-BIOMETRIC_SHARE = 0.7
 
-ACTIONS = {
-    "enrollment": ("run local sign-up campaigns", "send out mobile teams", "shorten the form"),
-    "coverage": ("open desks where none exist", "tour outlying postcodes", "share counters with post offices"),
-    "demographics": ("visit schools", "inform parents", "waive repeat paperwork for minors"),
-    "biometric": ("remind holders of due updates", "hold weekend update days", "lengthen opening hours"),
-}
+@dataclass(frozen=True)
+class Rule:
+    """Fires for a region when ``value`` is below ``factor`` times ``base``."""
+
+    category: str
+    priority: str
+    value: str
+    base: str
+    factor: float
+    title: str
+    impact: str
+    actions: tuple[str, ...]
+
+
+# Category, priority, compared quantities and factor of each rule.
+RULES = (
+    Rule(
+        "enrollment", "high", "enrol_total", "demo_total", 0.5,
+        "Few enrolments for the update volume",
+        "a third more enrolments",
+        ("run local sign-up campaigns", "send out mobile teams", "shorten the form"),
+    ),
+    Rule(
+        "coverage", "medium", "n_pincodes", "n_districts", 10,
+        "Few postcodes served per district",
+        "half as many postcodes again",
+        ("open desks where none exist", "tour outlying postcodes", "share counters with post offices"),
+    ),
+    Rule(
+        "demographics", "high", "child_total", "adult_total", 0.3,
+        "Children are underrepresented",
+        "half as many child records again",
+        ("visit schools", "inform parents", "waive repeat paperwork for minors"),
+    ),
+    Rule(
+        "biometric", "medium", "bio_total", "demo_total", 0.7,
+        "Biometric updates lag behind",
+        "nine in ten records up to date",
+        ("remind holders of due updates", "hold weekend update days", "lengthen opening hours"),
+    ),
+)
 
 
 def region_balance(facts: FactSet, by: Sequence[str] = ()) -> DataFrame:
@@ -45,27 +76,26 @@ def region_balance(facts: FactSet, by: Sequence[str] = ()) -> DataFrame:
     return renamed.filter(F.col("known") > 0).drop("known")
 
 
-def _rule(category: str, priority: str, value: Column, limit: Column) -> Column:
-    """The rule fires when the value is below the limit."""
+def _advice(rule: Rule) -> Column:
+    value, limit = F.col(rule.value), F.col(rule.base) * F.lit(rule.factor)
     return F.when(
         value < limit,
         F.struct(
-            F.lit(priority).alias("priority"),
-            F.lit(category).alias("category"),
+            F.lit(rule.priority).alias("priority"),
+            F.lit(rule.category).alias("category"),
+            F.lit(rule.title).alias("title"),
             value.cast("double").alias("value"),
             limit.cast("double").alias("limit"),
-            F.array(*[F.lit(a) for a in ACTIONS[category]]).alias("actions"),
+            share(value, F.col(rule.base), 1).alias("percent"),
+            F.array(*[F.lit(a) for a in rule.actions]).alias("actions"),
+            F.lit(rule.impact).alias("impact"),
         ),
     )
 
 
-def recommendations(facts: FactSet, by: Sequence[str] = ()) -> DataFrame:
+def recommendations(
+    facts: FactSet, by: Sequence[str] = (), rules: Sequence[Rule] = RULES
+) -> DataFrame:
     """Rules that fire, one row per region and rule; without ``by`` the whole country is the region."""
-    c = F.col
-    rules = F.array(
-        _rule("enrollment", "high", c("enrol_total"), c("demo_total") * ENROLMENT_SHARE),
-        _rule("coverage", "medium", c("n_pincodes"), c("n_districts") * PINCODES_PER_DISTRICT),
-        _rule("demographics", "high", c("child_total"), c("adult_total") * CHILD_SHARE),
-        _rule("biometric", "medium", c("bio_total"), c("demo_total") * BIOMETRIC_SHARE),
-    )
-    return region_balance(facts, by).select(*by, F.inline(F.array_compact(rules)))
+    fired = F.array_compact(F.array(*[_advice(r) for r in rules]))
+    return region_balance(facts, by).select(*by, F.inline(fired))

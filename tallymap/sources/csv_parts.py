@@ -14,6 +14,9 @@ from tallymap.spec import Fact, FactSet, FactSpec
 
 DATE_FORMAT = "dd-MM-yyyy"
 
+# Header line; a quote inside a quoted field is doubled.
+CSV_FORMAT = {"header": True, "escape": '"'}
+
 # Texts read as a missing value in CSV files.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -33,7 +36,7 @@ def scan_parts(spark: SparkSession, paths: Sequence[str], spec: FactSpec) -> Dat
     """
     schema = spec.raw_schema()
     text = ", ".join(f"`{f.name}` string" for f in schema.fields)
-    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(list(paths))
+    raw = spark.read.schema(text).options(**CSV_FORMAT, enforceSchema=False).csv(list(paths))
     return raw.select(
         *[_token_to_null(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )

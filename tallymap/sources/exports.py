@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallymap.operators.anomaly import spike_detection
 from tallymap.operators.cluster import clusters_with_category
 from tallymap.operators.filters import filter_region
 from tallymap.operators.rollup import rollup_by
-from tallymap.operators.rules import recommendations
+from tallymap.operators.rules import RULES, recommendations
 from tallymap.plans.dashboard import region_report
+from tallymap.sources.csv_parts import CSV_FORMAT
 from tallymap.spec import Fact, FactSet
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Part files with a header and texts as they are; the folder must not exist yet."""
     spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(header=True, **spaces).csv(path)
+    df.write.options(**CSV_FORMAT, **spaces).csv(path)
 
 
 def export_rollup(fact: Fact, state: str | None = None, district: str | None = None) -> DataFrame:
@@ -43,9 +43,8 @@ def export_clusters(facts: FactSet) -> DataFrame:
 def export_recommendations(facts: FactSet, state: str | None = None) -> DataFrame:
     """The enrolment rule only, without its list of actions."""
     scope = facts.map(lambda f: filter_region(f, state)) if state else facts
-    rules = recommendations(scope).filter(F.col("category") == "enrollment")
-    percent = F.round(F.col("value") / F.nullif(F.col("limit") * 2, F.lit(0.0)) * 100, 1)
-    return rules.select("priority", "category", percent.alias("percent"))
+    rules = recommendations(scope, rules=[r for r in RULES if r.category == "enrollment"])
+    return rules.drop("value", "limit", "actions")
 
 
 def export_region_report(facts: FactSet, level: str = "state") -> DataFrame:

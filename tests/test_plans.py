@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallymap import Fact
 from tallymap.operators import anomaly, rollup, trends
-from tallymap.operators.cluster import kmeans_entities  # noqa: F401
 from tallymap.operators.filters import filter_entities, filter_region, recent_activity
 from tallymap.operators.joins import entity_features
 from tallymap.operators.rules import recommendations
@@ -35,7 +34,7 @@ def stored(spark, sf_dir, tmp_path_factory):
 
 
 EAGER = {"export", "scan_parts", "load_facts", "kmeans", "cluster_report", "silhouette", "davies",
-         "cluster_quality", "forecast", "calendar_model", "feature_importance"}
+         "cluster_quality", "overview_of_saved", "forecast", "calendar_model", "feature_importance"}
 LAZY = [n for n in sorted(entry.queries()) if not any(n.startswith(e) for e in EAGER)]
 
 

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymap import BIOMETRIC, DEMOGRAPHIC, ENROLMENT, Fact
-from tallymap.operators.rollup import daily_cube, daily_totals, rollup_by
+from tallymap.operators.filters import date_range
+from tallymap.operators.rollup import daily_cube, daily_record_counts, daily_totals, rollup_by
 from tallymap.sources import csv_parts, exports, scratch
 from tallymap.sources.csv_parts import dataset_catalog, load_fact, load_facts, load_summary, scan_parts
-from tests.frames import DEMO, fact, rows
+from tallymap.sources.cube import open_cube, save_cube
+from tests.frames import DEMO, fact, rows, series
 
 
 def write(path, header, lines):
@@ -73,9 +75,9 @@ def test_three_datasets_summary_and_catalog(spark, tmp_path):
 
 
 def test_csv_export_reads_back_equal(spark, tmp_path):
-    df = spark.createDataFrame([(" x ", 1, 0.1), ("a,b", 2, None)], "name string, n int, v double")
+    df = spark.createDataFrame([(" x ", 1, 0.1), ("a,b", 2, None), ('say "hi", ok', 3, 1e-9)], "name string, n int, v double")
     exports.write_csv(df, str(tmp_path / "out"))
-    back = spark.read.schema(df.schema).option("header", True).csv(str(tmp_path / "out"))
+    back = spark.read.schema(df.schema).options(**csv_parts.CSV_FORMAT).csv(str(tmp_path / "out"))
     assert rows(back, "n") == rows(df, "n")
     with pytest.raises(Exception):  # an existing folder is never overwritten
         exports.write_csv(df, str(tmp_path / "out"))
@@ -90,6 +92,16 @@ def test_cube_answers_like_the_rows(spark):
     assert rows(daily_totals(cube), "date") == rows(daily_totals(f), "date")
 
 
+def test_saved_cube_keeps_record_counts(spark, tmp_path):
+    f = series(spark, list(range(50)))
+    twice = f.on(f.df.union(f.df))
+    save_cube(twice, str(tmp_path / "cube"))
+    cube = open_cube(spark, DEMO, str(tmp_path / "cube"))
+    assert cube.df.count() == 50
+    assert rows(daily_record_counts(cube), "date") == rows(daily_record_counts(twice), "date")
+    assert date_range(cube, 7).df.count() == 8
+
+
 def test_stage_and_shared_folder(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert rows(scratch.stage(df), "id") == rows(df, "id")
