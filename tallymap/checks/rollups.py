@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallymap.checks.base import (
     REN,
@@ -16,8 +15,7 @@ from tallymap.checks.base import (
     query,
     rounded,
 )
-from tallymap.operators import joins, rollup, topk
-from tallymap.operators.anomaly import low_activity_alerts
+from tallymap.operators import anomaly, joins, rollup, topk
 from tallymap.plans import dashboard
 from tallymap.plans import profile as profiles
 from tallymap.sources import fixtures
@@ -414,8 +412,8 @@ def kpi_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
        WHERE total < (SELECT AVG(total) FROM t) * 0.3 ORDER BY total DESC, pincode LIMIT 10""",
     t=f"SELECT pincode, {big(UPD, 'total')} FROM updates GROUP BY pincode",
 )
-def low_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return low_activity_alerts(fixtures.updates(spark, sf_dir), "pincode")
+def low_activity_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.low_activity_alerts(fixtures.updates(spark, sf_dir), "pincode")
 
 
 def _compare_sql(level: str, entities: list[str]) -> dict[str, str]:

@@ -18,19 +18,12 @@ from tallymap.checks.base import (
     rounded,
     through_csv,
 )
-from tallymap.functions.columns import calendar_cols, iso, share, trunc_long, with_total
-from tallymap.functions.names import normalize_region_name
-from tallymap.operators.filters import date_range, filter_entities, filter_region, recent_activity
-from tallymap.operators.joins import concat_parts
+from tallymap.functions import columns, names
+from tallymap.operators import filters, joins
 from tallymap.operators.rollup import daily_totals, rollup_by
-from tallymap.plans.dashboard import region_report as region_report_frame
-from tallymap.sources import exports, fixtures
+from tallymap.plans import dashboard
+from tallymap.sources import csv_parts, exports, fixtures
 from tallymap.sources.csv_parts import DATE_FORMAT
-from tallymap.sources.csv_parts import dataset_catalog as catalog_frame
-from tallymap.sources.csv_parts import load_facts as load_all
-from tallymap.sources.csv_parts import load_summary as summary_frame
-from tallymap.sources.csv_parts import parse_dates as parse
-from tallymap.sources.csv_parts import scan_parts as scan
 from tallymap.sources.scratch import fresh_path
 from tallymap.spec import Fact, FactSet
 
@@ -79,15 +72,15 @@ def scan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = fixtures.signups(spark, sf_dir)
     part = F.when(F.col("sgn_first") == 1, "first").when(F.col("sgn_act") == 1, "act").otherwise("look")
     path = _write_raw(fact, part)
-    rows = scan(spark, [f"{path}/part={p}" for p in ("first", "act", "look")], fact.spec)
+    rows = csv_parts.scan_parts(spark, [f"{path}/part={p}" for p in ("first", "act", "look")], fact.spec)
     sums = [F.sum(m).alias(m) for m in fact.spec.measures]
-    return parse(rows).groupBy("date", "state").agg(*sums, F.count("pincode").alias("n"))
+    return csv_parts.parse_dates(rows).groupBy("date", "state").agg(*sums, F.count("pincode").alias("n"))
 
 
 @query("SELECT CAST(o_orderdate AS DATE) AS date, COUNT(*) AS n FROM orders GROUP BY 1")
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = fixtures.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", DATE_FORMAT).alias("date"))
-    return parse(text).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    return csv_parts.parse_dates(text).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -100,12 +93,12 @@ def parse_dates_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", short)
         .otherwise(F.date_format("o_orderdate", DATE_FORMAT)).alias("date")
     )
-    return parse(text, strict=False).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    return csv_parts.parse_dates(text, strict=False).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> FactSet:
     raw = fixtures.facts(spark, sf_dir).map(lambda f: f.on(f.df.withColumn("state", _raw_state())))
-    return load_all(spark, [f.spec for f in raw.all()], [[_write_raw(f)] for f in raw.all()])
+    return csv_parts.load_facts(spark, [f.spec for f in raw.all()], [[_write_raw(f)] for f in raw.all()])
 
 
 @query(
@@ -123,7 +116,7 @@ def _loaded(spark: SparkSession, sf_dir: str) -> FactSet:
 def load_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for f in _loaded(spark, sf_dir).all():
-        rows = with_total(f.df, f.spec.measures).groupBy("state").agg(
+        rows = columns.with_total(f.df, f.spec.measures).groupBy("state").agg(
             F.count("date").alias("n"), F.sum("total").alias("total")
         )
         parts.append(rows.select(F.lit(f.spec.name).alias("dataset"), "state", "n", "total"))
@@ -141,9 +134,9 @@ def load_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = fixtures.facts(spark, sf_dir).map(
-        lambda f: f.on(normalize_region_name(f.df.withColumn("state", _raw_state())))
+        lambda f: f.on(names.normalize_region_name(f.df.withColumn("state", _raw_state())))
     )
-    return summary_frame(cleaned).withColumn("states", F.array_join("states", "|"))
+    return csv_parts.load_summary(cleaned).withColumn("states", F.array_join("states", "|"))
 
 
 @query("""
@@ -151,38 +144,38 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'renewals', COUNT(*), 'date,state,district,pincode,ren_done,ren_open' FROM renewals
     UNION ALL SELECT 'signups', COUNT(*), 'date,state,district,pincode,sgn_first,sgn_act,sgn_look' FROM signups""")
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog_frame(fixtures.facts(spark, sf_dir)).withColumn("fields", F.array_join("fields", ","))
+    return csv_parts.dataset_catalog(fixtures.facts(spark, sf_dir)).withColumn("fields", F.array_join("fields", ","))
 
 
 @query(
     "SELECT c_custkey AS pincode, name FROM customer JOIN names ON c_custkey % 20 = i",
     names=NAMES_SQL,
 )
-def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_region_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fixtures.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("pincode"), _raw_state("c_custkey").alias("name")
     )
-    return normalize_region_name(raw, "name")
+    return names.normalize_region_name(raw, "name")
 
 
 @query(
     "SELECT c_custkey AS pincode, name FROM customer JOIN names ON c_custkey % 20 = i",
     names=STRICT_SQL,
 )
-def normalize_names_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_region_name_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fixtures.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("pincode"), _raw_state("c_custkey").alias("name")
     )
-    return normalize_region_name(raw, "name", strict=True)
+    return names.normalize_region_name(raw, "name", strict=True)
 
 
 @query(
     f"SELECT name AS state, {UPD_SUMS}, {big(UPD, 'total')} FROM updates JOIN names ON pincode % 20 = i GROUP BY name",
     names=NAMES_SQL,
 )
-def normalize_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalized_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = fixtures.updates(spark, sf_dir)
-    cleaned = normalize_region_name(fact.df.withColumn("state", _raw_state()))
+    cleaned = names.normalize_region_name(fact.df.withColumn("state", _raw_state()))
     return rollup_by(fact.on(cleaned), ["state"])
 
 
@@ -244,72 +237,81 @@ def export_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_csv(exports.export_recommendations(fixtures.facts(spark, sf_dir)), "recommendations")
 
 
-@query(
-    """
-    SELECT 'state' AS level, state AS name, COALESCE(total_enrollments, 0) AS total_enrollments,
-           COALESCE(avg_daily, 0) AS avg_daily, COALESCE(peak, 0) AS peak,
-           CASE WHEN COALESCE(avg_daily, 0) <> 0 AND COALESCE(peak, 0) <> 0
-                THEN ROUND(CAST(avg_daily AS DOUBLE) / peak * 100, 1) ELSE 0.0 END AS capacity_pct,
-           upd_new, upd_old, ren_done, ren_open,
-           CAST(ceil(COALESCE(avg_daily, 0) / 150.0) AS BIGINT) * 25000 + 88000 AS monthly_cost
-    FROM u LEFT JOIN r USING (state) LEFT JOIN s USING (state)""",
-    u=f"SELECT state, {UPD_SUMS} FROM updates GROUP BY state",
-    r=f"SELECT state, {REN_SUMS} FROM renewals GROUP BY state",
-    d=f"SELECT state, date, {big(SGN, 'total')} FROM signups GROUP BY state, date",
-    s="""SELECT state, CAST(SUM(total) AS BIGINT) AS total_enrollments,
-                CAST(trunc(SUM(total) / COUNT(date)) AS BIGINT) AS avg_daily, MAX(total) AS peak
-         FROM d GROUP BY state""",
-)
+def _region_sql() -> dict[str, str]:
+    return {
+        "select": """
+        SELECT 'state' AS level, state AS name, COALESCE(total_enrollments, 0) AS total_enrollments,
+               COALESCE(avg_daily, 0) AS avg_daily, COALESCE(peak, 0) AS peak,
+               CASE WHEN COALESCE(avg_daily, 0) <> 0 AND COALESCE(peak, 0) <> 0
+                    THEN ROUND(CAST(avg_daily AS DOUBLE) / peak * 100, 1) ELSE 0.0 END AS capacity_pct,
+               upd_new, upd_old, ren_done, ren_open,
+               CAST(ceil(COALESCE(avg_daily, 0) / 150.0) AS BIGINT) * 25000 + 88000 AS monthly_cost
+        FROM u LEFT JOIN r USING (state) LEFT JOIN s USING (state)""",
+        "u": f"SELECT state, {UPD_SUMS} FROM updates GROUP BY state",
+        "r": f"SELECT state, {REN_SUMS} FROM renewals GROUP BY state",
+        "d": f"SELECT state, date, {big(SGN, 'total')} FROM signups GROUP BY state, date",
+        "s": """SELECT state, CAST(SUM(total) AS BIGINT) AS total_enrollments,
+                       CAST(trunc(SUM(total) / COUNT(date)) AS BIGINT) AS avg_daily, MAX(total) AS peak
+                FROM d GROUP BY state""",
+    }
+
+
+@query(**_region_sql())
+def export_region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_csv(exports.export_region_report(fixtures.facts(spark, sf_dir)), "regions")
+
+
+@query(**_region_sql())
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return region_report_frame(fixtures.facts(spark, sf_dir), "state")
+    return dashboard.region_report(fixtures.facts(spark, sf_dir), "state")
 
 
 # --- filters and scalar functions ---------------------------------------------------------
 
 
 @query("SELECT * FROM updates WHERE state = 'ASIA' AND district = 'NATION_7'")
-def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_region(fixtures.updates(spark, sf_dir), "ASIA", "NATION_7").df
+def filter_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_region(fixtures.updates(spark, sf_dir), "ASIA", "NATION_7").df
 
 
 @query("SELECT * FROM signups WHERE state = 'EUROPE'")
-def region_filter_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_region(fixtures.signups(spark, sf_dir), "EUROPE").df
+def filter_region_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_region(fixtures.signups(spark, sf_dir), "EUROPE").df
 
 
 @query("SELECT * FROM signups WHERE pincode IN (3, 17, 5)")
-def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_entities(fixtures.signups(spark, sf_dir), "pincode", ["3", "17", "x", "5"]).df
+def filter_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_entities(fixtures.signups(spark, sf_dir), "pincode", ["3", "17", "x", "5"]).df
 
 
 @query("SELECT * FROM updates WHERE date >= (SELECT MAX(date) FROM updates) - 30")
-def recent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recent_activity(fixtures.updates(spark, sf_dir)).df
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.recent_activity(fixtures.updates(spark, sf_dir)).df
 
 
 @query("SELECT date, COUNT(*) AS n FROM signups WHERE date >= (SELECT MAX(date) FROM updates) - 30 GROUP BY date")
-def recent_rows_of_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = recent_activity(fixtures.signups(spark, sf_dir), fixtures.updates(spark, sf_dir))
+def recent_activity_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent = filters.recent_activity(fixtures.signups(spark, sf_dir), fixtures.updates(spark, sf_dir))
     return recent.df.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT date, {REN_SUMS}, {big('ren_done + ren_open', 'total')} FROM renewals
            WHERE date >= (SELECT MAX(date) FROM renewals) - 90 GROUP BY date""")
-def last_90_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_totals(date_range(fixtures.renewals(spark, sf_dir), 90))
+def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_totals(filters.date_range(fixtures.renewals(spark, sf_dir), 90))
 
 
 @query(f"SELECT *, {UPD} AS total FROM updates")
-def row_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = fixtures.updates(spark, sf_dir)
-    return with_total(fact.df, fact.spec.measures)
+    return columns.with_total(fact.df, fact.spec.measures)
 
 
 @query("""SELECT DISTINCT date, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(month(date) AS INTEGER) AS month,
                  CAST(isodow(date) - 1 AS INTEGER) AS day_of_week FROM updates""")
 def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = fixtures.updates(spark, sf_dir).df.select("date").distinct()
-    return dates.withColumns(calendar_cols("date"))
+    return dates.withColumns(columns.calendar_cols("date"))
 
 
 @query(
@@ -319,23 +321,23 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def share_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = rollup_by(fixtures.updates(spark, sf_dir), ["state"]).select("state", "total")
     whole = totals.agg(F.sum("total")).scalar()
-    return totals.withColumn("percent", share(F.col("total"), whole))
+    return totals.withColumn("percent", columns.share(F.col("total"), whole))
 
 
 @query("SELECT DISTINCT date, strftime(date, '%Y-%m-%d') AS day FROM renewals")
 def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.renewals(spark, sf_dir).df.select("date", iso("date").alias("day")).distinct()
+    return fixtures.renewals(spark, sf_dir).df.select("date", columns.iso("date").alias("day")).distinct()
 
 
 @query("SELECT c_custkey, CAST(trunc(c_acctbal) AS BIGINT) AS whole FROM customer")
 def truncate_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "customer").select(
-        "c_custkey", trunc_long(F.col("c_acctbal")).alias("whole")
+        "c_custkey", columns.trunc_long(F.col("c_acctbal")).alias("whole")
     )
 
 
 @query(f"SELECT date, {SGN_SUMS}, {big(SGN, 'total')} FROM signups GROUP BY date")
-def concat_part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = fixtures.signups(spark, sf_dir)
     first = F.col("sgn_first") == 1
-    return daily_totals(concat_parts([fact.on(fact.df.filter(first)), fact.on(fact.df.filter(~first))]))
+    return daily_totals(joins.concat_parts([fact.on(fact.df.filter(first)), fact.on(fact.df.filter(~first))]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymap.spec import Fact
@@ -47,7 +47,3 @@ def recent_activity(fact: Fact, ref: Fact | None = None, days: int = 30) -> Fact
 def date_range(fact: Fact, days: int | None = None) -> Fact:
     """The last ``days`` of the table itself; None keeps all dates."""
     return fact if days is None else recent_activity(fact, fact, days)
-
-
-def distinct_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns).distinct()

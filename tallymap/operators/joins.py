@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymap.functions.columns import measure_sums, present, share, sum_or_zero, total
+from tallymap.functions.columns import present, share, sum_or_zero, total
 from tallymap.functions.shape import stack_facts
 from tallymap.spec import Fact, FactSet
 
@@ -65,7 +65,3 @@ def concat_parts(parts: Sequence[Fact]) -> Fact:
     for p in parts[1:]:
         df = df.unionByName(p.df)
     return parts[0].on(df)
-
-
-def band_sums(fact: Fact, by: Sequence[str] = ()) -> DataFrame:
-    return present(fact.df, by).groupBy(*by).agg(*measure_sums(fact.spec))
