@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by the session in ``spark.checkpoint.dir``.
 
-    Only where it is unset (single-machine tests) a fresh local folder is made
-    and kept for the session.
+    Only where it is unset on a single machine (tests) a fresh local folder is
+    made and kept for the session; a cluster has to name one.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tallymap-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

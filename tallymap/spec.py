@@ -44,7 +44,7 @@ class Fact:
 
 @dataclass(frozen=True)
 class FactSet:
-    """The three related tables; measure names must differ between them."""
+    """The three related tables: same date column and levels, different measure names."""
 
     demographic: Fact
     biometric: Fact
@@ -54,6 +54,8 @@ class FactSet:
         names = [m for f in self.all() for m in f.spec.measures]
         if len(names) != len(set(names)):
             raise ValueError(f"measure names clash between the tables: {sorted(names)}")
+        if len({(f.spec.date_col, f.spec.levels) for f in self.all()}) > 1:
+            raise ValueError("the tables must share the date column and the levels")
 
     def all(self) -> tuple[Fact, Fact, Fact]:
         return (self.demographic, self.biometric, self.enrolment)
