@@ -185,6 +185,43 @@ def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores, ["silhouette", "davies_bouldin"], 6)
 
 
+PIN_Z = ", ".join(f"({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER () AS {c}_z" for c in FIRST)
+PIN_GAP = "sqrt(" + " + ".join(f"power(x.{c}_z - y.{c}_z, 2)" for c in FIRST) + ")"
+PIN_OWN = "sqrt(" + " + ".join(f"power({c}_z - c_{c}, 2)" for c in FIRST) + ")"
+PIN_CENTER = "sqrt(" + " + ".join(f"power(x.c_{c} - y.c_{c}, 2)" for c in FIRST) + ")"
+
+
+@query(
+    """SELECT ROUND(s, 6) AS silhouette, ROUND(d, 6) AS davies_bouldin,
+              CASE WHEN s > 0.5 THEN 'Good' WHEN s > 0.25 THEN 'Fair' ELSE 'Needs Improvement' END AS quality
+       FROM (SELECT AVG(value) AS s FROM samples), (SELECT AVG(r) AS d FROM worst)""",
+    p=f"SELECT pincode, {UPD_SUMS} FROM updates GROUP BY pincode",
+    scaled=f"""SELECT pincode, {PIN_Z}, CAST(least(floor(({UPD}) / AVG({UPD}) OVER () * 2), 3) AS INTEGER) AS cluster
+               FROM p""",
+    means=f"""SELECT x.pincode, x.cluster, y.cluster AS other, SUM({PIN_GAP}) AS dist, COUNT(*) AS n
+              FROM scaled x, scaled y GROUP BY ALL""",
+    ab="""SELECT pincode, MAX(CASE WHEN other = cluster THEN n END) AS size,
+                 MAX(CASE WHEN other = cluster THEN dist / NULLIF(n - 1, 0) END) AS a,
+                 MIN(CASE WHEN other <> cluster THEN dist / n END) AS b FROM means GROUP BY ALL""",
+    samples="SELECT *, CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS value FROM ab",
+    cent=f"SELECT cluster, {', '.join(f'AVG({c}_z) AS c_{c}' for c in FIRST)} FROM scaled GROUP BY cluster",
+    spread=f"SELECT cluster, AVG({PIN_OWN}) AS sp FROM scaled JOIN cent USING (cluster) GROUP BY cluster",
+    cs="SELECT * FROM cent JOIN spread USING (cluster)",
+    worst=f"""SELECT x.cluster, MAX((x.sp + y.sp) / {PIN_CENTER}) AS r
+              FROM cs x JOIN cs y ON x.cluster <> y.cluster GROUP BY x.cluster""",
+)
+def cluster_quality_pincodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finest regions in four bands of activity relative to the mean."""
+    fact = fixtures.updates(spark, sf_dir)
+    places = rollup.pincode_features(fact).select("pincode", *FIRST)
+    amount = F.col("upd_new") + F.col("upd_old")
+    mean = places.select(F.avg(amount)).scalar()
+    banded = places.withColumn("cluster", F.least(F.floor(amount / mean * 2), F.lit(3)).cast("int"))
+    scaled = cluster.standardize(banded, FIRST)
+    scores = cluster.cluster_quality(scaled, ["pincode"], [f"{c}_z" for c in FIRST])
+    return rounded(scores, ["silhouette", "davies_bouldin"], 6)
+
+
 @query()
 def kmeans_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans_entities(_features(spark, sf_dir), FEATURES)

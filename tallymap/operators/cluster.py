@@ -13,10 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.util import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tallymap.functions.columns import total
 from tallymap.functions.shape import align
@@ -36,7 +36,10 @@ ADVICE = {
 }
 GOOD, FAIR, POOR = "Good", "Fair", "Needs Improvement"
 
+# Entities per task of a k-means iteration, and per block of the silhouette (a block is
+# some hundred kilobytes; larger blocks mean fewer copies of each entity).
 ROWS_PER_TASK = 100_000
+BLOCK_ROWS = 5_000
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -60,7 +63,6 @@ def _best_model(
 
     A fit is a row of short jobs, so some fits run side by side.
     """
-
     # Stop when the squared moves of all centres add up to less than 1e-4 (unit variance data).
     tol = (1e-4 / k) ** 0.5
 
@@ -215,7 +217,7 @@ def silhouette_samples(
     keys: Sequence[str],
     cols: Sequence[str],
     cluster: str = "cluster",
-    block_rows: int = 2000,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact Euclidean silhouette of each entity.
 
@@ -229,7 +231,7 @@ def silhouette_samples(
 
 
 def _silhouette_samples(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], block_rows: int = 2000
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     blocks = df.agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("n")
@@ -293,7 +295,7 @@ def silhouette(
     keys: Sequence[str],
     cols: Sequence[str],
     cluster: str = "cluster",
-    block_rows: int = 2000,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean silhouette; NULL unless there are at least 2 clusters and fewer than entities."""
     return _mean_silhouette(silhouette_samples(df, keys, cols, cluster, block_rows))

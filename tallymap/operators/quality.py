@@ -50,8 +50,8 @@ def quality_report(
     failures = [("missing", c, bad(F.col(c).isNull())) for c in columns]
     failures.append(("date_range", spec.date_col, bad(outside)))
     failures += [("negative", m, bad(F.col(m) < 0)) for m in spec.measures]
-    # All checks read this fold by day and region; it leaves missing keys in, as a filter on
-    # one would be pushed below and cost every check its own scan.
+    # All checks read this fold by day and region.  Missing keys stay in: they are counted, and
+    # a filter on a key would be pushed below the fold and keep it from being shared.
     folded = fact.df.groupBy(spec.date_col, wide).agg(
         sum_or_zero(weight).alias("rows"),
         sum_or_zero(total(spec.measures)).alias("total"),

@@ -27,8 +27,9 @@ from tallymap.spec import Fact, FactSet
 def profile(fact: Fact, base: Fact | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Everything about a table (or each of its regions) in one row.
 
-    Two passes over the facts: one folds them to days, from which counts, sums,
-    dates, growth and peak follow; one folds them to places for the coverage.
+    Two passes over the facts, which read different columns: one folds dates
+    and measures to days, from which counts, sums, growth and peak follow; one
+    folds the geography columns to places for the coverage.
     ``base`` adds the rate against another table's total.
     """
     spec, date = fact.spec, fact.spec.date_col
@@ -47,7 +48,7 @@ def profile(fact: Fact, base: Fact | None = None, by: Sequence[str] = ()) -> Dat
         F.max(date).alias("end_date"),
         F.round(growth_7(), 2).alias("growth_7"),
         per_day(whole, F.count(date)).alias("avg_daily"),
-        *[c for c in peak_columns(date, "dated")[:2]],
+        *peak_columns(date, "dated")[:2],
     )
     frames = [summary, coverage(fact, by)]
     if base is not None:
