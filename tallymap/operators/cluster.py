@@ -57,7 +57,7 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _best_model(
-    points: DataFrame, k: int, seeds: Sequence[int], parallelism: int = 4
+    points: DataFrame, k: int, seeds: Sequence[int], parallelism: int = 10
 ) -> KMeansModel:
     """k-means has several local optima: fit once per seed, keep the tightest.
 
