@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymap.functions.columns import ceil_div, per_day, sum_or_zero, total
+from tallymap.functions.columns import ceil_div, per_day, present, sum_or_zero, total
 from tallymap.functions.shape import align, stack_facts
 from tallymap.operators.rollup import rollup_by
 from tallymap.operators.trends import growth_rate_7
@@ -16,12 +16,18 @@ from tallymap.spec import CostParams, Fact, FactSet
 DEFAULT = CostParams()
 
 
-def load_columns(date: str = "date") -> list[Column]:
-    """Daily average and peak of a daily series."""
-    days = F.count(date)
+def daily_loads(fact: Fact, by: Sequence[str]) -> DataFrame:
+    """Totals per region and day, rows without a date kept as a day of their own."""
+    amount = sum_or_zero(total(fact.spec.measures)).alias("total")
+    return present(fact.df, by).groupBy(*by, fact.spec.date_col).agg(amount)
+
+
+def load_columns(date: str = "date", amount: str = "total") -> list[Column]:
+    """Daily average and peak; rows without a date count for the average's total only."""
+    dated = F.when(F.col(date).isNotNull(), F.col(amount))
     return [
-        per_day(F.sum("total"), days).alias("avg_daily"),
-        F.max("total").alias("peak"),
+        per_day(F.sum(amount), F.count(date)).alias("avg_daily"),
+        F.coalesce(F.max(dated), F.lit(0)).alias("peak"),
     ]
 
 
@@ -34,7 +40,7 @@ def utilization(avg_daily: Column, peak: Column) -> Column:
 
 def capacity_utilization(fact: Fact, by: Sequence[str] = ("state",)) -> DataFrame:
     date = fact.spec.date_col
-    load = rollup_by(fact, [date, *by]).groupBy(*by).agg(*load_columns(date))
+    load = daily_loads(fact, by).groupBy(*by).agg(*load_columns(date))
     rated = load.withColumn("capacity", utilization(F.col("avg_daily"), F.col("peak")))
     return rated.withColumn("efficient", F.col("capacity") > 70)
 
@@ -93,7 +99,7 @@ def capacity_advice(
 ) -> DataFrame:
     """Under-use, strain and trend change per region; thresholds apply to unrounded capacity."""
     date = load_fact.spec.date_col
-    load = rollup_by(load_fact, [date, *by]).groupBy(*by).agg(*load_columns(date))
+    load = daily_loads(load_fact, by).groupBy(*by).agg(*load_columns(date))
     peak = F.coalesce(F.nullif("peak", F.lit(0)), F.lit(1))
     used = load.select(*by, (F.col("avg_daily") / peak * 100).alias("used"))
     growth = growth_rate_7(rollup_by(growth_fact, [growth_fact.spec.date_col, *by]), by, date)

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymap.functions.columns import calendar_cols, per_day, trunc_long
+from tallymap.operators.capacity import daily_loads
 from tallymap.operators.filters import filter_region
-from tallymap.operators.rollup import calendar_totals, rollup_by
+from tallymap.operators.rollup import calendar_totals
 from tallymap.operators.trends import growth_7, numbered
 from tallymap.sources.scratch import stage
 from tallymap.spec import Fact
@@ -163,7 +164,7 @@ def flat_projection(
 def monthly_projection(fact: Fact, by: Sequence[str] = (), months: int = 6) -> DataFrame:
     """Flat projection of every region from its daily average and weekly growth."""
     date = fact.spec.date_col
-    series = numbered(rollup_by(fact, [date, *by]), by, date)
+    series = numbered(daily_loads(fact, by), by, date)
     base = series.groupBy(*by).agg(
         per_day(F.sum("total"), F.count(date)).alias("avg_daily"),
         F.round(growth_7(), 2).alias("growth"),

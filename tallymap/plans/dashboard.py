@@ -58,23 +58,19 @@ def region_report(facts: FactSet, level: str = "state") -> DataFrame:
         F.count(f"{enrol.spec.name}_records").alias("seen"),
         *[sum_or_zero(m).alias(m) for m in bands],
     )
-    loaded = (F.col("seen") > 0) & F.col(date).isNotNull()
-    days = days.withColumns(
-        {"total": F.when(loaded, F.col("amount")), "day": F.when(loaded, F.col(date))}
-    )
+    days = days.withColumn("day", F.when(F.col("seen") > 0, F.col(date)))
     both = days.groupBy(level).agg(
         F.sum("amount").alias("total_enrollments"),
-        *load_columns("day"),
+        *load_columns("day", "amount"),
         *[F.sum(m).alias(m) for m in bands],
     )
-    avg = F.coalesce("avg_daily", F.lit(0))
-    peak = F.coalesce("peak", F.lit(0))
+    avg, peak = F.col("avg_daily"), F.col("peak")
     return both.select(
         F.lit(level).alias("level"),
         F.col(level).cast("string").alias("name"),
         "total_enrollments",
-        avg.alias("avg_daily"),
-        peak.alias("peak"),
+        "avg_daily",
+        "peak",
         utilization(avg, peak).alias("capacity_pct"),
         *bands,
         monthly_cost(avg).alias("monthly_cost"),
