@@ -129,3 +129,22 @@ def test_skewed_table_gives_whole_results(skewed):
     want = demo.df.agg(*[F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in described]).first()
     for m, r in described.items():
         assert [r.q1, r.median, r.q3] == list(want[m])
+
+
+# The country as a whole is one series with one row per day.
+ONE_SERIES = {
+    "growth_rate_7", "growth_rate_30", "model_score", "moving_averages", "profile_biometric", "profile_demographic",
+    "profile_enrollment", "quality_report", "quality_score", "trend_report", "zscore_anomalies",
+}
+
+
+def test_only_country_wide_daily_series_meet_in_one_task(spark, sf_dir):
+    found = set()
+    for name in LAZY:
+        lines = plan(entry.queries()[name](spark, sf_dir)).split("\n")
+        for line, below in zip(lines, lines[1:]):
+            if "Exchange SinglePartition" in line and "Aggregate" not in below and "Limit" not in below:
+                found.add(name)
+            if re.search(r"\bWindow \[", line) and "SinglePartition" in below:
+                found.add(name)
+    assert found <= ONE_SERIES
