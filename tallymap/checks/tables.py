@@ -266,6 +266,22 @@ def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.region_report(fixtures.facts(spark, sf_dir), "state")
 
 
+@query(
+    """
+    SELECT 'country' AS level, 'all' AS name, total_enrollments, avg_daily, peak,
+           ROUND(CAST(avg_daily AS DOUBLE) / peak * 100, 1) AS capacity_pct, upd_new, upd_old, ren_done, ren_open,
+           CAST(ceil(avg_daily / 150.0) AS BIGINT) * 25000 + 88000 AS monthly_cost
+    FROM u, r, s""",
+    u=f"SELECT {UPD_SUMS} FROM updates",
+    r=f"SELECT {REN_SUMS} FROM renewals",
+    d=f"SELECT date, {big(SGN, 'total')} FROM signups GROUP BY date",
+    s="""SELECT CAST(SUM(total) AS BIGINT) AS total_enrollments, MAX(total) AS peak,
+                CAST(trunc(SUM(total) / COUNT(date)) AS BIGINT) AS avg_daily FROM d""",
+)
+def region_report_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.region_report(fixtures.facts(spark, sf_dir), None)
+
+
 # --- filters and scalar functions ---------------------------------------------------------
 
 

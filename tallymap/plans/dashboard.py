@@ -46,28 +46,30 @@ def dashboard(facts: FactSet) -> dict[str, DataFrame]:
     }
 
 
-def region_report(facts: FactSet, level: str = "state") -> DataFrame:
-    """Enrolment load, capacity, cost and band sums of the other two tables, one row per region."""
+def region_report(facts: FactSet, level: str | None = "state") -> DataFrame:
+    """Enrolment load, capacity, cost and band sums of the other two tables, one row per region;
+    ``level=None`` gives one row for the country."""
+    by = [level] if level else []
     demo, bio, enrol = facts.all()
     date = enrol.spec.date_col
     bands = [*demo.spec.measures[:2], *bio.spec.measures[:2]]
     # Days of all tables in one pass; the load is that of the third table's days.
-    rows = present(stack_facts(facts.all(), [level, date]), [level])
-    days = rows.groupBy(level, date).agg(
+    rows = present(stack_facts(facts.all(), [*by, date]), by)
+    days = rows.groupBy(*by, date).agg(
         sum_or_zero(total(enrol.spec.measures)).alias("amount"),
         F.count(f"{enrol.spec.name}_records").alias("seen"),
         *[sum_or_zero(m).alias(m) for m in bands],
     )
     days = days.withColumn("day", F.when(F.col("seen") > 0, F.col(date)))
-    both = days.groupBy(level).agg(
+    both = days.groupBy(*by).agg(
         F.sum("amount").alias("total_enrollments"),
         *load_columns("day", "amount"),
         *[F.sum(m).alias(m) for m in bands],
     )
     avg, peak = F.col("avg_daily"), F.col("peak")
     return both.select(
-        F.lit(level).alias("level"),
-        F.col(level).cast("string").alias("name"),
+        F.lit(level or "country").alias("level"),
+        (F.col(level).cast("string") if level else F.lit("all")).alias("name"),
         "total_enrollments",
         "avg_daily",
         "peak",

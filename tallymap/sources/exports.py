@@ -47,5 +47,5 @@ def export_recommendations(facts: FactSet, state: str | None = None) -> DataFram
     return rules.drop("value", "limit", "actions")
 
 
-def export_region_report(facts: FactSet, level: str = "state") -> DataFrame:
+def export_region_report(facts: FactSet, level: str | None = "state") -> DataFrame:
     return region_report(facts, level).orderBy("name")

@@ -94,3 +94,13 @@ def test_coverage_summary_without_base(spark):
     assert got == [("A", 204.1, 69.0), ("B", 200.0, 70.0)]
     lonely = three(spark, [(DAY0, "A", "X", 1, 1, 1)])
     assert rows(capacity.coverage_summary(lonely)) == [("A", None, 0.0)]
+
+
+def test_country_is_one_region(spark):
+    f = facts(spark)
+    load = capacity.capacity_utilization(f.demographic, [])
+    assert load.columns[0] == "avg_daily" and load.first().avg_daily == 200
+    assert capacity.resource_plan(load, []).first().centers == 1
+    assert capacity.cost_advice(capacity.cost_model(load), []).count() == 3
+    assert rows(capacity.coverage_summary(f, [])) == [(202.0, 70.5)]
+    assert {r.code for r in capacity.capacity_advice(f.demographic, f.demographic, []).collect()} == {"strained"}
