@@ -33,6 +33,8 @@ from .shared import id_fold, text_or_empty
 
 #: Constant bytes after each window and at the end of both dictionaries.
 TAIL = hashlib.sha512(b"window end").digest()
+#: Bytes that begin a window, so that what begins a word is told from what only occurs in words.
+START = b"\x01\x02"
 LONGEST = 64
 MEMO = 400_000
 
@@ -42,9 +44,9 @@ class Settings:
     """``labelled_rows`` bounds, for each class, the labelled texts that training looks at, and
     ``text_bytes`` the bytes of each; scoring reads whole texts."""
 
-    common_bytes: int = 400_000
-    class_bytes: int = 4096
-    level: int = 9
+    common_bytes: int = 800_000
+    class_bytes: int = 8192
+    level: int = 16
     labelled_rows: int = 4000
     text_bytes: int = 20_000
     threshold: float = 0.7
@@ -77,7 +79,7 @@ class Distance(dict):
     def __missing__(self, window: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        padded = b" " + window + b" " + TAIL
+        padded = START + window + START + TAIL
         saved = len(self.ordinary.compress(padded)) - len(self.toxic.compress(padded))
         self[window] = saved
         return saved
@@ -116,10 +118,14 @@ def score_of(found: list[float], weights: tuple[float, ...]) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _dictionary(words: Counter, size: int, known: bytes = b"") -> bytes:
+def _dictionary(words: Counter, size: int, known: bytes = b"", least: int = 1) -> bytes:
     """Dictionary content trained on each window as often as texts hold it, without those already known."""
+    have = set(known.split())
     samples = [
-        b" " + w + b" " for w in sorted(words) if len(w) > 3 and w not in known for _ in range(words[w])
+        b" " + w + b" "
+        for w in sorted(words)
+        if len(w) > 3 and words[w] >= least and w not in have
+        for _ in range(words[w])
     ]
     random.Random(7).shuffle(samples)
     samples = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)][:150_000]
@@ -157,13 +163,20 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     for label in (0, 1):
         some = rows.where(F.col("toxic") == label).orderBy("h", "text").limit(settings.labelled_rows)
         kept += [(bytes(r.text), r.toxic, r.h) for r in some.collect()]
+    return train_kept(kept, settings)
+
+
+def train_kept(kept: list[tuple[bytes, int, int]], settings: Settings) -> Model:
+    """Fit on (text, label, hash) rows; every fourth hash is for the curve."""
     words = {0: Counter(), 1: Counter()}
+    texts = Counter()
     for text, label, h in kept:
         if h % 4:
             words[label].update(set(windows(text)))
+            texts[label] += 1
     common = _dictionary(words[0], settings.common_bytes)
-    parts = [_dictionary(words[label], settings.class_bytes, common) for label in (0, 1)]
-    ordinary, toxic = (part + common + TAIL for part in parts)
+    parts = [_dictionary(words[label], settings.class_bytes, common, 2 + texts[label] // 250) for label in (0, 1)]
+    ordinary, toxic = ((part + common).replace(b" ", START) + TAIL for part in parts)
     model = Model(toxic, ordinary, (), settings.level)
     distance = Distance(model)
     held = [(features(text, distance), label) for text, label, h in kept if not h % 4]
