@@ -36,7 +36,7 @@ GRAM = 32
 #: Bytes of a text that are hashed at once; runs end at these borders.
 CHUNK = 1 << 22
 #: Bytes of runs whose suffixes are sorted together (a single key may have more).
-BATCH = 1 << 20
+BATCH = 1 << 16
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: U) -> np.ndarray:
@@ -87,19 +87,22 @@ def _runs(data: np.ndarray, offset: int, least: int, gram: int) -> np.ndarray:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``depth`` symbols, by prefix doubling; and their ranks."""
+    """Suffixes in order of their first ``depth`` symbols, two or three times as many each round; and their places."""
     n = len(symbols)
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     width = 1
+    bits = n.bit_length()
+    parts = 3 if 3 * bits < 63 else 2  # so many ranks fit into one sorting key
     while width < depth and rank.max() < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
+        key = rank + 1
+        for k in range(1, parts):
+            key <<= bits
+            key[: max(0, n - k * width)] += rank[k * width :] + 1
+        order = np.argsort(key)
+        ordered = key[order]
         rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        width *= 2
+        width *= parts
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, place
@@ -109,7 +112,7 @@ def repeated_prefixes(symbols: np.ndarray, least: int) -> np.ndarray:
     """Positions whose next ``least`` symbols also start elsewhere."""
     n = len(symbols)
     order, place = suffix_order(symbols, least)
-    # Step to the suffix one symbol longer: by ties beyond ``least`` the order is kept stable through it.
+    # Where the suffix one symbol longer stands.
     back = place[order - 1]
     heads = symbols[order]
     common = np.full(n + 1, -1, np.int32)
@@ -122,7 +125,7 @@ def repeated_prefixes(symbols: np.ndarray, least: int) -> np.ndarray:
         owner = np.repeat(np.arange(len(low)), sizes)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
         to = back[inside]
-        by = np.argsort(to, kind="stable")
+        by = np.argsort(to)
         to, owner = to[by], owner[by]
         head = heads[to]
         cut = np.flatnonzero((owner[1:] != owner[:-1]) | (head[1:] != head[:-1])) + 1
