@@ -90,7 +90,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """(doc_id, text, next_text): the next row in descending doc_id, after the last one the first.
+    """(doc_id, text, fingerprint, next_text, next_fingerprint): the next row in descending doc_id, after the last one the first.
 
     Equal ids are ordered by text, null ids come last.  Ids are cut into runs at quantiles
     and a window goes over each run; a copy of the next run's first rows closes a run.
@@ -113,7 +113,8 @@ def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     tops = placed.groupBy("run").agg(F.max("doc_id").alias("top")).collect()  # a row a run
     order = sorted((r.run, r.top) for r in tops)
     if not order:
-        return rows.withColumn("next_text", F.col("text"))
+        marked = rows.withColumn("fingerprint", fingerprint(F.col("text")))
+        return marked.withColumns({"next_text": F.col("text"), "next_fingerprint": F.col("fingerprint")})
     sends = [(top, order[at - 1][0]) for at, (_, top) in enumerate(order)]
     ids = [top for top, _ in sends if top is not None]
     first = F.col("doc_id").isin(ids) if ids else F.lit(False)
@@ -124,8 +125,10 @@ def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     )
     heads = placed.where(first).withColumn("run", target.cast("int")).withColumn("ghost", F.lit(True))
     both = placed.withColumn("ghost", F.lit(False)).unionByName(heads)
+    both = both.withColumn("fingerprint", fingerprint(F.col("text")))
     window = Window.partitionBy("run").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
-    return both.withColumn("next_text", F.lead("text").over(window)).where(~F.col("ghost")).drop("ghost", "run")
+    following = {f"next_{c}": F.lead(c).over(window) for c in ("text", "fingerprint")}
+    return both.withColumns(following).where(~F.col("ghost")).drop("ghost", "run")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -138,9 +141,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
+        "fingerprint",
         fingerprint(edited).alias("edited_fingerprint"),
-        fingerprint(F.col("next_text")).alias("next_fingerprint"),
+        "next_fingerprint",
     )
     return rows.select(
         "doc_id",
