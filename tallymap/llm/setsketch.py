@@ -8,10 +8,11 @@ are bucket keys.  Pairs from buckets are estimated jointly, by the likelihood of
 many registers are larger, smaller and equal given both set sizes, and those not
 clearly below the threshold are confirmed on full sets.
 
-Only links that can join something are looked at, never all pairs of a bucket.  First
-every member of a bucket meets the bucket's smallest member.  Then, in rounds, members
-of a bucket that are not yet in one component meet; groups of copies are one component
-after the first step, so what is left are members that differ.  Exact copies of a text
+Only links that can join something are looked at, never all pairs of a bucket.  In
+rounds, the members of a bucket meet its most central one, the text that shares most
+buckets with others (of a group of copies, mostly the one they were made from).  Then
+the members that are not yet in one component meet each other, if their sizes allow a
+link; groups of copies are one component by then, so what is left are texts that differ.  Exact copies of a text
 are one node throughout.
 """
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, digest16, staged, text_or_empty
@@ -38,6 +39,7 @@ class Settings:
 
     At 0.8 a pair is missed with a probability of 1.5e-5, at 0.85 of 7e-8.  ``base``,
     ``rate`` and ``top`` are the sketch's scale, rate and largest register value.
+    ``rounds``: how often members meet a bucket's most central member before the rest meet each other.
     """
 
     words: int = 5
@@ -47,6 +49,7 @@ class Settings:
     base: float = 1.001
     rate: float = 20.0
     top: int = 65_534
+    rounds: int = 2
 
     @property
     def registers(self) -> int:
@@ -228,27 +231,43 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     """(rows, components): sketched rows of all documents, and (node, root) of linked texts."""
     rows = staged(sketches(docs, settings), "sketches")
     nodes = rows.dropDuplicates(["node"])
-    spread = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
-    first = spread.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets = staged(spread.join(first, "key").select("key", "hub", "node"), "buckets")
-    tried = staged(
-        buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "hub-pairs"
-    )
-    found = _verify(tried, docs, nodes, settings)
-    roots = components(found)
-    member = buckets.select("key", "node").join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")
-    )
-    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = staged(member.join(mixed, "key"), "mixed")
-    left = member.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = member.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").where("ra <> rb and a < b").select("a", "b").distinct()
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verify(rest, docs, nodes, settings)
+    spread = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = staged(spread.join(shared, "key"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
+    buckets = staged(buckets.drop("n").join(central, "node"), "ranked")
+    member = buckets.withColumn("root", F.col("node"))
+    tried, found, roots = None, None, None
+    for _ in range(settings.rounds):
+        top = member.groupBy("key").agg(F.max(F.struct("rank", "node", "root", "size")).alias("top"))
+        pairs = member.join(top, "key").where((F.col("root") != F.col("top.root")) & _near("size", "top.size", settings))
+        pairs = pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        more = _verify(pairs, docs, nodes, settings)
+        found = more if found is None else found.union(more)
+        roots = components(found)
+        member = _mixed(buckets, roots)
+    left = member.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
+    right = member.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
+    rest = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _near("na", "nb", settings))
+    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = _verify(staged(rest, "rest"), docs, nodes, settings)
     return rows, components(found.union(more))
 
 
+def _near(a: str, b: str, settings: Settings) -> Column:
+    """Whether sets of these sizes can be as similar as asked for."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * settings.percent
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their component's root."""
+    member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return staged(member.join(mixed.select("key"), "key"), "mixed")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     likely = staged(_likely(pairs, nodes, settings), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("node"))
