@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallymap import Fact
 from tallymap.checks.base import REN, REN_SUMS, SGN, SGN_SUMS, UPD, UPD_SUMS, big, query, rounded
 from tallymap.checks.tables import SPIKE_CTES
 from tallymap.operators import anomaly, rollup, stats, trends
@@ -273,7 +275,7 @@ def describe_measures_renewals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corr(fact: str, a: str, b: str, digits: int = 6) -> str:
-    value = f"covar_samp({a}, {b}) / NULLIF(stddev_samp({a}) * stddev_samp({b}), 0)"
+    value = f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END"
     return f"SELECT '{a}' AS a, '{b}' AS b, ROUND({value}, {digits}) AS r FROM {fact}"
 
 
@@ -289,6 +291,20 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.correlation(fixtures.signups(spark, sf_dir)), ["r"], 6)
 
 
+@query(
+    " UNION ALL ".join(
+        _corr("(SELECT CASE WHEN upd_old % 5 <> 0 THEN upd_new END AS upd_new, upd_old FROM updates)", a, b)
+        for a in ("upd_new", "upd_old")
+        for b in ("upd_new", "upd_old")
+    )
+)
+def correlation_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of a pair missing: only rows with both values count."""
+    fact = fixtures.updates(spark, sf_dir)
+    gaps = fact.df.withColumn("upd_new", F.when(F.col("upd_old") % 5 != 0, F.col("upd_new")))
+    return rounded(stats.correlation(Fact(gaps, fact.spec)), ["r"], 6)
+
+
 @query(
     """
     SELECT 'describe' AS section, measure AS item, statistic, CAST(value AS DOUBLE) AS value FROM (

@@ -29,7 +29,7 @@ def _pick(rank: Column) -> Column:
 
 
 def _moments(counts: DataFrame) -> DataFrame:
-    amount = F.col("value") * F.col("n")
+    amount = F.col("value").cast("double") * F.col("n")  # a common value times its count can leave BIGINT
     return counts.groupBy("measure").agg(
         F.sum("n").alias("rows"),
         F.min("value").alias("min"),
@@ -107,13 +107,14 @@ def describe_measures(fact: Fact) -> DataFrame:
 
 
 def pearson(a: str, b: str) -> Column:
-    """Correlation that is NULL, not an error, when a column is constant."""
-    spread = F.stddev_samp(a) * F.stddev_samp(b)
-    return F.covar_samp(a, b) / F.nullif(spread, F.lit(0))
+    """Correlation over the rows that have both values; NULL, not an error, when one is constant there."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0))
 
 
 def correlation(fact: Fact) -> DataFrame:
-    """Correlation matrix of the measures in long form, one pass over complete rows."""
+    """Correlation matrix of the measures in long form, one pass; each pair over its complete rows."""
     pairs = list(product(fact.spec.measures, repeat=2))
     row = fact.df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [

@@ -28,15 +28,21 @@ def _token_to_null(name: str) -> Column:
     return F.when(~F.col(name).isin(*NULL_TOKENS), F.col(name)).alias(name)
 
 
-def scan_parts(spark: SparkSession, paths: Sequence[str], spec: FactSpec) -> DataFrame:
+def scan_parts(
+    spark: SparkSession, paths: Sequence[str], spec: FactSpec, multi_line: bool = False
+) -> DataFrame:
     """All part files of one dataset as one scan with an explicit schema.
 
+    A row with too many or too few fields raises, whichever columns a query reads.
+    ``multi_line`` allows line breaks in quoted fields; files are then not split.
     Fields are read as text and cast after the missing-value texts are removed,
     so a bad number raises instead of turning into NULL unseen.
     """
     schema = spec.raw_schema()
     text = ", ".join(f"`{f.name}` string" for f in schema.fields)
-    raw = spark.read.schema(text).options(**CSV_FORMAT, enforceSchema=False).csv(list(paths))
+    raw = spark.read.schema(text).options(
+        **CSV_FORMAT, enforceSchema=False, mode="FAILFAST", columnPruning=False, multiLine=multi_line
+    ).csv(list(paths))
     return raw.select(
         *[_token_to_null(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )

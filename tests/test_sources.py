@@ -114,3 +114,16 @@ def test_measure_names_must_differ(spark):
 
     with pytest.raises(ValueError):
         FactSet(f, Fact(f.df, DEMO), f)
+
+
+@pytest.mark.parametrize("row", ["01-09-2025,Goa,North,403001,1,2,9", "01-09-2025,Goa"])
+def test_rows_with_other_field_counts_raise(spark, tmp_path, row):
+    (tmp_path / "part.csv").write_text(f"date,state,district,pincode,{','.join(DEMOGRAPHIC.measures)}\n01-09-2025,Goa,North,403001,1,2\n{row}\n")
+    scan = scan_parts(spark, [str(tmp_path)], DEMOGRAPHIC)
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+        scan.groupBy("state").count().collect()
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "part.csv").write_text(f'date,state,district,pincode,{",".join(DEMOGRAPHIC.measures)}\n01-09-2025,Goa,"Nor\nth",403001,1,2\n')
+    assert [r.district for r in scan_parts(spark, [str(tmp_path)], DEMOGRAPHIC, multi_line=True).collect()] == ["Nor\nth"]
