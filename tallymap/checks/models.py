@@ -82,10 +82,7 @@ def _profile_sql(factor: str, growth) -> str:
     return f"""
         SELECT cluster, size, ROUND(d, 4) AS avg_demographic, ROUND(e, 4) AS avg_enrollment,
                CASE WHEN d > gd * {factor} THEN 'High Activity' WHEN g > gg * {factor} THEN 'Growing Region'
-                    ELSE 'Stable Region' END AS category,
-               CASE WHEN d > gd * {factor} THEN 'keep resources and watch the load'
-                    WHEN g > gg * {factor} THEN 'add desks ahead of demand'
-                    ELSE 'watch routinely and trim idle desks' END AS advice
+                    ELSE 'Stable Region' END AS category
         FROM (SELECT cluster, COUNT(*) AS size, {_means(FIRST)} AS d, {_means(SECOND)} AS e, {_means(growth)} AS g
               FROM assigned GROUP BY cluster),
              (SELECT {_means(FIRST)} AS gd, {_means(growth)} AS gg FROM assigned)"""
@@ -168,6 +165,14 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cluster.silhouette(_scaled(spark, sf_dir), KEYS, SCALED_COLS), ["silhouette"], 6)
 
 
+@query(
+    "SELECT ROUND(AVG(value), 6) AS silhouette FROM samples",
+    **{**SILHOUETTE_SQL, "means": SILHOUETTE_SQL["means"].replace(DIST, f"power({DIST}, 2)")},
+)
+def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cluster.silhouette_squared(_scaled(spark, sf_dir), SCALED_COLS), ["silhouette"], 6)
+
+
 @query("SELECT ROUND(AVG(r), 6) AS davies_bouldin FROM worst", **ASSIGNED_SQL, **DB_SQL)
 def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cluster.davies_bouldin(_scaled(spark, sf_dir), SCALED_COLS), ["davies_bouldin"], 6)
@@ -186,7 +191,7 @@ def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PIN_Z = ", ".join(f"({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER () AS {c}_z" for c in FIRST)
-PIN_GAP = "sqrt(" + " + ".join(f"power(x.{c}_z - y.{c}_z, 2)" for c in FIRST) + ")"
+PIN_GAP = " + ".join(f"power(x.{c}_z - y.{c}_z, 2)" for c in FIRST)
 PIN_OWN = "sqrt(" + " + ".join(f"power({c}_z - c_{c}, 2)" for c in FIRST) + ")"
 PIN_CENTER = "sqrt(" + " + ".join(f"power(x.c_{c} - y.c_{c}, 2)" for c in FIRST) + ")"
 
@@ -218,7 +223,7 @@ def cluster_quality_pincodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = places.select(F.avg(amount)).scalar()
     banded = places.withColumn("cluster", F.least(F.floor(amount / mean * 2), F.lit(3)).cast("int"))
     scaled = cluster.standardize(banded, FIRST)
-    scores = cluster.cluster_quality(scaled, ["pincode"], [f"{c}_z" for c in FIRST])
+    scores = cluster.cluster_quality(scaled, ["pincode"], [f"{c}_z" for c in FIRST], squared=True)
     return rounded(scores, ["silhouette", "davies_bouldin"], 6)
 
 
@@ -261,6 +266,58 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.calendar_model(fixtures.renewals(spark, sf_dir), "ASIA").importance()
 
 
+def _inside(predicted: DataFrame, totals: DataFrame) -> DataFrame:
+    """Predicted dates, and whether the prediction stays within the totals it was learnt from."""
+    seen = totals.select(F.struct(F.min("total").alias("low"), F.max("total").alias("high"))).scalar()
+    return predicted.select("date", F.col("predicted_total").between(seen["low"], seen["high"]).alias("inside"))
+
+
+@query(
+    """SELECT CAST(last + CAST(i AS INTEGER) AS DATE) AS date, TRUE AS inside, CAST(1 AS BIGINT) AS levels
+       FROM (SELECT MAX(date) AS last FROM updates), generate_series(1, 30) AS g(i)"""
+)
+def forecast_daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for any fit: the dates, one level for all of them, within the series."""
+    daily = rollup.daily_totals(fixtures.updates(spark, sf_dir))
+    ahead = forecast.forecast_daily(daily)
+    levels = ahead.select(F.count_distinct("predicted_total")).scalar()
+    return _inside(ahead, daily).withColumn("levels", levels)
+
+
+@query(
+    """SELECT CAST(last + CAST(i AS INTEGER) AS DATE) AS date, TRUE AS inside
+       FROM (SELECT MAX(date) AS last FROM updates), generate_series(1, 7) AS g(i)"""
+)
+def calendar_model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact = fixtures.updates(spark, sf_dir)
+    return _inside(forecast.calendar_model(fact).predict(), rollup.calendar_totals(fact))
+
+
+@query("SELECT CAST(3 AS BIGINT) AS features, 1.0::DOUBLE AS weight")
+def feature_importance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = forecast.calendar_model(fixtures.renewals(spark, sf_dir), "ASIA").importance()
+    return weights.agg(
+        F.count_distinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("weight")
+    )
+
+
+@query(
+    "SELECT COUNT(*) AS entities, least(6, COUNT(*)) AS clusters, CAST(0 AS BIGINT) AS out_of_order FROM feat",
+    **FEATURE_SQL,
+)
+def kmeans_entities_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for any fit: all entities, as many clusters as asked for, numbered by mean total."""
+    assigned = cluster.kmeans_entities(_features(spark, sf_dir), FEATURES)
+    amount = sum((F.col(c) for c in FEATURES[1:]), start=F.col(FEATURES[0]))
+    means = assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(amount).alias("mean"))
+    before = F.lag("mean").over(W.orderBy("cluster"))  # one row per cluster
+    return means.withColumn("before", before).agg(
+        F.sum("n").alias("entities"),
+        F.count("*").alias("clusters"),
+        F.count_if(F.col("mean") > F.col("before")).alias("out_of_order"),
+    )
+
+
 @query(
     """SELECT ROUND(1 - SUM((total - y_hat) * (total - y_hat)) / (VAR_POP(total) * COUNT(*)), 6) AS r2
        FROM (SELECT total, AVG(total) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS y_hat FROM daily)""",
@@ -294,22 +351,20 @@ def _rules_sql(by: str = "") -> dict[str, str]:
     group = f"GROUP BY {by}" if by else ""
     join = f"USING ({by})" if by else "ON TRUE"
 
-    texts = {r.category: (r.title, "; ".join(r.actions), r.impact) for r in rules.RULES}
-
-    def rule(category: str, priority: str, value: str, base: str, factor: str) -> str:
-        title, actions, impact = texts[category]
-        return f"""SELECT {key}'{priority}' AS priority, '{category}' AS category, '{title}' AS title,
+    def rule(category: str, priority: str, code: str, value: str, base: str, factor: str) -> str:
+        return f"""SELECT {key}'{priority}' AS priority, '{category}' AS category, '{code}' AS code,
                           CAST({value} AS DOUBLE) AS value, ROUND(CAST({base} * {factor} AS DOUBLE), 4) AS "limit",
-                          COALESCE(ROUND(CAST({value} AS DOUBLE) / NULLIF({base}, 0) * 100, 1), 0.0) AS percent,
-                          '{actions}' AS actions, '{impact}' AS impact FROM b WHERE {value} < {base} * {factor}"""
+                          ROUND(CAST({base} * {factor} - {value} AS DOUBLE), 4) AS gap,
+                          COALESCE(ROUND(CAST({value} AS DOUBLE) / NULLIF({base}, 0) * 100, 1), 0.0) AS percent
+                   FROM b WHERE {value} < {base} * {factor}"""
 
     return {
         "select": " UNION ALL ".join(
             [
-                rule("enrollment", "high", "enrol", "demo", "0.5"),
-                rule("coverage", "medium", "pincodes", "districts", "10"),
-                rule("demographics", "high", "child", "adult", "0.3"),
-                rule("biometric", "medium", "bio", "demo", "0.7"),
+                rule("enrollment", "high", "enrolments_low", "enrol", "demo", "0.5"),
+                rule("coverage", "medium", "postcodes_sparse", "pincodes", "districts", "10"),
+                rule("demographics", "high", "children_few", "child", "adult", "0.3"),
+                rule("biometric", "medium", "biometrics_behind", "bio", "demo", "0.7"),
             ]
         ),
         "du": f"""SELECT {key}SUM({UPD}) AS demo, SUM(upd_new) AS child, SUM(upd_old) AS adult,
@@ -321,18 +376,14 @@ def _rules_sql(by: str = "") -> dict[str, str]:
     }
 
 
-def _flat_actions(df: DataFrame) -> DataFrame:
-    return rounded(df.withColumn("actions", F.array_join("actions", "; ")), ["limit"])
-
-
 @query(**_rules_sql())
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_actions(rules.recommendations(fixtures.facts(spark, sf_dir)))
+    return rounded(rules.recommendations(fixtures.facts(spark, sf_dir)), ["limit", "gap"])
 
 
 @query(**_rules_sql("pincode"))
 def recommendations_by_pincode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_actions(rules.recommendations(fixtures.facts(spark, sf_dir), ["pincode"]))
+    return rounded(rules.recommendations(fixtures.facts(spark, sf_dir), ["pincode"]), ["limit", "gap"])
 
 
 def _capacity_sql(fact: str, expr: str, by: str) -> dict[str, str]:

@@ -227,8 +227,8 @@ def export_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT 'high' AS priority, 'enrollment' AS category, 'Few enrolments for the update volume' AS title,
-           ROUND(s.total / u.total * 100, 1) AS percent, 'a third more enrolments' AS impact
+    SELECT 'high' AS priority, 'enrollment' AS category, 'enrolments_low' AS code, s.total AS value,
+           u.total * 0.5 AS "limit", u.total * 0.5 - s.total AS gap, ROUND(s.total / u.total * 100, 1) AS percent
     FROM s, u WHERE s.total < u.total * 0.5""",
     u=f"SELECT CAST(SUM({UPD}) AS DOUBLE) AS total FROM updates",
     s=f"SELECT CAST(SUM({SGN}) AS DOUBLE) AS total FROM signups",

@@ -29,11 +29,6 @@ from tallymap.spec import Fact, FactSet
 
 # Categories of clusters and labels of their quality.
 HIGH, GROWING, STABLE = "High Activity", "Growing Region", "Stable Region"
-ADVICE = {
-    HIGH: "keep resources and watch the load",
-    GROWING: "add desks ahead of demand",
-    STABLE: "watch routinely and trim idle desks",
-}
 GOOD, FAIR, POOR = "Good", "Fair", "Needs Improvement"
 
 # Entities per task of a k-means iteration, and per block of the silhouette (a block is
@@ -100,8 +95,9 @@ def kmeans_entities(
     if n < 2:
         return entities.drop(*scaled).withColumn("cluster", F.lit(None).cast("int")).limit(0)
     points = VectorAssembler(inputCols=scaled, outputCol="features").transform(entities)
-    # Few entities in many small partitions would make every iteration wait on task starts.
-    packed = points.coalesce(-(-n // ROWS_PER_TASK))
+    # Few entities in many small partitions would make every iteration wait on task starts.  Starting
+    # centres are drawn per partition, so rows are dealt and ordered by value, not by file layout.
+    packed = points.repartition(-(-n // ROWS_PER_TASK), *df.columns).sortWithinPartitions(*df.columns)
     model = _best_model(packed, min(k, n), range(seed, seed + restarts))
     assigned = model.transform(points).withColumnRenamed("prediction", "cluster")
     return _by_activity(assigned.drop("features", *scaled), total(cols))
@@ -124,12 +120,17 @@ def _sum_of_means(cols: Sequence[str]) -> Column:
 
 
 def cluster_profile(
-    assigned: DataFrame, first: Sequence[str], second: Sequence[str], variant: str = "report"
+    assigned: DataFrame,
+    first: Sequence[str],
+    second: Sequence[str],
+    variant: str = "report",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Size, mean activity and category of each cluster.
 
     ``report`` asks for 20 % above the overall mean; ``export`` for any excess,
-    and looks at the first measure of the second table only.
+    and looks at the first measure of the second table only.  ``texts`` is a table with a
+    ``category`` column and what is to be said about it.
     """
     factor = {"report": 1.2, "export": 1.0}[variant]
     growth_cols = list(second) if variant == "report" else list(second[:1])
@@ -149,8 +150,8 @@ def cluster_profile(
         .when(F.col("growth") > overall["growth"] * factor, GROWING)
         .otherwise(STABLE)
     )
-    advice = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
-    return means.withColumn("category", category).withColumn("advice", advice[F.col("category")]).drop("growth")
+    named = means.withColumn("category", category).drop("growth")
+    return named if texts is None else named.join(texts, "category", "left")
 
 
 def cluster_top(assigned: DataFrame, by: str, keys: Sequence[str], k: int = 5) -> DataFrame:
@@ -266,8 +267,9 @@ def _silhouette_samples(
             for label in np.unique(labels):
                 y = np.stack(there["at"].to_numpy()[labels == label])
                 sums = np.zeros(len(x))
-                for row in y:
-                    sums += np.sqrt(((x - row) ** 2).sum(axis=1))
+                for at in range(0, len(y), 64):  # some megabytes of differences at a time
+                    gap = x[:, None, :] - y[None, at : at + 64, :]
+                    sums += np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)).sum(axis=1)
                 out.append(here[[*keys, "cluster"]].assign(other=label, dist=sums, n=len(y)))
         if not out:
             return pd.DataFrame({f.name: [] for f in schema.fields})
@@ -307,18 +309,58 @@ def _mean_silhouette(samples: DataFrame) -> DataFrame:
     return samples.agg(F.when(usable, F.avg("silhouette")).alias("silhouette"))
 
 
+def silhouette_squared(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
+    """Mean silhouette over squared distances, one row; NULL where :func:`silhouette` is.
+
+    The mean squared distance from an entity to a cluster is its squared distance to the centre
+    plus the cluster's variance, so the work is linear in the entities: only one row
+    per cluster meets them.
+    """
+    return _silhouette_squared(_needed(df, cols, cluster), cols)
+
+
+def _silhouette_squared(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    spreads = [F.var_pop(c) for c in cols]
+    by_cluster = df.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(c) for c in cols]).alias("center"),
+        sum(spreads[1:], start=spreads[0]).alias("spread"),
+    )
+    clusters = by_cluster.agg(F.collect_list(F.struct("cluster", "n", "center", "spread")).alias("rows")).scalar()
+    scored = df.select("cluster", _point(cols).alias("point"), clusters.alias("clusters"))
+
+    def gap(c: Column) -> Column:
+        squares = F.zip_with("point", c["center"], lambda x, y: (x - y) * (x - y))
+        return F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x) + c["spread"]
+
+    own = F.get(F.filter("clusters", lambda c: c["cluster"] == F.col("cluster")), F.lit(0))
+    a = gap(own) * own["n"] / F.nullif(own["n"] - 1, F.lit(0))
+    b = F.array_min(F.transform(F.filter("clusters", lambda c: c["cluster"] != F.col("cluster")), gap))
+    value = F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
+    return _mean_silhouette(
+        scored.select("cluster", F.when(own["n"] == 1, 0.0).otherwise(value).alias("silhouette"))
+    )
+
+
 def quality_label(score: Column) -> Column:
     return F.when(score > 0.5, GOOD).when(score > 0.25, FAIR).otherwise(POOR)
 
 
 def cluster_quality(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], cluster: str = "cluster"
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], cluster: str = "cluster", squared: bool = False
 ) -> DataFrame:
-    """Both quality measures and the label, one row."""
+    """Both quality measures and the label, one row.
+
+    ``squared`` takes the silhouette over squared distances, which is linear in the entities;
+    the exact Euclidean one compares all of them and is meant for districts.
+    """
     points = _needed(df, cols, cluster, keys)
-    samples = _mean_silhouette(_silhouette_samples(points, keys, cols))
+    if squared:
+        mean = _silhouette_squared(points, cols)
+    else:
+        mean = _mean_silhouette(_silhouette_samples(points, keys, cols))
     usable = F.col("silhouette").isNotNull()
-    return align([samples, _davies_bouldin(points, cols)]).select(
+    return align([mean,_davies_bouldin(points, cols)]).select(
         "silhouette",
         F.when(usable, F.col("davies_bouldin")).alias("davies_bouldin"),
         quality_label(F.col("silhouette")).alias("quality"),

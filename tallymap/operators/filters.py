@@ -39,9 +39,14 @@ def last_date(fact: Fact) -> Column:
 
 
 def recent_activity(fact: Fact, ref: Fact | None = None, days: int = 30) -> Fact:
-    """Rows not older than ``days`` before the last date of ``ref`` (inclusive: days + 1 dates)."""
+    """Rows not older than ``days`` before the last date of ``ref`` (inclusive: days + 1 dates).
+
+    The last date is fetched when this is called: only a literal reaches the files, so that
+    a question about recent days does not read all of the history.
+    """
     date = F.col(fact.spec.date_col)
-    return fact.on(fact.df.filter(date >= F.date_sub(last_date(ref or fact), days)))
+    last = (ref or fact).df.agg(F.max((ref or fact).spec.date_col)).first()[0]
+    return fact.on(fact.df.filter(date >= F.date_sub(F.lit(last).cast("date"), days)))
 
 
 def date_range(fact: Fact, days: int | None = None) -> Fact:

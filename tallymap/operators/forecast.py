@@ -39,38 +39,43 @@ def _bins(n: int) -> int:
 
 
 def forecast_daily(
-    daily: DataFrame, horizon: int = 30, rounds: int = 100, min_days: int = 10, seed: int = 42
+    daily: DataFrame,
+    horizon: int = 30,
+    rounds: int = 100,
+    min_days: int = 10,
+    seed: int = 42,
+    date: str = "date",
 ) -> DataFrame:
     """Boosted trees over the row index, ``horizon`` days after the last date.
 
     Trees cannot extrapolate an index, so all predicted days carry the level of
     the last ones.  Series of ``min_days`` or fewer give no rows.
     """
-    order = W.orderBy("date")
+    order = W.orderBy(date)
     rows = _training_rows(
         daily.select(
-            "date",
+            date,
             F.col("total").cast("double").alias("label"),
             (F.row_number().over(order) - 1).alias("index"),
         ),
-        "date",
+        date,
     )
     n = rows.count()
     ahead = F.explode(F.sequence(F.lit(1), F.lit(horizon)))
-    future = rows.agg(F.max("date").alias("last"), F.max("index").alias("end")).select(
+    future = rows.agg(F.max(date).alias("last"), F.max("index").alias("end")).select(
         "last", "end", ahead.alias("step")
     )
     future = future.select(
-        F.date_add("last", F.col("step")).alias("date"), (F.col("end") + F.col("step")).alias("index")
+        F.date_add("last", F.col("step")).alias(date), (F.col("end") + F.col("step")).alias("index")
     )
     if n <= min_days:
-        return future.select("date", F.lit(None).cast("bigint").alias("predicted_total")).limit(0)
+        return future.select(date, F.lit(None).cast("bigint").alias("predicted_total")).limit(0)
     assemble = VectorAssembler(inputCols=["index"], outputCol="features")
     model = GBTRegressor(
         maxIter=rounds, stepSize=0.1, maxDepth=3, maxBins=_bins(n), seed=seed
     ).fit(assemble.transform(rows).select("features", "label"))
     return model.transform(assemble.transform(future)).select(
-        "date", trunc_long(F.col("prediction")).alias("predicted_total")
+        date, trunc_long(F.col("prediction")).alias("predicted_total")
     )
 
 

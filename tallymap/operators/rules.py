@@ -22,37 +22,15 @@ class Rule:
     value: str
     base: str
     factor: float
-    title: str
-    impact: str
-    actions: tuple[str, ...]
+    code: str
 
 
 # Category, priority, compared quantities and factor of each rule.
 RULES = (
-    Rule(
-        "enrollment", "high", "enrol_total", "demo_total", 0.5,
-        "Few enrolments for the update volume",
-        "a third more enrolments",
-        ("run local sign-up campaigns", "send out mobile teams", "shorten the form"),
-    ),
-    Rule(
-        "coverage", "medium", "n_pincodes", "n_districts", 10,
-        "Few postcodes served per district",
-        "half as many postcodes again",
-        ("open desks where none exist", "tour outlying postcodes", "share counters with post offices"),
-    ),
-    Rule(
-        "demographics", "high", "child_total", "adult_total", 0.3,
-        "Children are underrepresented",
-        "half as many child records again",
-        ("visit schools", "inform parents", "waive repeat paperwork for minors"),
-    ),
-    Rule(
-        "biometric", "medium", "bio_total", "demo_total", 0.7,
-        "Biometric updates lag behind",
-        "nine in ten records up to date",
-        ("remind holders of due updates", "hold weekend update days", "lengthen opening hours"),
-    ),
+    Rule("enrollment", "high", "enrol_total", "demo_total", 0.5, "enrolments_low"),
+    Rule("coverage", "medium", "n_pincodes", "n_districts", 10, "postcodes_sparse"),
+    Rule("demographics", "high", "child_total", "adult_total", 0.3, "children_few"),
+    Rule("biometric", "medium", "bio_total", "demo_total", 0.7, "biometrics_behind"),
 )
 
 
@@ -83,19 +61,24 @@ def _advice(rule: Rule) -> Column:
         F.struct(
             F.lit(rule.priority).alias("priority"),
             F.lit(rule.category).alias("category"),
-            F.lit(rule.title).alias("title"),
+            F.lit(rule.code).alias("code"),
             value.cast("double").alias("value"),
             limit.cast("double").alias("limit"),
+            (limit - value).cast("double").alias("gap"),
             share(value, F.col(rule.base), 1).alias("percent"),
-            F.array(*[F.lit(a) for a in rule.actions]).alias("actions"),
-            F.lit(rule.impact).alias("impact"),
         ),
     )
 
 
 def recommendations(
-    facts: FactSet, by: Sequence[str] = (), rules: Sequence[Rule] = RULES
+    facts: FactSet, by: Sequence[str] = (), rules: Sequence[Rule] = RULES, texts: DataFrame | None = None
 ) -> DataFrame:
-    """Rules that fire, one row per region and rule; without ``by`` the whole country is the region."""
+    """Rules that fire, one row per region and rule; without ``by`` the whole country is the region.
+
+    A row holds the numbers behind the rule: value, limit, what is missing to the limit
+    (``gap``) and the percentage of the base.  ``texts`` is a table with a ``code`` column and
+    whatever is to be said about it (titles, actions, impact); codes without a text keep NULLs.
+    """
     fired = F.array_compact(F.array(*[_advice(r) for r in rules]))
-    return region_balance(facts, by).select(*by, F.inline(fired))
+    found = region_balance(facts, by).select(*by, F.inline(fired))
+    return found if texts is None else found.join(texts, "code", "left")

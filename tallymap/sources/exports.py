@@ -33,7 +33,7 @@ def export_rollup(fact: Fact, state: str | None = None, district: str | None = N
 
 def export_spikes(fact: Fact) -> DataFrame:
     """All spikes, not only the largest."""
-    return spike_detection(fact).withColumnRenamed("deviation", "deviation_percent")
+    return spike_detection(fact, fact.spec.levels[0]).withColumnRenamed("deviation", "deviation_percent")
 
 
 def export_clusters(facts: FactSet) -> DataFrame:
@@ -41,10 +41,9 @@ def export_clusters(facts: FactSet) -> DataFrame:
 
 
 def export_recommendations(facts: FactSet, state: str | None = None) -> DataFrame:
-    """The enrolment rule only, without its list of actions."""
+    """The enrolment rule only."""
     scope = facts.map(lambda f: filter_region(f, state)) if state else facts
-    rules = recommendations(scope, rules=[r for r in RULES if r.category == "enrollment"])
-    return rules.drop("value", "limit", "actions")
+    return recommendations(scope, rules=[r for r in RULES if r.category == "enrollment"])
 
 
 def export_region_report(facts: FactSet, level: str | None = "state") -> DataFrame:

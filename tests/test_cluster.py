@@ -50,6 +50,33 @@ def test_silhouette_equals_all_distances(spark, n, k, block):
     assert mean == pytest.approx(np.mean(silhouette_by_hand(data))) and -1 <= mean <= 1
 
 
+@pytest.mark.parametrize("n,k", [(40, 3), (90, 5), (7, 6)])
+def test_squared_silhouette_equals_all_squared_distances(spark, n, k):
+    df, data = points(spark, n, k)
+    p = np.array([(d[1], d[2]) for d in data])
+    labels = np.array([d[3] for d in data])
+    dist = ((p[:, None] - p[None]) ** 2).sum(-1)
+    want = []
+    for i, l in enumerate(labels):
+        own = labels == l
+        a = dist[i][own].sum() / max(own.sum() - 1, 1)
+        b = min(dist[i][labels == m].mean() for m in set(labels) if m != l)
+        want.append(0.0 if own.sum() == 1 else (b - a) / max(a, b))
+    assert cluster.silhouette_squared(df, COLS).first().silhouette == pytest.approx(np.mean(want))
+    unusable = df.withColumn("cluster", F.lit(0))
+    assert cluster.silhouette_squared(unusable, COLS).first().silhouette is None
+
+
+def test_labels_do_not_depend_on_the_file_layout(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *map(float, rng.random(2))) for i in range(1500)], "id int, x double, y double")
+    labels = [
+        {r.id: r.cluster for r in cluster.kmeans_entities(df.repartition(n), COLS, 4, restarts=2).collect()}
+        for n in (1, 3, 8)
+    ]
+    assert labels[0] == labels[1] == labels[2] and len(labels[0]) == 1500
+
+
 def test_silhouette_of_identical_points(spark):
     df = spark.createDataFrame([(i, 1.0, 1.0, i % 2) for i in range(6)], "id int, x double, y double, cluster int")
     assert cluster.silhouette(df, ["id"], COLS).first().silhouette == 0.0

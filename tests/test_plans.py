@@ -100,7 +100,8 @@ def test_group_limit_before_the_shuffle(stored):
 
 def test_recent_days_filter_the_scan(stored):
     text = plan(recent_activity(stored.demographic).df)
-    assert "subquery" in text.lower() and "Join" not in text
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(date,\d{4}-\d\d-\d\d\)", text)
+    assert "subquery" not in text.lower() and "Join" not in text
 
 
 @pytest.fixture(scope="module")

@@ -71,7 +71,12 @@ def test_rules_fire_below_their_thresholds(spark):
         ("A", "enrollment"): "high", ("A", "coverage"): "medium", ("A", "demographics"): "high",
         ("A", "biometric"): "medium",
     }
-    assert all(len(r.actions) >= 3 for r in got)
+    assert all(r.gap == pytest.approx(r.limit - r.value) and r.gap > 0 for r in got)
+    said = spark.createDataFrame([("children_few", "visit schools")], "code string, text string")
+    texts = {r.code: r.text for r in rules.recommendations(facts(spark), ["state"], texts=said).collect()}
+    assert texts == {
+        "enrolments_low": None, "postcodes_sparse": None, "children_few": "visit schools", "biometrics_behind": None,
+    }
     country = {r.category: (r.value, r.limit) for r in rules.recommendations(facts(spark)).collect()}
     assert country == {"enrollment": (99.0, 100.0), "coverage": (11.0, 20.0)}
 
@@ -80,6 +85,7 @@ def test_exports(spark):
     f = facts(spark)
     country = export_recommendations(f).first()
     assert (country.priority, country.category, country.percent) == ("high", "enrollment", 49.5)
+    assert (country.value, country.limit, country.gap) == (99.0, 100.0, 1.0)
     assert rows(export_recommendations(f, "B")) == []
     assert export_recommendations(f, "A").first().percent == 49.0
     spikes = export_spikes(series(spark, [1] * 10 + [50]))
