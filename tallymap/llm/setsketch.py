@@ -11,9 +11,8 @@ clearly below the threshold are confirmed on full sets.
 Only links that can join something are looked at, never all pairs of a bucket.  In
 rounds, the members of a bucket meet its most central one, the text that shares most
 buckets with others (of a group of copies, mostly the one they were made from).  Then
-the members that are not yet in one component meet each other, if their sizes allow a
-link; groups of copies are one component by then, so what is left are texts that differ.  Exact copies of a text
-are one node throughout.
+the components that still share buckets meet in blocks, on full sets: pairs are cells
+of a matrix inside a task, never rows.  Exact copies of a text are one node throughout.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, digest16, staged, text_or_empty
+from .shared import components, digest16, partitions, staged, text_or_empty
 
 U = np.uint64
 #: Odd multipliers of the 64-bit mixing steps (fixed values of the splitmix64 generator).
@@ -39,7 +38,8 @@ class Settings:
 
     At 0.8 a pair is missed with a probability of 1.5e-5, at 0.85 of 7e-8.  ``base``,
     ``rate`` and ``top`` are the sketch's scale, rate and largest register value.
-    ``rounds``: how often members meet a bucket's most central member before the rest meet each other.
+    ``rounds``: how often members meet a bucket's most central member before the rest meet in blocks
+    of about ``block`` texts, fewer if they have more than ``long`` shingles on average.
     """
 
     words: int = 5
@@ -50,6 +50,8 @@ class Settings:
     rate: float = 20.0
     top: int = 65_534
     rounds: int = 2
+    block: int = 256
+    long: int = 2_000
 
     @property
     def registers(self) -> int:
@@ -248,12 +250,7 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
         found = more if found is None else found.union(more)
         roots = components(found)
         member = _mixed(buckets, roots)
-    left = member.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
-    right = member.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
-    rest = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _near("na", "nb", settings))
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(staged(rest, "rest"), docs, nodes, settings)
-    return rows, components(found.union(more))
+    return rows, components(found.union(staged(_met_in_blocks(member, docs, settings), "rest")))
 
 
 def _near(a: str, b: str, settings: Settings) -> Column:
@@ -268,6 +265,121 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(member.join(mixed.select("key"), "key"), "mixed")
 
 
+def _met_in_blocks(member: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join the components which still share buckets; members are (key, node, root, size).
+
+    Components that buckets connect form a group.  Its largest component is the core, whose members need
+    not meet each other.  All other members are dealt to blocks, bounded in texts and in shingles, that meet
+    each other and the core's blocks.  A tile of two blocks compares full sets by counting common shingles
+    and returns no more links than it has texts.
+    """
+    first = member.groupBy("key").agg(F.min("root").alias("b"))
+    tied = member.join(first, "key").select(F.col("root").alias("a"), "b").distinct()
+    groups = components(tied).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    people = staged(member.select("node", "root", "size").distinct().join(groups, "root"), "people")
+    weight = F.greatest(F.count("*") / settings.block, F.sum("size") / (settings.block * settings.long))
+    sums = people.groupBy("group", "root").agg(F.count("*").alias("n"), weight.alias("weight"))
+    core = sums.groupBy("group").agg(F.max(F.struct("n", "root", "weight")).alias("core"), F.sum("weight").alias("weight"))
+    core = core.select(
+        "group",
+        F.col("core.root").alias("core"),
+        F.ceil(F.col("core.weight")).cast("int").alias("cores"),
+        F.ceil(F.greatest(F.col("weight") - F.col("core.weight"), F.lit(1e-9))).cast("int").alias("others"),
+    )
+    dealt = people.join(core, "group").withColumn("hash", F.xxhash64("node"))
+    inner = F.col("root") == F.col("core")
+    dealt = dealt.withColumn("own", F.when(inner, F.col("others") + F.pmod("hash", "cores")).otherwise(F.pmod("hash", "others")).cast("int"))
+    last = F.when(inner, F.col("others")).otherwise(F.col("others") + F.col("cores")) - 1
+    text = text_or_empty()
+    texts = docs.select(digest16(text).alias("node"), text.cast("binary").alias("text"))
+    texts = texts.join(dealt.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    tiles = (
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .join(texts, "node")
+        .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
+    )
+    keys = ["group", "i", "j"]
+    tiles = tiles.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: list[tuple] = []
+
+        def meet() -> tuple[list, list]:
+            _, i, j = tile[0][0]
+            left = [t for t in tile if t[1] == i]
+            right = [t for t in tile if t[1] == j]
+            found = _forest(_alike([t[4] for t in left], [t[4] for t in right], settings) & _apart(left, right))
+            return [left[x][2] for x, _ in found], [right[y][2] for _, y in found]
+
+        for batch in batches:
+            a, b = [], []
+            for group, i, j, own, node, root, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile and tile[0][0] != (group, i, j):
+                    for out, more in zip((a, b), meet(), strict=True):
+                        out += more
+                    tile = []
+                tile.append(((group, i, j), own, node, root, shingles(data, settings.words)))
+            yield _pairs(a, b)
+        if tile:
+            yield _pairs(*meet())
+
+    return tiles.mapInArrow(run, "a binary, b binary")
+
+
+def _pairs(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _apart(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Which texts of two blocks are in different components."""
+    number = {root: k for k, root in enumerate({t[3] for t in left + right})}
+    a, b = (np.array([number[t[3]] for t in side], np.int64) for side in (left, right))
+    return a[:, None] != b[None, :]
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray], settings: Settings) -> np.ndarray:
+    """Which sets of the two sides are as similar as asked for, by their full intersections."""
+    na, nb = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    common = np.zeros((len(left), len(right)), np.float64)
+    sides = [np.concatenate([*side, np.empty(0, U)]) for side in (left, right)]
+    shared = np.intersect1d(*(np.unique(x) for x in sides), assume_unique=True)
+    rows, cols = [], []
+    for values, counts in zip(sides, (na, nb), strict=True):
+        at = np.searchsorted(shared, values)
+        inside = at < len(shared)
+        inside[inside] = shared[at[inside]] == values[inside]
+        order = np.argsort(at[inside], kind="stable")
+        rows.append(np.repeat(np.arange(len(counts)), counts)[inside][order])
+        cols.append(at[inside][order])
+    step = 2048
+    for start in range(0, len(shared), step):
+        part = []
+        for row, col, n in zip(rows, cols, (len(left), len(right)), strict=True):
+            lo, hi = np.searchsorted(col, (start, start + step))
+            has = np.zeros((n, step), np.float32)
+            has[row[lo:hi], col[lo:hi] - start] = 1
+            part.append(has)
+        common += part[0] @ part[1].T
+    union = na[:, None] + nb[None, :] - common
+    return (100 * common >= settings.percent * union) & (common > 0)
+
+
+def _forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that connect what all true cells connect, one less than the members of each component at most."""
+    rows, cols = (np.ones(n, bool) for n in close.shape)
+    found: list[tuple[int, int]] = []
+    for start in np.flatnonzero(close.any(axis=1)):
+        front = [(True, start)] if rows[start] else []
+        rows[start] = False
+        while front:
+            is_row, at = front.pop()
+            new = np.flatnonzero((close[at] & cols) if is_row else (close[:, at] & rows))
+            (cols if is_row else rows)[new] = False
+            found += [(at, x) if is_row else (x, at) for x in new.tolist()]
+            front += [(not is_row, x) for x in new.tolist()]
+    return [(int(x), int(y)) for x, y in found]
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     likely = staged(_likely(pairs, nodes, settings), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("node"))
