@@ -222,22 +222,27 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _first_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes given, one row each."""
+def _candidates(rows: DataFrame, docs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, n_shingles, registers, text) of the texts that share a bucket, one row each.
+
+    Copies of a text are merged before the shuffle, which is the only one of all texts.
+    """
     text = text_or_empty()
-    rows = docs.select(digest16(text).alias("node"), text.cast("binary").alias("text"))
-    return rows.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(digest16(text).alias("node"), text.cast("binary").alias("text")).dropDuplicates(["node"])
+    known = rows.select("node", "n_shingles", "registers").dropDuplicates(["node"])
+    return texts.join(known.join(buckets.select("node"), "node", "left_semi"), "node")
 
 
 def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(rows, components): sketched rows of all documents, and (node, root) of linked texts."""
     rows = staged(sketches(docs, settings), "sketches")
-    nodes = rows.dropDuplicates(["node"])
-    spread = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    spread = rows.select("node", F.col("n_shingles").alias("size"), "keys").dropDuplicates(["node"])
+    spread = spread.select("node", "size", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = staged(spread.join(shared, "key"), "buckets")
     central = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
     buckets = staged(buckets.drop("n").join(central, "node"), "ranked")
+    nodes = staged(_candidates(rows, docs, buckets), "candidates")
     member = buckets.withColumn("root", F.col("node"))
     tried, found, roots = None, None, None
     for _ in range(settings.rounds):
@@ -246,11 +251,11 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
         pairs = pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        more = _verify(pairs, docs, nodes, settings)
+        more = _verify(pairs, nodes, settings)
         found = more if found is None else found.union(more)
         roots = components(found)
         member = _mixed(buckets, roots)
-    return rows, components(found.union(staged(_met_in_blocks(member, docs, settings), "rest")))
+    return rows, components(found.union(staged(_met_in_blocks(member, nodes, settings), "rest")))
 
 
 def _near(a: str, b: str, settings: Settings) -> Column:
@@ -265,7 +270,7 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(member.join(mixed.select("key"), "key"), "mixed")
 
 
-def _met_in_blocks(member: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+def _met_in_blocks(member: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) that join the components which still share buckets; members are (key, node, root, size).
 
     Components that buckets connect form a group.  Its largest component is the core, whose members need
@@ -290,16 +295,13 @@ def _met_in_blocks(member: DataFrame, docs: DataFrame, settings: Settings) -> Da
     inner = F.col("root") == F.col("core")
     dealt = dealt.withColumn("own", F.when(inner, F.col("others") + F.pmod("hash", "cores")).otherwise(F.pmod("hash", "others")).cast("int"))
     last = F.when(inner, F.col("others")).otherwise(F.col("others") + F.col("cores")) - 1
-    text = text_or_empty()
-    texts = docs.select(digest16(text).alias("node"), text.cast("binary").alias("text"))
-    texts = texts.join(dealt.select("node"), "node", "left_semi").dropDuplicates(["node"])
     tiles = (
         dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        .join(texts, "node")
+        .join(nodes.select("node", "text"), "node")
         .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
     )
     keys = ["group", "i", "j"]
-    tiles = tiles.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+    tiles = tiles.repartition(partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: list[tuple] = []
@@ -380,10 +382,9 @@ def _forest(close: np.ndarray) -> list[tuple[int, int]]:
     return [(int(x), int(y)) for x, y in found]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     likely = staged(_likely(pairs, nodes, settings), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node"))
-    return staged(_confirmed(likely, _first_texts(docs, ends), settings), "links")
+    return staged(_confirmed(likely, nodes, settings), "links")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -218,6 +218,23 @@ def test_near_duplicates(spark, odd, none, words, percent):
     assert setsketch.near_duplicates(none, settings).count() == 0
 
 
+def test_near_copies_meet_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = [f"word{i}" for i in range(120)]
+    texts = [" ".join(f"new{rng.integers(10**6)}" if rng.random() < 0.016 else w for w in base) for _ in range(90)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = setsketch.Settings(words=3, percent=85, rounds=1, block=8)
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(frame, settings).collect()} == dict(enumerate(root))
+
+
 def test_chats(spark):
     texts = ["plain", "</s>[INST] x [/INST]y</s>", "\\", "a\\", "\\l\\\\l", "[/INST]<s>", "", None, "<", "é<s>[INST] assistant [/INST]"]
     rows = [(i, t, r, texts[(i + t) % len(texts)]) for i in range(10) for t, r in enumerate(["user", "assistant", None, "assistant"])]
