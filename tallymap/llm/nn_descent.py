@@ -5,17 +5,19 @@ projection trees: vectors are sorted by label, by the sides of some random hyper
 and by a random projection, and blocks of that order are compared.  Then lists are
 refined in rounds: the neighbours of a node are compared with each other, and pairs
 better than what their lists end with are added.  A list whose entries all reach the
-threshold is saturated and has to grow: its node meets everything that links reach
-from it, its component, in blocks, so that all links of large groups are counted without
-a pair becoming a row.  An audit compares a bounded sample of nodes with all others;
-below the wanted recall, further trees and rounds follow.
+threshold is saturated and has to grow.  It does so without its length: wherever vectors
+are compared, links that connect all linked ones (a spanning forest) are kept besides the
+lists, and while lists are saturated further trees follow whose lists leave out what is in
+a node's component already.  Then components meet in blocks, so that all links of large
+groups are counted without a pair becoming a row.  An audit compares sampled nodes with all
+others; below the wanted recall, further trees follow.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,7 +88,7 @@ def _edges(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _trees(nodes: DataFrame, seed: int, settings: Settings, splits: int) -> DataFrame:
-    """Edges (a, b, sim): the best neighbours of each node in its blocks of each tree."""
+    """Edges (a, b, sim): in its blocks of each tree, each node's best neighbours outside its root, and a forest of links."""
     label = nodes.schema["label"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +109,8 @@ def _trees(nodes: DataFrame, seed: int, settings: Settings, splits: int) -> Data
             take = pa.array(np.repeat(np.arange(len(sizes)), settings.trees))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made["tree"], pa.int64()), pa.array(made["side"], pa.int64()), pa.array(made["at"], pa.float64())]
-                + [batch.column(i).take(take) for i in range(3)],
-                names=["tree", "side", "at", "node", "label", "unit"],
+                + [batch.column(i).take(take) for i in range(4)],
+                names=["tree", "side", "at", "node", "label", "unit", "root"],
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,23 +126,48 @@ def _trees(nodes: DataFrame, seed: int, settings: Settings, splits: int) -> Data
         if rows:
             yield _best(before, rows, settings)
 
-    placed = nodes.select("node", "label", "unit").mapInArrow(
-        place, f"tree long, side long, at double, node binary, label {label}, unit binary"
+    placed = nodes.select("node", "label", "unit", "root").mapInArrow(
+        place, f"tree long, side long, at double, node binary, label {label}, unit binary, root binary"
     )
     order = ["tree", "label", "side", "at", "node"]
     dealt = placed.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
-    return dealt.select("tree", "label", "node", "unit").mapInArrow(compare, "a binary, b binary, sim double")
+    return dealt.select("tree", "label", "node", "unit", "root").mapInArrow(compare, "a binary, b binary, sim double")
+
+
+def _forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a symmetric matrix that connect whatever its links connect."""
+    seen = np.zeros(len(close), bool)
+    found = []
+    for start in np.flatnonzero(close.any(axis=1)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(close[at] & ~seen)
+            seen[new] = True
+            found += [(at, to) for to in new]
+            todo += new.tolist()
+    return found
 
 
 def _best(before: list[tuple], rows: list[tuple], settings: Settings) -> pa.RecordBatch:
-    """Best neighbours of a block's rows among themselves and the block before, in both directions."""
+    """Best neighbours, outside their roots, of a block's rows among themselves and the block before, in
+    both directions; and links that connect all linked ones, whatever the lists hold."""
     x = _matrix([r[3] for r in rows])
     others = before + rows
     y = _matrix([r[3] for r in others])
-    found = []
+    found: list[tuple] = []
     sim = x @ y.T
-    own = np.arange(len(rows))
-    sim[own, own + len(before)] = -2
+    roots = np.unique(np.array([r[4] for r in others], object), return_inverse=True)[1]
+    sim[roots[len(before) :, None] == roots[None, :]] = -2
+    close = np.zeros((len(others), len(others)), bool)
+    close[len(before) :] = sim >= settings.least
+    close |= close.T
+    for i, j in _forest(close):
+        low, high = min(i, j) - len(before), max(i, j)
+        found.append((others[i][2], others[j][2], float(sim[high - len(before), low + len(before)])))
     k = min(settings.neighbours, len(others) - 1)
     if k > 0:
         for matrix, left, right in ((sim, rows, others), (sim[:, : len(before)].T, before, rows)):
@@ -163,14 +190,27 @@ def _lists(edges: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def _saturated(edges: DataFrame, settings: Settings) -> bool:
+    """Whether some list is full of links, so that more may be left out."""
+    links = edges.where(F.col("sim") >= settings.least).groupBy("a").agg(F.count_distinct("b").alias("n"))
+    return not links.where(F.col("n") >= settings.neighbours).isEmpty()
+
+
+def _across(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between different roots."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    return edges.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("a", "b", "sim")
+
+
 def _refine(graph: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Edges between neighbours of a node that are better than the worst entry of a full list of either."""
+    """Edges between neighbours of a node, of other roots, that are better than the worst entry of a full
+    list of either; and links that connect all linked ones."""
     worst = graph.groupBy("a").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
     worst = worst.select(F.col("a").alias("b"), F.when(F.col("n") >= settings.neighbours, F.col("worst")).otherwise(F.lit(settings.floor)).alias("worst"))
     both = graph.select("a", "b", "sim").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).distinct()
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     near = both.withColumn("rank", rank).where(F.col("rank") <= 2 * settings.neighbours).drop("rank", "sim")
-    units = nodes.select(F.col("node").alias("b"), "unit")
+    units = nodes.select(F.col("node").alias("b"), "unit", "root")
     full = near.join(worst, "b", "left").join(units, "b")
     dealt = full.repartition(partitions(nodes.sparkSession), "a").sortWithinPartitions("a")
 
@@ -181,8 +221,10 @@ def _refine(graph: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame
             x = _matrix([g[3] for g in group])
             sim = x @ x.T
             ends = np.array([settings.floor if g[2] is None else g[2] for g in group])
-            keep = (sim > ends[:, None]) & ~np.eye(len(group), dtype=bool)
-            return [(group[i][1], group[j][1], float(sim[i, j])) for i, j in zip(*np.nonzero(keep), strict=True)]
+            roots = np.unique(np.array([g[4] for g in group], object), return_inverse=True)[1]
+            other = roots[:, None] != roots[None, :]
+            pairs = [*zip(*np.nonzero((sim > ends[:, None]) & other), strict=True), *_forest((sim >= settings.least) & other)]
+            return [(group[i][1], group[j][1], float(sim[i, j])) for i, j in pairs]
 
         for batch in batches:
             found: list[tuple] = []
@@ -195,13 +237,40 @@ def _refine(graph: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame
         if group:
             yield _edges(join())
 
-    return dealt.select("a", "b", "worst", "unit").mapInArrow(run, "a binary, b binary, sim double")
+    return dealt.select("a", "b", "worst", "unit", "root").mapInArrow(run, "a binary, b binary, sim double")
+
+
+def _joined(roots: DataFrame, edges: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """``roots`` (node, root) with the roots that links connect made one, and how many roots that were."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    links = edges.where(F.col("sim") >= settings.least).select("a", "b").distinct()
+    across = links.join(side("a"), "a").join(side("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    new = staged(components(across).select(F.col("node").alias("root"), F.col("root").alias("to")), "joined")
+    merged = new.count()
+    if not merged:
+        return roots, 0
+    return staged(roots.join(new, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), merged
 
 
 def _counts(nodes: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
     """(node, links): vectors linked with each node of a component, all blocks of it against all."""
+
+    def links_of(left: list[tuple], right: list[tuple], close: np.ndarray, same: bool) -> pa.RecordBatch:
+        names = [g[4] for g in left]
+        links = (close @ np.array([g[5] for g in right])).tolist()
+        if not same:
+            names += [g[4] for g in right]
+            links += (np.array([g[5] for g in left]) @ close).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(links, pa.int64())], names=["node", "links"])
+
+    found = _meet(nodes, roots, settings, links_of, "node binary, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _meet(nodes: DataFrame, roots: DataFrame, settings: Settings, of: Callable, schema: str) -> DataFrame:
+    """What ``of`` says of two blocks and the matrix of their links, for all blocks of nodes with one root."""
     half = settings.block // 2
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / half).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     member = (
@@ -217,39 +286,28 @@ def _counts(nodes: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
-        def count() -> tuple[list, list]:
+        def meet() -> pa.RecordBatch | None:
             i, j = group[0][1], group[0][2]
             left = [g for g in group if g[3] == i]
             right = [g for g in group if g[3] == j]
             if not left or not right:
-                return [], []
+                return None
             close = _matrix([g[6] for g in left]) @ _matrix([g[6] for g in right]).T >= settings.least
             if i == j:
                 np.fill_diagonal(close, False)
-            names = [g[4] for g in left]
-            links = (close @ np.array([g[5] for g in right])).tolist()
-            if i != j:
-                names += [g[4] for g in right]
-                links += (np.array([g[5] for g in left]) @ close).tolist()
-            return names, links
-
-        def batch_of(names: list, links: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(links, pa.int64())], names=["node", "links"])
+            return of(left, right, close, i == j)
 
         for batch in batches:
-            names, links = [], []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[:3] != group[0][:3]:
-                    for out, more in zip((names, links), count(), strict=True):
-                        out += more
+                    if (made := meet()) is not None:
+                        yield made
                     group = []
                 group.append(row)
-            yield batch_of(names, links)
-        if group:
-            yield batch_of(*count())
+        if group and (made := meet()) is not None:
+            yield made
 
-    found = dealt.mapInArrow(run, "node binary, links long")
-    return found.groupBy("node").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(run, schema)
 
 
 def _audit(nodes: DataFrame, roots: DataFrame, settings: Settings) -> float:
@@ -295,17 +353,24 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
     )
     total, labels = nodes.agg(F.count("*"), F.count_distinct("label")).first()
     splits = max(0, math.ceil(math.log2(max(1, total / max(1, labels) / settings.block)))) + 1
-    edges, roots, recall = None, None, 1.0
-    for attempt in range(settings.tries):
-        more = _trees(nodes, attempt, settings, splits)
-        edges = staged(more if edges is None else edges.union(more), "edges")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    edges, recall, attempt, lacking = None, 1.0, 0, 0
+    while total:
+        known = nodes.join(roots, "node") if attempt else nodes.withColumn("root", F.col("node"))
+        known = staged(known, "known") if attempt else known
+        more = _trees(known, attempt, settings, splits)
+        edges = staged(more if not lacking else _across(edges, roots).union(more), "edges")
         for _ in range(settings.rounds):
-            graph = _lists(edges, settings).drop("rank")
-            better = staged(_refine(staged(graph, "lists"), nodes, settings), "better")
-            edges = edges.union(better)
-        roots = components(edges.where(F.col("sim") >= settings.least).select("a", "b"))
+            graph = staged(_lists(edges, settings).drop("rank"), "lists")
+            edges = edges.union(staged(_refine(graph, known, settings), "better"))
+        attempt += 1
+        full = _saturated(edges, settings)
+        roots, merged = _joined(roots, edges, settings)
+        if merged and full:
+            continue  # what the saturated lists had no place for is met by further trees
         recall = _audit(nodes, roots, settings)
-        if recall >= settings.recall:
+        lacking += 1
+        if recall >= settings.recall or lacking == settings.tries:
             break
     counts = _counts(nodes, roots, settings)
     per_node = (

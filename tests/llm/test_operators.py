@@ -266,3 +266,25 @@ def test_toxicity(spark, odd, none):
     labels = docs.select("doc_id", "toxic")
     assert toxicity.toxicity(odd, labels).count() == len(ODD)
     assert toxicity.toxicity(none, labels.limit(0)).count() == 0
+
+
+def test_vectors_of_saturated_groups_link(spark):
+    rng = np.random.default_rng(5)
+
+    def near(center, spread, n):
+        off = rng.standard_normal((n, 64))
+        off -= (off @ center)[:, None] * center
+        return center + spread * off / np.linalg.norm(off, axis=1)[:, None]
+
+    one = rng.standard_normal(64)
+    one /= np.linalg.norm(one)
+    two = near(one, math.tan(math.acos(0.985)), 1)[0]
+    two /= np.linalg.norm(two)
+    vectors = np.concatenate([near(one, 0.02, 30), near(two, 0.02, 30)])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert links.min() >= 50
+    got = {r.vec_id: r for r in nn_descent.near_vectors(frame).collect()}
+    assert {r.component_id for r in got.values()} == {0}
+    assert [got[i].n_links for i in range(60)] == links.tolist()
