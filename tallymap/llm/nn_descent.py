@@ -10,7 +10,8 @@ are compared, links that connect all linked ones (a spanning forest) are kept be
 lists, and while lists are saturated further trees follow whose lists leave out what is in
 a node's component already.  Then components meet in blocks, so that all links of large
 groups are counted without a pair becoming a row.  An audit compares sampled nodes with all
-others; below the wanted recall, further trees follow.
+others, more of them until enough links are seen; below the wanted recall further trees
+follow, and if that does not help, all vectors of a label meet in blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from .shared import components, partitions, staged
 
 @dataclass(frozen=True)
 class Settings:
-    """``floor``: neighbours below it are not followed; ``audited``: nodes compared with all others."""
+    """``floor``: neighbours below it are not followed.  ``audited``: nodes first compared with all others;
+    twice as many each time follow, ``audit_steps`` times at most, until ``evidence`` links are seen."""
 
     least: float = 0.98
     neighbours: int = 8
@@ -41,6 +43,8 @@ class Settings:
     audited: int = 512
     recall: float = 0.995
     tries: int = 4
+    evidence: int = 400
+    audit_steps: int = 5
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -267,6 +271,22 @@ def _counts(nodes: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame
     return found.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _every_link(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Edges (a, b, sim) that connect all linked vectors, from comparing all of a label in blocks."""
+
+    def forest_of(left: list[tuple], right: list[tuple], close: np.ndarray, same: bool) -> pa.RecordBatch:
+        both = left if same else left + right
+        whole = close if same else np.zeros((len(both), len(both)), bool)
+        if not same:
+            whole[: len(left), len(left) :] = close
+            whole |= whole.T
+        return _edges([(both[i][4], both[j][4], 1.0) for i, j in _forest(whole)])
+
+    kinds = F.concat_ws(" ", F.col("label").cast("string"), F.length("unit").cast("string"))
+    whole = nodes.select("node", kinds.cast("binary").alias("root"))
+    return _meet(nodes, whole, settings, forest_of, "a binary, b binary, sim double")
+
+
 def _meet(nodes: DataFrame, roots: DataFrame, settings: Settings, of: Callable, schema: str) -> DataFrame:
     """What ``of`` says of two blocks and the matrix of their links, for all blocks of nodes with one root."""
     half = settings.block // 2
@@ -310,10 +330,34 @@ def _meet(nodes: DataFrame, roots: DataFrame, settings: Settings, of: Callable,
     return dealt.mapInArrow(run, schema)
 
 
-def _audit(nodes: DataFrame, roots: DataFrame, settings: Settings) -> float:
-    """Share of the true links of sampled nodes whose ends are in one component."""
+def _audit(nodes: DataFrame, roots: DataFrame, edges: DataFrame, total: int, settings: Settings) -> float | None:
+    """Share of the true links of sampled nodes whose ends are in one component; None if none was seen.
+
+    Half of the nodes are drawn from all, half from those with a neighbour above the floor.  More
+    are drawn until ``evidence`` links are seen, every node is audited or the steps are used up.
+    """
+    near = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node")
+    near = staged(near, "near")
+    some = near.count()
+    place = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    links = kept = low = 0
+    for step in range(settings.audit_steps + 1):
+        high = low + settings.audited * 2**step // 2
+        part = lambda n, salt: (place(salt) >= low / max(1, n)) & (place(salt) < high / max(1, n))  # noqa: B023, E731
+        drawn = nodes.where(part(total, 1)).select("node").union(near.where(part(some, 2))).distinct()
+        more, found = _audit_of(nodes, drawn, roots, settings)
+        links, kept, low = links + more, kept + found, high
+        if links >= settings.evidence or high >= total:
+            break
+    return kept / links if links else None
+
+
+def _audit_of(nodes: DataFrame, drawn: DataFrame, roots: DataFrame, settings: Settings) -> tuple[int, int]:
+    """True links of the drawn nodes, and those whose ends are in one component."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(settings.audited).select("node", "label", "unit").collect()
+    sample = nodes.join(drawn, "node", "left_semi").select("node", "label", "unit").collect()
+    if not sample:
+        return 0, 0
     asked = spark.sparkContext.broadcast([(bytes(r.node), r.label, bytes(r.unit)) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +380,7 @@ def _audit(nodes: DataFrame, roots: DataFrame, settings: Settings) -> float:
         F.count("*"), F.sum(F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).cast("long"))
     )
     total, kept = got.first()
-    return 1.0 if not total else kept / total
+    return total, kept or 0
 
 
 def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -345,6 +389,7 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
     Vectors link when labels are equal and not null and the cosine reaches ``least``; equal
     vectors always do.  Null, zero and non-finite vectors link with nothing and are their own
     component.  Vectors of different lengths never link; null ids name no component of others.
+    ``audit_recall`` is null where the audit saw no link.
     """
     rows = staged(_rows(vectors), "vectors")
     valid = rows.where("node is not null")
@@ -354,7 +399,7 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
     total, labels = nodes.agg(F.count("*"), F.count_distinct("label")).first()
     splits = max(0, math.ceil(math.log2(max(1, total / max(1, labels) / settings.block)))) + 1
     roots = nodes.select("node", F.col("node").alias("root"))
-    edges, recall, attempt, lacking = None, 1.0, 0, 0
+    edges, recall, attempt, lacking = None, None, 0, 0
     while total:
         known = nodes.join(roots, "node") if attempt else nodes.withColumn("root", F.col("node"))
         known = staged(known, "known") if attempt else known
@@ -368,9 +413,13 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
         roots, merged = _joined(roots, edges, settings)
         if merged and full:
             continue  # what the saturated lists had no place for is met by further trees
-        recall = _audit(nodes, roots, settings)
+        recall = _audit(nodes, roots, edges, total, settings)
+        if recall is None or recall >= settings.recall:
+            break
         lacking += 1
-        if recall >= settings.recall or lacking == settings.tries:
+        if lacking == settings.tries:
+            roots, _ = _joined(roots, staged(_every_link(nodes, settings), "every"), settings)
+            recall = _audit(nodes, roots, edges, total, settings)
             break
     counts = _counts(nodes, roots, settings)
     per_node = (
@@ -387,5 +436,5 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
         F.col("n_links").cast("long").alias("n_links"),
         "component_id",
         F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
-        F.lit(float(recall)).alias("audit_recall"),
+        F.lit(recall).cast("double").alias("audit_recall"),
     )

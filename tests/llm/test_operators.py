@@ -288,3 +288,15 @@ def test_vectors_of_saturated_groups_link(spark):
     got = {r.vec_id: r for r in nn_descent.near_vectors(frame).collect()}
     assert {r.component_id for r in got.values()} == {0}
     assert [got[i].n_links for i in range(60)] == links.tolist()
+
+
+def test_vector_audit_needs_evidence(spark):
+    far = spark.createDataFrame([(i, np.eye(16)[i].tolist(), 0) for i in range(16)], "vec_id long, embedding array<double>, label int")
+    assert {r.audit_recall for r in nn_descent.near_vectors(far).collect()} == {None}
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16).tolist(), 0) for i in range(400)]
+    rows += [(400 + k, (np.array(rows[i][1]) * 1.5 + 0.001).tolist(), 0) for k, i in enumerate(range(0, 400, 100))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    blind = nn_descent.Settings(trees=1, block=2, rounds=0, tries=1, audited=8)
+    got = {r.vec_id: r.component_id for r in nn_descent.near_vectors(frame, blind).collect()}
+    assert [got[400 + k] for k in range(4)] == [0, 100, 200, 300]
