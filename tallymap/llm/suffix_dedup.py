@@ -15,16 +15,19 @@ the corpus too.  Texts are compared in three steps.
    left by each byte before it, and the extension's end gets the string's length as common
    prefix unless it has one.  Lengths come out in increasing order; the search stops at
    ``least``, and boundaries without a value are the repeats.
+   Runs of a key with more than ``HOT`` bytes are not sorted together: their windows are
+   dealt on by a digest of their content, counted, and those that occur twice are repeats.
 3. Repeated windows go back to their texts as spans, which are merged and cut out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .setsketch import _BYTES, MIX, _powers, mix
@@ -37,6 +40,10 @@ GRAM = 32
 CHUNK = 1 << 22
 #: Bytes of runs whose suffixes are sorted together (a single key may have more).
 BATCH = 1 << 16
+#: Bytes of one key's runs from which their windows are dealt on by content.
+HOT = 1 << 22
+#: Windows of a run that are handed on at once.
+WINDOWS = 1 << 14
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: U) -> np.ndarray:
@@ -249,16 +256,50 @@ def _compare(contents: DataFrame, least: int) -> DataFrame:
     return dealt.select("key", "seg", "content", "often").mapInArrow(run, "key long, seg long, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def _compare_hot(contents: DataFrame, least: int) -> DataFrame:
+    """As ``_compare``, but windows meet by a digest of their content, so a key's runs need not be in one task."""
+    distinct = contents.groupBy("key", "seg").agg(F.first("content").alias("content"), (F.count("*") > 1).alias("often"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, seg, content, often in zip(*batch.columns, strict=True):
+                data = content.as_py()
+                n = len(data) - least + 1
+                for at in range(0, n, WINDOWS):
+                    places = np.arange(at, min(n, at + WINDOWS))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array([x.as_py()] * len(places), kind) for x, kind in ((key, pa.int64()), (seg, pa.int64()), (often, pa.bool_()))),
+                            pa.array(places, pa.int64()),
+                            pa.array([blake2b(data[i : i + least], digest_size=16).digest() for i in places], pa.binary()),
+                        ],
+                        names=["key", "seg", "often", "at", "window"],
+                    )
+
+    windows = staged(distinct, "hot").mapInArrow(run, "key long, seg long, often boolean, at long, window binary")
+    repeated = windows.groupBy("key", "window").agg(F.count("*").alias("n"), F.max("often").alias("often")).where("n > 1 or often")
+    found = windows.drop("often").join(repeated.select("key", "window"), ["key", "window"])
+    row = F.col("at") - F.row_number().over(Window.partitionBy("key", "seg").orderBy("at"))
+    ranges = found.select("key", "seg", "at").withColumn("row", row).groupBy("key", "seg", "row")
+    return ranges.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).drop("row")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """(node, spans): byte ranges [lo, hi) that go, for each text that has some."""
     found = _all_runs(docs, least)
     keys = found.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.max("inner").alias("inner")
+        F.count("*").alias("n"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.max("inner").alias("inner"),
+        F.sum(F.col("windows") + (least - 1)).alias("bytes"),
+    )
+    classes = keys.where("n > 1 or inner = 1").select(
+        "key", (F.expr("s0 = s1 and inner = 0")).alias("equal"), (F.col("bytes") > hot).alias("hot")
     )
-    classes = keys.where("n > 1 or inner = 1").select("key", (F.expr("s0 = s1 and inner = 0")).alias("equal"))
     marks = staged(found.drop("inner").join(classes, "key"), "marks")
     mixed = marks.where("not equal")
-    compared = staged(_compare(_contents(docs, mixed, least), least), "repeats")
+    compared = _compare(_contents(docs, mixed.where("not hot"), least), least)
+    if not mixed.where("hot").isEmpty():
+        compared = compared.union(_compare_hot(_contents(docs, mixed.where("hot"), least), least))
+    compared = staged(compared, "repeats")
     plain = marks.where("equal").select(
         "node", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (least - 1)).alias("hi")
     )
@@ -284,14 +325,14 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, ranges
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """``docs`` with ``rest`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Null texts are empty; texts shorter than ``least`` stay.  Columns of these names are replaced.
     """
     extra = ("rest", "n_bytes", "n_removed", "n_spans")
     own = [c for c in docs.columns if c not in (*extra, "_node", "_spans")]
-    spans = repeated_spans(docs, least).select(F.col("node").alias("_node"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(docs, least, hot).select(F.col("node").alias("_node"), F.col("spans").alias("_spans"))
     text = text_or_empty()
     keyed = docs.select(*(F.col(f"`{c}`") for c in own), digest16(text).alias("_node"))
     joined = keyed.join(spans, "_node", "left").drop("_node")
@@ -345,8 +386,8 @@ def cut_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return cut_out.mapInArrow(run, schema)
 
 
-def removal_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def removal_report(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    return remove_repeats(docs.select("doc_id", "text"), least).select(
+    return remove_repeats(docs.select("doc_id", "text"), least, hot).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256")
     )
