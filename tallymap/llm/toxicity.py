@@ -7,6 +7,7 @@ into pieces), since a few words make a text toxic.  Because zstandard does not
 search the last bytes of its input, every window is followed by the same constant
 bytes, which end both dictionaries.  Both dictionaries share a part trained on
 ordinary text, so that common words cancel out and only the class parts differ.
+Texts are counted whole, on Spark; what training collects is counts and features.
 
 A text's windows give four features: the share and the log count of windows that
 the toxic dictionary explains better, and the sums of the differences.  A logistic
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_fold, text_or_empty
+from .shared import id_fold, staged, text_or_empty
 
 #: Constant bytes after each window and at the end of both dictionaries.
 TAIL = hashlib.sha512(b"window end").digest()
@@ -41,14 +42,13 @@ MEMO = 400_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``labelled_rows`` bounds, for each class, the labelled texts that training looks at, and
-    ``text_bytes`` the bytes of each; scoring reads whole texts."""
+    """``labelled_rows`` bounds, for each class, the labelled texts that training looks at, each of them whole.
+    """
 
     common_bytes: int = 800_000
     class_bytes: int = 8192
     level: int = 16
     labelled_rows: int = 4000
-    text_bytes: int = 20_000
     threshold: float = 0.7
 
 
@@ -135,13 +135,13 @@ def _dictionary(words: Counter, size: int, known: bytes = b"", least: int = 1) -
         return b"".join(samples)[:size]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton steps with a small ridge; the classes count as they occur."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, ...]:
+    """Newton steps with a small ridge; rows count ``n`` times, so the classes count as they occur."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-        step = np.linalg.solve(hess, x.T @ (y - p) - 0.05 * w)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
+        step = np.linalg.solve(hess, x.T @ (n * (y - p)) - 0.05 * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -154,36 +154,71 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     Three in four rows train the dictionaries, the others the curve.  Without
     toxic rows or without ordinary ones every score is near the known class.
     """
-    rows = labelled.where("toxic in (0, 1)").select(
-        F.substring(text_or_empty().cast("binary"), 1, settings.text_bytes).alias("text"),
-        F.col("toxic").cast("int").alias("toxic"),
-        F.xxhash64("text").alias("h"),
+    rows = staged(
+        labelled.where("toxic in (0, 1)").select(
+            text_or_empty().cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h")
+        ),
+        "labelled",
     )
-    kept = []
-    for label in (0, 1):
-        some = rows.where(F.col("toxic") == label).orderBy("h", "text").limit(settings.labelled_rows)
-        kept += [(bytes(r.text), r.toxic, r.h) for r in some.collect()]
-    return train_kept(kept, settings)
+    last = {
+        label: rows.where(F.col("toxic") == label).select("h").orderBy("h").limit(settings.labelled_rows).agg(F.max("h")).first()[0]
+        for label in (0, 1)
+    }
+    chosen = rows.where(F.col("h") <= F.when(F.col("toxic") == 0, F.lit(last[0])).otherwise(F.lit(last[1])))
+    words, texts = _word_counts(chosen.where("h % 4 <> 0"))
+    toxic, ordinary = _dictionaries(words, texts, settings)
+    model = Model(toxic, ordinary, (), settings.level)
+    held = _held_features(chosen.where("h % 4 = 0"), model) or [([1.0] + [0.0] * 6, 0, 1)]
+    x, y, n = (np.array(column, np.float64) for column in zip(*held, strict=True))
+    return Model(toxic, ordinary, _logistic(x, y, n), settings.level)
+
 
+def _word_counts(rows: DataFrame) -> tuple[dict[int, Counter], Counter]:
+    """For each class, how many texts hold each window; and how many texts it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Counter()
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found.update((label, w) for w in set(windows(text.as_py())))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([label for label, _ in found], pa.int32()),
+                    pa.array([w for _, w in found], pa.binary()),
+                    pa.array(list(found.values()), pa.int64()),
+                ],
+                names=["toxic", "window", "n"],
+            )
 
-def train_kept(kept: list[tuple[bytes, int, int]], settings: Settings) -> Model:
-    """Fit on (text, label, hash) rows; every fourth hash is for the curve."""
+    counts = rows.select("text", "toxic").mapInArrow(run, "toxic int, window binary, n long")
     words = {0: Counter(), 1: Counter()}
-    texts = Counter()
-    for text, label, h in kept:
-        if h % 4:
-            words[label].update(set(windows(text)))
-            texts[label] += 1
+    for r in counts.groupBy("toxic", "window").agg(F.sum("n").alias("n")).collect():
+        words[r.toxic][bytes(r.window)] = r.n
+    return words, Counter({r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()})
+
+
+def _dictionaries(words: dict[int, Counter], texts: Counter, settings: Settings) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary; a class's part stands before the common one."""
     common = _dictionary(words[0], settings.common_bytes)
     parts = [_dictionary(words[label], settings.class_bytes, common, 2 + texts[label] // 250) for label in (0, 1)]
-    ordinary, toxic = ((part + common).replace(b" ", START) + TAIL for part in parts)
-    model = Model(toxic, ordinary, (), settings.level)
-    distance = Distance(model)
-    held = [(features(text, distance), label) for text, label, h in kept if not h % 4]
-    if not held:
-        held = [([1.0] + [0.0] * 6, 0)]
-    weights = _logistic(np.array([x for x, _ in held]), np.array([float(y) for _, y in held]))
-    return Model(toxic, ordinary, weights, settings.level)
+    return tuple((part + common).replace(b" ", START) + TAIL for part in parts[::-1])
+
+
+def _held_features(rows: DataFrame, model: Model) -> list[tuple[list[float], int, int]]:
+    """(features, label, rows) of each distinct text, read whole."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the dictionaries' sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(shared.value)
+        for batch in batches:
+            made = [features(t.as_py(), distance) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(made, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "h"]
+            )
+
+    found = rows.select("text", "toxic", "h").mapInArrow(run, "x array<double>, toxic int, h long")
+    held = found.groupBy("toxic", "h").agg(F.first("x").alias("x"), F.count("*").alias("n")).collect()
+    return [(list(r.x), r.toxic, r.n) for r in sorted(held, key=lambda r: (r.toxic, r.h))]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
