@@ -3,10 +3,12 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text; a
 window of text is compressed with both and the difference of the two lengths says
 which class knows it better.  Windows are cut at white space (tokens over 64 bytes
-into pieces), since a few words make a text toxic.  Because zstandard does not
+into pieces that overlap by half), since a few words make a text toxic.  Because zstandard does not
 search the last bytes of its input, every window is followed by the same constant
 bytes, which end both dictionaries.  Both dictionaries share a part trained on
-ordinary text, so that common words cancel out and only the class parts differ.
+ordinary text, so that common words cancel out and only the class parts differ.  The
+class parts hold the words whose rate in texts of the class exceeds their rate in the
+other by more than chance; such words of the toxic class are left out of the common part.
 Texts are counted whole, on Spark; what training collects is counts and features.
 
 A text's windows give four features: the share and the log count of windows that
@@ -43,12 +45,13 @@ MEMO = 400_000
 @dataclass(frozen=True)
 class Settings:
     """``labelled_rows`` bounds, for each class, the labelled texts that training looks at, each of them whole.
-    """
+    ``excess``: standard deviations by which a class word's rate exceeds what both classes together have."""
 
     common_bytes: int = 800_000
     class_bytes: int = 8192
     level: int = 16
     labelled_rows: int = 4000
+    excess: float = 2.0
     threshold: float = 0.7
 
 
@@ -63,7 +66,8 @@ class Model:
 def windows(text: bytes) -> list[bytes]:
     tokens = text.lower().split()
     if any(len(t) > LONGEST for t in tokens):
-        tokens = [t[i : i + LONGEST] for t in tokens for i in range(0, len(t), LONGEST)]
+        step = LONGEST // 2
+        tokens = [t[i : i + LONGEST] for t in tokens for i in range(0, max(1, len(t) - step), step)]
     return tokens
 
 
@@ -118,15 +122,20 @@ def score_of(found: list[float], weights: tuple[float, ...]) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _dictionary(words: Counter, size: int, known: bytes = b"", least: int = 1) -> bytes:
-    """Dictionary content trained on each window as often as texts hold it, without those already known."""
-    have = set(known.split())
-    samples = [
-        b" " + w + b" "
-        for w in sorted(words)
-        if len(w) > 3 and words[w] >= least and w not in have
-        for _ in range(words[w])
-    ]
+def class_words(words: dict[int, Counter], texts: Counter, label: int, excess: float) -> set[bytes]:
+    """Windows that texts of a class hold more often than its share of all texts would make likely."""
+    share = texts[label] / max(1, texts[0] + texts[1])
+    found = set()
+    for w, n in words[label].items():
+        both = n + words[1 - label][w]
+        if n > 1 and n - both * share >= excess * math.sqrt(both * share * (1 - share) + 1):
+            found.add(w)
+    return found
+
+
+def _dictionary(words: Counter, size: int) -> bytes:
+    """Dictionary content trained on each window as often as texts hold it."""
+    samples = [b" " + w + b" " for w in sorted(words) for _ in range(words[w])]
     random.Random(7).shuffle(samples)
     samples = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)][:150_000]
     try:
@@ -199,9 +208,14 @@ def _word_counts(rows: DataFrame) -> tuple[dict[int, Counter], Counter]:
 
 def _dictionaries(words: dict[int, Counter], texts: Counter, settings: Settings) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary; a class's part stands before the common one."""
-    common = _dictionary(words[0], settings.common_bytes)
-    parts = [_dictionary(words[label], settings.class_bytes, common, 2 + texts[label] // 250) for label in (0, 1)]
-    return tuple((part + common).replace(b" ", START) + TAIL for part in parts[::-1])
+    own = {label: class_words(words, texts, label, settings.excess) for label in (0, 1)}
+    common = _dictionary(Counter({w: n for w, n in words[0].items() if w not in own[1]}), settings.common_bytes)
+    have = set(common.split())
+    parts = {
+        1: _dictionary(Counter({w: words[1][w] for w in own[1]}), settings.class_bytes),
+        0: _dictionary(Counter({w: words[0][w] for w in own[0] if w not in have}), settings.class_bytes),
+    }
+    return tuple((parts[label] + b" " + common).replace(b" ", START) + TAIL for label in (1, 0))
 
 
 def _held_features(rows: DataFrame, model: Model) -> list[tuple[list[float], int, int]]:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from tallymap.llm import toxicity
@@ -15,3 +17,18 @@ def test_training_reads_whole_texts(spark):
     got = toxicity.toxicity(docs, docs.select("doc_id", "toxic")).collect()
     held = [r.predicted == rows[r.doc_id][2] for r in got if r.held_out]
     assert len(held) > 40 and sum(held) >= 0.95 * len(held)
+
+
+def test_class_words_go_by_rates():
+    words = {0: Counter({b"the": 3000, b"quoted": 1, b"few": 2}), 1: Counter({b"the": 3000, b"quoted": 1000, b"bad": 9, b"few": 2})}
+    found = toxicity.class_words(words, Counter({0: 3000, 1: 3000}), 1, toxicity.Settings().excess)
+    assert found == {b"quoted", b"bad"}
+    toxic, ordinary = toxicity._dictionaries(words, Counter({0: 3000, 1: 3000}), toxicity.Settings())
+    assert b"quoted" in toxic and b"quoted" not in ordinary
+
+
+def test_pieces_of_long_tokens_overlap():
+    for at in range(300):
+        token = b"x" * at + b"horridword" + b"y" * (300 - at)
+        assert any(b"horridword" in w for w in toxicity.windows(token))
+        assert token.startswith(toxicity.windows(token)[0]) and token.endswith(toxicity.windows(token)[-1])
