@@ -4,19 +4,24 @@
 fields and digests), ``parse_records`` cuts the bytes of WARC files into records, and
 ``derive`` makes two linked records for each response: a ``metadata`` record and a
 ``conversion`` record.  Both carry ``WARC-Refers-To`` with the response's identifier
-and keep its target, date and payload digest; block digests are of their own content.
+and keep its target, date and payload digest; block digests are of their own content.  The
+metadata record lists every header of the response record and of HTTP, repeats included.
+Text is taken after transfer and content encoding are undone, in the declared charset.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +30,96 @@ from .shared import text_or_empty
 VERSION = "WARC/1.1"
 #: Captured pages carry no time; records of a table get this one unless a column ``date`` exists.
 UNDATED = "1970-01-01T00:00:00Z"
-RECORD = "record_id string, record_type string, headers map<string,string>, block binary"
+RECORD = (
+    "record_id string, record_type string, headers map<string,string>, block binary, "
+    "fields array<struct<name:string,value:string>>"
+)
 
 _DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|body)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|$)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|$)", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
 
 
+class Fields(dict):
+    """Headers by name, with ``pairs``: all of them in their order, repeats included."""
+
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        super().__init__(pairs)
+        self.pairs = pairs
+
+
+def _pairs(lines: list[str]) -> list[tuple[str, str]]:
+    return [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines) if k.strip()]
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The bytes of a chunked body; data that is not chunked as it is, and of a cut body what there is."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b"\r\n", at)
+        size = re.fullmatch(rb"\s*([0-9a-fA-F]+)\s*(;.*)?", data[at:end] if end >= 0 else b"", re.S)
+        if not size:
+            return b"".join(out) if out else data
+        n = int(size[1], 16)
+        if not n:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n
+        at += 2 if data[at : at + 2] == b"\r\n" else 0
+    return b"".join(out)
+
+
+def _inflated(data: bytes, bits: int) -> bytes:
+    """All members of zlib data, and what there is of one that is cut."""
+    out = []
+    while data:
+        member = zlib.decompressobj(bits)
+        out.append(member.decompress(data))
+        data = member.unused_data if member.eof else b""
+        if data and not data.startswith(b"\x1f\x8b"):  # padding
+            break
+    return b"".join(out)
+
+
+def _decoded(data: bytes, coding: str) -> bytes:
+    """``data`` without one content coding; ValueError if it can't be undone."""
+    try:
+        if coding in ("", "identity"):
+            return data
+        if coding in ("gzip", "x-gzip"):
+            return _inflated(data, 31)
+        if coding == "deflate":
+            try:
+                return _inflated(data, 15)
+            except zlib.error:
+                return _inflated(data, -15)
+        if coding == "zstd":
+            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    except (zlib.error, zstandard.ZstdError) as error:
+        raise ValueError(f"bad {coding} data") from error
+    raise ValueError(f"unknown coding {coding}")
+
+
+def _markup(body: bytes, content_type: str) -> tuple[str, str]:
+    """Text of a body and its charset: the byte order mark's, the declared one, that of the markup, or UTF-8."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace"), name
+    named = _CHARSET.search(content_type) or _CHARSET.search(body[:1024].decode("latin-1"))
+    name = named[1].lower() if named else "utf-8"
+    try:
+        name = codecs.lookup(name).name
+        if name in ("iso8859-1", "ascii"):  # as browsers read them
+            name = "cp1252"
+        return body.decode(name, "replace"), name
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace"), "utf-8"
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -53,7 +138,8 @@ def plain_text(markup: str) -> str:
 
 def write_record(headers: dict[str, str], block: bytes) -> bytes:
     """One record as bytes; ``headers`` without the length, which is added."""
-    lines = [VERSION, *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    pairs = getattr(headers, "pairs", None) or headers.items()
+    lines = [VERSION, *(f"{k}: {v}" for k, v in pairs), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -68,7 +154,7 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if end < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no record at byte {at}")
         lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        headers = Fields(_pairs(lines))
         size = int(headers.get("Content-Length", "-1"))
         if size < 0 or end + 4 + size > len(data):
             raise ValueError(f"bad length of the record at byte {at}")
@@ -94,28 +180,46 @@ def response_record(url: str, markup: str, date: str, key: str) -> tuple[dict[st
 
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
     """Metadata and conversion record of a response; nothing for other types."""
-    if headers.get("WARC-Type") != "response":
+    pairs = getattr(headers, "pairs", None) or list(headers.items())
+    named = {k.lower(): v for k, v in reversed(pairs)}
+    if named.get("warc-type") != "response":
         return []
     head, found, payload = block.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"HTTP/"):
         head, payload = b"", block
-    status, *fields = head.decode("latin-1").split("\r\n")
-    markup = payload.decode("utf-8", "replace")
+    status, *fields = re.sub(r"\r\n[ \t]+", " ", head.decode("latin-1")).split("\r\n")
+    http = [(k.lower(), v) for k, v in _pairs(fields)]
+    every = lambda name: ",".join(v for k, v in http if k == name)
+    codings = lambda name: [c.strip().lower() for c in every(name).split(",")]
+    failed = ""
+    body = payload
+    try:
+        for coding in reversed(codings("transfer-encoding")):
+            body = _unchunked(body) if coding == "chunked" else _decoded(body, coding)
+        sent = body
+        for coding in reversed(codings("content-encoding")):
+            body = _decoded(body, coding)
+    except ValueError as error:  # no text rather than the text of coded bytes
+        sent, body, failed = payload, b"", str(error)
+    markup, charset = _markup(body, every("content-type"))
     text = plain_text(markup)
     title = _TITLE.search(markup)
     lang = _LANG.search(markup)
-    facts = {
-        "title": " ".join(html.unescape(title[1]).split()) if title else "",
-        "language": lang[1].lower() if lang else "",
-        "outlinks": str(len(_LINK.findall(_DROPPED.sub(" ", markup)))),
-        "text-characters": str(len(text)),
-        "status-line": status,
-        **{f"http-{k.strip().lower()}": v.strip() for k, _, v in (f.partition(":") for f in fields) if k},
-    }
-    described = "".join(f"{k}: {v}\r\n" for k, v in facts.items()).encode()
-    source = headers.get("WARC-Record-ID", "")
-    kept = {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date") if k in headers}
-    payload_digest = headers.get("WARC-Payload-Digest") or digest(payload)
+    facts = [
+        ("title", " ".join(html.unescape(title[1]).split()) if title else ""),
+        ("language", lang[1].lower() if lang else ""),
+        ("outlinks", str(len(_LINK.findall(_DROPPED.sub(" ", markup))))),
+        ("text-characters", str(len(text))),
+        ("charset", charset),
+        *([("decoding-error", failed)] if failed else []),
+        ("status-line", status),
+        *((f"http-{k}", v) for k, v in http),
+        *((f"source-{k}", v) for k, v in pairs),
+    ]
+    described = "".join(f"{k}: {v}\r\n" for k, v in facts).encode()
+    source = named.get("warc-record-id", "")
+    kept = {k: named[k.lower()] for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in named}
+    payload_digest = named.get("warc-payload-digest") or digest(sent)
     out = []
     for kind, content, mime in (
         ("metadata", described, "application/warc-fields"),
@@ -173,10 +277,11 @@ def derive(records: DataFrame) -> DataFrame:
         for batch in batches:
             made = []
             for headers, block in zip(batch.column(0), batch.column(1), strict=True):
-                made += derivatives(dict(headers.as_py() or []), block.as_py() or b"")
+                pairs = [(x["name"], x["value"] or "") for x in headers.as_py() or []]
+                made += derivatives(Fields(pairs), block.as_py() or b"")
             yield _batch(made)
 
-    return records.where("record_type = 'response'").select("headers", "block").mapInArrow(run, RECORD)
+    return records.where("record_type = 'response'").select("fields", "block").mapInArrow(run, RECORD)
 
 
 def _batch(records: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
@@ -186,8 +291,12 @@ def _batch(records: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
             pa.array([h.get("WARC-Type") for h, _ in records], pa.string()),
             pa.array([list(h.items()) for h, _ in records], pa.map_(pa.string(), pa.string())),
             pa.array([b for _, b in records], pa.binary()),
+            pa.array(
+                [[{"name": k, "value": v} for k, v in getattr(h, "pairs", None) or h.items()] for h, _ in records],
+                pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])),
+            ),
         ],
-        names=["record_id", "record_type", "headers", "block"],
+        names=["record_id", "record_type", "headers", "block", "fields"],
     )
 
 
