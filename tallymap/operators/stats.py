@@ -15,6 +15,8 @@ from tallymap.operators.rollup import region_record_counts
 from tallymap.spec import Fact
 
 _BUCKETS = 4096
+#: Cut points of the distinct values, so that an extreme value does not put all others into one range.
+_CUTS = 64
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,20 +40,28 @@ def _moments(counts: DataFrame) -> DataFrame:
     )
 
 
+def _placed(counts: DataFrame) -> DataFrame:
+    """Value counts with the moments of their measure and the range, in order of values, they are in."""
+    width = (F.col("max") - F.col("min")) / _BUCKETS
+    position = F.floor((F.col("value") - F.col("min")) / F.nullif(width, F.lit(0)))
+    equal = F.least(F.coalesce(position, F.lit(0)), F.lit(_BUCKETS - 1))
+    part = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    points = [i / _CUTS for i in range(1, _CUTS)]
+    cuts = counts.groupBy("measure").agg(F.percentile_approx("value", points, 10_000).alias("cuts"))
+    # One row per measure, and two per probability: bounded whatever the data.
+    known = _moments(counts).join(F.broadcast(cuts), "measure")
+    return counts.join(F.broadcast(known), "measure").withColumn("bucket", part * _BUCKETS + equal).drop("cuts")
+
+
 def describe_counts(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """Moments and exact, linearly interpolated quantiles from value counts.
 
-    Running counts are built in two steps, over at most 4096 value ranges per
-    measure and then inside the ranges that hold a wanted rank, so no task ever
+    Running counts are built in two steps, over value ranges (64 of about as many
+    distinct values each, cut again by 4096 equal widths) per measure and then inside the ranges that hold a wanted rank, so no task ever
     sorts all values of a measure.
     """
     span = W.partitionBy("measure")
-    width = (F.col("max") - F.col("min")) / _BUCKETS
-    position = F.floor((F.col("value") - F.col("min")) / F.nullif(width, F.lit(0)))
-    # One row per measure, and two per probability: bounded whatever the data.
-    placed = counts.join(F.broadcast(_moments(counts)), "measure").withColumn(
-        "bucket", F.least(F.coalesce(position, F.lit(0)), F.lit(_BUCKETS - 1))
-    )
+    placed = _placed(counts)
     off = F.col("value") - F.col("mean")
     ranges = placed.groupBy("measure", "bucket").agg(
         F.sum("n").alias("size"),
