@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, lattice_lm, mixing, nn_descent, setsketch, suffix_dedup, toxicity, warc
+from . import (
+    bpe,
+    chat,
+    fill_middle,
+    fingerprint,
+    hard_negatives,
+    host_rules,
+    lattice_lm,
+    mixing,
+    nn_descent,
+    setsketch,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from .shared import table
 
 
@@ -60,6 +74,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.rules_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +100,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_setsketch_dedup,
         op9_chat_round_trip,
         op10_toxicity,
+        op11_fill_in_middle,
+        op12_hard_negatives,
+        op13_host_rules,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_fill_in_middle": fill_middle.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_host_rules": host_rules.SQL,
+}
