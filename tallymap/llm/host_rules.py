@@ -7,7 +7,8 @@ strength follows from how much more the hosts' rates vary than chance would make
 host's rate is shrunk towards that mean, the more the fewer documents it has, and a host with a
 shrunk rate above ``most`` for any rule is rejected with all its documents.  The verdicts, one
 row per host, are joined back; the sizes of both sides decide how, and a host with
-a third of all documents is a few hundred narrow rows a task once adaptive execution has split it.
+a third of all documents is split by adaptive execution.  A document is kept if it passes
+every rule itself and its host is not rejected.
 
 Words are runs of characters other than the six ASCII blanks.  A null text has no words and so fails the base rules;
 a document with a null host gets no verdict from a host.  Repeated rows count as often as
@@ -153,18 +154,22 @@ def host_verdicts(stats: DataFrame, settings: Settings = Settings()) -> DataFram
 
 
 def host_rules(docs: DataFrame, host: Column, settings: Settings = Settings()) -> DataFrame:
-    """The measured numbers of every document with base_failed, host_rejected and kept.
+    """The measured numbers of every document with base_failed, rule_failed, host_rejected and kept.
 
     ``docs`` has doc_id and text; ``host`` is taken as it is, ``host_of`` reads it from an address.
     """
     texts = docs.select("doc_id", host.cast("string").alias("host"), text_or_empty().alias("text"))
     stats = staged(measured(texts, F.col("host")), "rule-counts")
     verdicts = host_verdicts(stats, settings).select("host", F.col("rejected").alias("host_rejected"))
-    failed = reduce(or_, (RULES[name]() for name in BASE))
+    fails = lambda names: reduce(or_, (RULES[name]() for name in names))
     joined = stats.join(verdicts, "host", "left").withColumns(
-        {"base_failed": failed, "host_rejected": F.coalesce("host_rejected", F.lit(False))}
+        {
+            "base_failed": fails(BASE),
+            "rule_failed": fails(RULES),
+            "host_rejected": F.coalesce("host_rejected", F.lit(False)),
+        }
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return joined.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_rejected"))
 
 
 def host_of(url: Column) -> Column:
@@ -218,7 +223,7 @@ priors AS (SELECT *, {strength} FROM moments),
 verdicts AS (SELECT host, {high} AS rejected FROM hosts, priors)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(rejected, FALSE) AS kept
+       NOT ({" OR ".join(fails.values())}) AND NOT coalesce(rejected, FALSE) AS kept
 FROM counts LEFT JOIN verdicts USING (host)"""
 
 
