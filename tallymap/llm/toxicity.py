@@ -44,16 +44,21 @@ MEMO = 400_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``labelled_rows`` bounds, for each class, the labelled texts that training looks at, each of them whole.
-    ``excess``: standard deviations by which a class word's rate exceeds what both classes together have."""
+    """``labelled_rows`` and ``ordinary_rows`` bound the toxic and the ordinary labelled texts that training looks
+    at, each of them whole.  Where a bound is reached, rows count for as many as there are, so that classes
+    keep their shares.  ``excess``: standard deviations by which a class word's rate exceeds what both classes together have."""
 
     common_bytes: int = 800_000
     class_bytes: int = 8192
     level: int = 16
     labelled_rows: int = 4000
+    ordinary_rows: int = 16_000
     excess: float = 2.0
     threshold: float = 0.7
 
+    def bound(self, label: int) -> int:
+        return self.labelled_rows if label else self.ordinary_rows
+
 
 @dataclass(frozen=True)
 class Model:
@@ -134,10 +139,10 @@ def class_words(words: dict[int, Counter], texts: Counter, label: int, excess: f
 
 
 def _dictionary(words: Counter, size: int) -> bytes:
-    """Dictionary content trained on each window as often as texts hold it."""
-    samples = [b" " + w + b" " for w in sorted(words) for _ in range(words[w])]
+    """Dictionary content trained on each window as often as its count has binary digits."""
+    samples = [b" " + w + b" " for w in sorted(words) for _ in range(words[w].bit_length())]
     random.Random(7).shuffle(samples)
-    samples = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)][:150_000]
+    samples = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)]
     try:
         return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the samples themselves
@@ -158,32 +163,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, ...]:
 
 
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on rows (text, toxic 0/1): at most ``labelled_rows`` of each class, chosen by a hash of the text.
+    """Fit on rows (text, toxic 0/1): at most so many of each class as the settings say, chosen by a hash of the text.
 
-    Three in four rows train the dictionaries, the others the curve.  Without
-    toxic rows or without ordinary ones every score is near the known class.
+    A column ``weight``, if there is one, says how many rows each stands for.  Three in four rows train the
+    dictionaries, the others the curve.  Without toxic rows or without ordinary ones every score is near the known class.
     """
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
     rows = staged(
         labelled.where("toxic in (0, 1)").select(
-            text_or_empty().cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h")
+            text_or_empty().cast("binary").alias("text"),
+            F.col("toxic").cast("int").alias("toxic"),
+            F.xxhash64("text").alias("h"),
+            weight.cast("double").alias("weight"),
         ),
         "labelled",
     )
     last = {
-        label: rows.where(F.col("toxic") == label).select("h").orderBy("h").limit(settings.labelled_rows).agg(F.max("h")).first()[0]
+        label: rows.where(F.col("toxic") == label).select("h").orderBy("h").limit(settings.bound(label)).agg(F.max("h")).first()[0]
         for label in (0, 1)
     }
-    chosen = rows.where(F.col("h") <= F.when(F.col("toxic") == 0, F.lit(last[0])).otherwise(F.lit(last[1])))
-    words, texts = _word_counts(chosen.where("h % 4 <> 0"))
+    within = F.col("h") <= F.when(F.col("toxic") == 0, F.lit(last[0])).otherwise(F.lit(last[1]))
+    # How many rows of its class a chosen one stands for.
+    stands = rows.groupBy("toxic").agg((F.sum("weight") / F.count(F.when(within, 1))).alias("stands"))
+    of_class = {r.toxic: r.stands for r in stands.collect()}
+    chosen = rows.where(within)
+    words, texts = _word_counts(chosen.where("h % 4 <> 0"), settings)
     toxic, ordinary = _dictionaries(words, texts, settings)
     model = Model(toxic, ordinary, (), settings.level)
     held = _held_features(chosen.where("h % 4 = 0"), model) or [([1.0] + [0.0] * 6, 0, 1)]
     x, y, n = (np.array(column, np.float64) for column in zip(*held, strict=True))
-    return Model(toxic, ordinary, _logistic(x, y, n), settings.level)
+    n = n * np.array([of_class.get(label, 1.0) for label in y])
+    return Model(toxic, ordinary, _logistic(x, y, n * len(n) / n.sum()), settings.level)
+
 
+def _word_counts(rows: DataFrame, settings: Settings) -> tuple[dict[int, Counter], Counter]:
+    """For each class, how many texts hold each window that dictionaries can use; and how many texts it has.
 
-def _word_counts(rows: DataFrame) -> tuple[dict[int, Counter], Counter]:
-    """For each class, how many texts hold each window; and how many texts it has."""
+    Windows are counted and chosen on Spark.  What is collected is bounded by the dictionaries' sizes:
+    each class's windows of largest excess, and the most frequent ordinary ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,11 +217,24 @@ def _word_counts(rows: DataFrame) -> tuple[dict[int, Counter], Counter]:
                 names=["toxic", "window", "n"],
             )
 
-    counts = rows.select("text", "toxic").mapInArrow(run, "toxic int, window binary, n long")
+    texts = Counter({r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()})
+    counted = rows.select("text", "toxic").mapInArrow(run, "toxic int, window binary, n long")
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0)).alias(f"n{label}")
+    counts = staged(counted.groupBy("window").agg(of(0), of(1)), "windows")
+    both = F.col("n0") + F.col("n1")
+    chosen = [counts.orderBy(F.desc("n0"), "window").limit(settings.common_bytes // 6)]
+    for label in (0, 1):
+        share = texts[label] / max(1, texts[0] + texts[1])
+        n = F.col(f"n{label}")
+        excess = (n - both * share) / F.sqrt(both * (share * (1 - share)) + 1)
+        most = counts.where((n > 1) & (excess > settings.excess * 0.999))
+        chosen.append(most.orderBy(F.desc(excess), "window").limit(settings.class_bytes))
     words = {0: Counter(), 1: Counter()}
-    for r in counts.groupBy("toxic", "window").agg(F.sum("n").alias("n")).collect():
-        words[r.toxic][bytes(r.window)] = r.n
-    return words, Counter({r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()})
+    for part in chosen:
+        found = part.toArrow()
+        for window, n0, n1 in zip(*(found.column(c) for c in ("window", "n0", "n1")), strict=True):
+            words[0][window.as_py()], words[1][window.as_py()] = n0.as_py(), n1.as_py()
+    return {label: +counter for label, counter in words.items()}, texts
 
 
 def _dictionaries(words: dict[int, Counter], texts: Counter, settings: Settings) -> tuple[bytes, bytes]:
@@ -264,9 +295,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def labelled_rows(
     docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), held_out: int | None = None
 ) -> DataFrame:
-    """Texts with their label, of at most ``labelled_rows`` ids for each class outside the held-out fold.
+    """(text, toxic, weight) of at most so many ids of each class as the settings say, outside the held-out fold.
 
-    Ids with conflicting or missing labels are left out.  The ids are chosen by a hash from the
+    ``weight`` says for how many ids of its class one stands.  Ids with conflicting or missing labels are left out.  The ids are chosen by a hash from the
     labels alone, so no text is moved to find them; they are few enough to be sent to every task.
     """
     known = (
@@ -277,9 +308,18 @@ def labelled_rows(
         .where(id_fold(F.col("doc_id"), 3) != (-2 if held_out is None else held_out))
         .select("doc_id", "toxic")
     )
+    known = staged(known, "known-labels")
+    have = Counter({r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()})
     order = [F.xxhash64("doc_id"), "doc_id"]
-    one, two = (known.where(F.col("toxic") == k).orderBy(*order).limit(settings.labelled_rows) for k in (0, 1))
-    return docs.select("doc_id", "text").join(F.broadcast(one.union(two)), "doc_id").select("text", "toxic")
+    parts = [
+        known.where(F.col("toxic") == k)
+        .orderBy(*order)
+        .limit(settings.bound(k))
+        .withColumn("weight", F.lit(max(1.0, have[k] / settings.bound(k))))
+        for k in (0, 1)
+    ]
+    chosen = F.broadcast(parts[0].union(parts[1]))  # bounded by the settings
+    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "weight")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), held_out: int = 1) -> DataFrame:
