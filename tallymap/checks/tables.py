@@ -20,7 +20,7 @@ from tallymap.checks.base import (
 )
 from tallymap.functions import columns, names
 from tallymap.operators import filters, joins
-from tallymap.operators.rollup import daily_totals, rollup_by
+from tallymap.operators.rollup import daily_totals, rollup_by, rollup_named
 from tallymap.plans import dashboard
 from tallymap.sources import csv_parts, exports, fixtures
 from tallymap.sources.csv_parts import DATE_FORMAT
@@ -123,6 +123,65 @@ def load_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# What is wrong with a row, by its place (customer key modulo 40), and the row's fields then.
+FAULTS = {
+    3: ("date", lambda f: {**f, "date": F.lit("31-02-2025")}),
+    7: ("pincode", lambda f: {**f, "pincode": F.lit("x7")}),
+    11: ("upd_new", lambda f: {**f, "upd_new": F.lit("1.5e")}),
+    13: ("date, upd_old", lambda f: {**f, "date": F.lit("2025-01-31"), "upd_old": F.lit("--")}),
+    17: ("field count", lambda f: {n: c for n, c in f.items() if n != "district"}),
+    19: ("field count", lambda f: {**f, "more": F.lit("9")}),
+}
+
+
+def _write_faulty(fact: Fact) -> str:
+    """The fact as CSV files in which some rows cannot be read."""
+    fields = {
+        "date": F.date_format("date", DATE_FORMAT), "state": F.coalesce("state", F.lit("")),
+        **{c: F.col(c).cast("string") for c in ("district", "pincode", *fact.spec.measures)},
+    }
+    line = F.concat_ws(",", *fields.values())
+    for place, (_, change) in FAULTS.items():
+        line = F.when(F.col("pincode") % 40 == place, F.concat_ws(",", *change(fields).values())).otherwise(line)
+    path = fresh_path(fact.df.sparkSession, "faulty")
+    lines = fact.df.withColumn("state", F.when(_raw_state().rlike("^[^\t ].*[^ ]$"), _raw_state())).select(line.alias(",".join(fields)))
+    lines.write.option("header", True).option("sep", "|").csv(path)
+    return path
+
+
+FAULT_SQL = " ".join(f"WHEN {place} THEN '{problem}'" for place, (problem, _) in FAULTS.items())
+
+
+@query(
+    f"""
+    SELECT problem, CASE WHEN problem IS NULL THEN name END AS state, COUNT(*) AS n,
+           CASE WHEN problem IS NULL THEN CAST(SUM({UPD}) AS BIGINT) END AS total
+    FROM (SELECT CASE pincode % 40 {FAULT_SQL} END AS problem, upd_new, upd_old,
+                 CASE WHEN pincode % 20 IN (5, 6, 15) THEN 'Unknown' ELSE name END AS name
+          FROM updates JOIN names ON pincode % 20 = i)
+    GROUP BY 1, 2""",
+    names=NAMES_SQL,
+)
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact = fixtures.updates(spark, sf_dir)
+    load = csv_parts.load_checked(spark, fact.spec, [_write_faulty(fact)])
+    amount = F.coalesce("upd_new", F.lit(0)) + F.coalesce("upd_old", F.lit(0))
+    good = load.fact.df.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total"))
+    bad = load.rejects.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return good.withColumn("problem", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
+@query(
+    "SELECT c_custkey AS pincode, name FROM customer JOIN names ON c_custkey % 20 = i",
+    names=NAMES_SQL,
+)
+def normalize_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("pincode"), _raw_state("c_custkey").alias("name")
+    )
+    return names.normalize_by_value(raw, "name")
+
+
 @query(
     """
     SELECT dataset, COUNT(*) AS n_states, string_agg(name, '|' ORDER BY name) AS states FROM (
@@ -175,8 +234,7 @@ def normalize_region_name_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def normalized_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = fixtures.updates(spark, sf_dir)
-    cleaned = names.normalize_region_name(fact.df.withColumn("state", _raw_state()))
-    return rollup_by(fact.on(cleaned), ["state"])
+    return rollup_named(fact.on(fact.df.withColumn("state", _raw_state())), ["state"])
 
 
 # --- sinks -------------------------------------------------------------------------------

@@ -41,6 +41,17 @@ def _first_match(pairs: Aliases, condition: Callable[[str], Column]) -> Column:
     return reduce(lambda case, pair: case.when(condition(pair[0]), pair[1]), pairs, F)
 
 
+def _inside(aliases: Aliases, key: Column) -> Column:
+    """Official name of the first alias that contains the key or is contained in it, else NULL.
+
+    One search through all aliases, a line each, settles whether any contains the key, before they are asked one by one.
+    """
+    lines = F.lit("\n".join(k for k, _ in aliases))
+    holds = _first_match(aliases, lambda k: F.contains(key, F.lit(k)))
+    either = _first_match(aliases, lambda k: F.contains(key, F.lit(k)) | F.contains(F.lit(k), key))
+    return F.when(F.contains(lines, key), either).otherwise(holds)
+
+
 def region_name(
     raw: Column,
     cleaned: Column,
@@ -61,7 +72,7 @@ def region_name(
     # Most rows carry an official name already; one hash lookup settles them.
     official = [n for n in dict.fromkeys(names.values()) if names.get(n.lower()) == n and n.lower() not in wrong]
     exact = _first_match(aliases, lambda k: key == k)
-    inside = _first_match(aliases, lambda k: F.contains(key, F.lit(k)) | F.contains(F.lit(k), key))
+    inside = _inside(aliases, key)
     unknown = raw.isNull() | ((key if strict else raw) == "") | key.isin(*wrong) | key.rlike(r"^\p{Nd}+$")
     fallback = [title_case(cleaned)] if strict else [inside, title_case(cleaned)]
     return (
@@ -91,3 +102,35 @@ def normalize_region_name(
         .withColumn(column, rules)
         .drop(cleaned, key)
     )
+
+
+def official_names(
+    df: DataFrame,
+    column: str = "state",
+    aliases: Aliases = ALIASES,
+    invalid: Iterable[str] = INVALID_NAMES,
+    strict: bool = False,
+) -> DataFrame:
+    """(raw, official) for every distinct name of a column that is not missing: the rules run once per name."""
+    raw = df.select(F.col(column).alias("raw")).where(F.col("raw").isNotNull()).distinct()
+    return normalize_region_name(raw.withColumn("official", F.col("raw")), "official", aliases, invalid, strict)
+
+
+def normalize_by_value(
+    df: DataFrame,
+    column: str = "state",
+    aliases: Aliases = ALIASES,
+    invalid: Iterable[str] = INVALID_NAMES,
+    strict: bool = False,
+) -> DataFrame:
+    """As ``normalize_region_name``, by a join with the cleaned distinct names.
+
+    For stored or aggregated frames: the column is read twice.  How the join runs is left to Spark's size check;
+    a name that most rows share is split by adaptive execution.
+    """
+    found = official_names(df, column, aliases, invalid, strict).select(
+        F.col("raw").alias("__raw"), F.col("official").alias("__official")
+    )
+    joined = df.join(found, F.col(column) == F.col("__raw"), "left")
+    official = F.coalesce("__official", F.lit(UNKNOWN))
+    return joined.withColumn(column, official).drop("__raw", "__official")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -18,6 +18,8 @@ from tallymap.functions.columns import (
     total,
     with_total,
 )
+from tallymap.functions.name_tables import ALIASES, INVALID_NAMES
+from tallymap.functions.names import Aliases, normalize_region_name
 from tallymap.functions.shape import distinct_places, fold_places
 from tallymap.operators.filters import filter_region
 from tallymap.operators.topk import top_k
@@ -40,6 +42,26 @@ def rollup_by(fact: Fact, keys: Sequence[str]) -> DataFrame:
     return with_total(sums, fact.spec.measures)
 
 
+def rollup_named(
+    fact: Fact,
+    keys: Sequence[str],
+    aliases: Aliases = ALIASES,
+    invalid: Iterable[str] = INVALID_NAMES,
+    strict: bool = False,
+) -> DataFrame:
+    """``rollup_by`` on a table whose names of the widest level are still as they were written.
+
+    Rows are summed by the written names, the names are cleaned on those sums, and what has become one
+    region is summed again: the rules run once per distinct key, not per row.
+    """
+    wide = fact.spec.levels[0]
+    if wide not in keys:
+        return rollup_by(fact, keys)
+    rest = [k for k in keys if k != wide]
+    raw = present(fact.df, rest).groupBy(*keys).agg(*measure_sums(fact.spec))
+    return rollup_by(fact.on(normalize_region_name(raw, wide, aliases, invalid, strict)), keys)
+
+
 def daily_totals(fact: Fact) -> DataFrame:
     return rollup_by(fact, [fact.spec.date_col])
 
