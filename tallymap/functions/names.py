@@ -6,8 +6,7 @@ that miss the exact lookups reach the containment search.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +32,29 @@ def title_case(text: Column) -> Column:
     """Capital after every character that is not a letter (``o'neil x`` -> ``O'Neil X``)."""
     pieces = F.split(F.lower(text), f"(?<=[^{_CASED}])|(?=[^{_CASED}])")
     capital = F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
-    return F.array_join(capital, "")
+    # Most names are letters and blanks, where only blanks begin a word.
+    return F.when(text.rlike("^[A-Za-z ]*$"), F.initcap(text)).otherwise(F.array_join(capital, ""))
 
 
-def _first_match(pairs: Aliases, condition: Callable[[str], Column]) -> Column:
-    """Official name of the first alias for which the condition holds, else NULL."""
-    return reduce(lambda case, pair: case.when(condition(pair[0]), pair[1]), pairs, F)
+class _Table:
+    """The aliases as constant arrays: one expression for all of them, so that generated code stays small."""
 
+    def __init__(self, aliases: Aliases) -> None:
+        official: dict[str, str] = {}
+        for key, name in aliases:
+            official.setdefault(key, name)
+        self.keys = list(official)
+        self.array = F.array(*map(F.lit, self.keys))
+        self.names = F.map_from_arrays(self.array, F.array(*map(F.lit, official.values())))
 
-def _inside(aliases: Aliases, key: Column) -> Column:
-    """Official name of the first alias that contains the key or is contained in it, else NULL.
+    def exact(self, key: Column) -> Column:
+        """Official name of the alias, else NULL."""
+        return F.try_element_at(self.names, key)
 
-    One search through all aliases, a line each, settles whether any contains the key, before they are asked one by one.
-    """
-    lines = F.lit("\n".join(k for k, _ in aliases))
-    holds = _first_match(aliases, lambda k: F.contains(key, F.lit(k)))
-    either = _first_match(aliases, lambda k: F.contains(key, F.lit(k)) | F.contains(F.lit(k), key))
-    return F.when(F.contains(lines, key), either).otherwise(holds)
+    def inside(self, key: Column) -> Column:
+        """Official name of the first alias that contains the key or is contained in it, else NULL."""
+        found = F.filter(self.array, lambda k: F.contains(key, k) | F.contains(k, key))
+        return self.exact(F.get(found, F.lit(0)))
 
 
 def region_name(
@@ -71,8 +76,8 @@ def region_name(
     wrong = set(invalid)
     # Most rows carry an official name already; one hash lookup settles them.
     official = [n for n in dict.fromkeys(names.values()) if names.get(n.lower()) == n and n.lower() not in wrong]
-    exact = _first_match(aliases, lambda k: key == k)
-    inside = _inside(aliases, key)
+    table = _Table(aliases)
+    exact, inside = table.exact(key), table.inside(key)
     unknown = raw.isNull() | ((key if strict else raw) == "") | key.isin(*wrong) | key.rlike(r"^\p{Nd}+$")
     fallback = [title_case(cleaned)] if strict else [inside, title_case(cleaned)]
     return (

@@ -52,10 +52,10 @@ def parsed_date(text: Column, fmt: str = DATE_FORMAT) -> Column:
     """The date a text stands for, NULL for any other text."""
     if fmt != DATE_FORMAT:
         return F.try_to_date(text, fmt)
-    # Digits at their places, put in the order that a cast reads without a pattern.
-    digits = F.translate(text, "123456789", "000000000") == F.lit("00-00-0000")
-    year, month, day = (F.substring(text, at, n) for at, n in ((7, 4), (4, 2), (1, 2)))
-    return F.when(digits, F.concat_ws("-", year, month, day).try_cast("date"))
+    # Put in the order that a cast reads without a pattern; a cast also takes a day that ends in a blank or a T.
+    at = lambda place, n: F.substring(text, place, n)
+    shaped = (F.length(text) == 10) & (at(3, 1) == "-") & (at(6, 1) == "-") & at(2, 1).between("0", "9")
+    return F.when(shaped, F.concat(at(7, 4), F.lit("-"), at(4, 2), F.lit("-"), at(1, 2)).try_cast("date"))
 
 
 def _values(spec: FactSpec, dated: bool) -> dict[str, Column]:
