@@ -64,6 +64,10 @@ def vocabulary(path: str) -> list[bytes]:
     return list(found)
 
 
+#: Leading bits of a hash that a piece is found by.
+_TOP = 18
+
+
 class Lattice:
     """Pieces by hash, with natural log weights."""
 
@@ -71,8 +75,18 @@ class Lattice:
         self.longest = max(map(len, pieces))
         codes = np.array([self._code(np.frombuffer(p, np.uint8)) for p in pieces], U)
         by = np.argsort(codes)
-        self.codes, self.ids = codes[by], by
+        # One more entry at the end, so that a search may stop behind the last piece.
+        self.codes, self.ids = np.append(codes[by], U(2**64 - 1)), np.append(by, -1)
         self.logp = logp
+        self.first = np.searchsorted(codes[by], np.arange(1 << _TOP, dtype=U) << U(64 - _TOP)).astype(np.int32)
+        self.most = int(np.bincount((codes >> U(64 - _TOP)).astype(np.int64)).max())
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for others: the leading bits say where to look."""
+        at = self.first[code >> U(64 - _TOP)]
+        for _ in range(self.most - 1):
+            at = at + (self.codes[at] < code)
+        return np.where(self.codes[at] == code, self.ids[at], -1)
 
     @staticmethod
     def _code(data: np.ndarray) -> U:
@@ -87,11 +101,9 @@ class Lattice:
         np.cumsum(_BYTES[words] * up[:n], axis=1, dtype=U, out=sums[:, 1:])
         for end in range(1, n + 1):
             for start in range(max(0, end - self.longest), end):
-                code = mix((sums[:, end] - sums[:, start]) * down[start] + U(end - start))
-                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-                hit = self.codes[at] == code
-                if hit.any():
-                    yield start, end, np.where(hit, self.ids[at], -1)
+                ids = self.find(mix((sums[:, end] - sums[:, start]) * down[start] + U(end - start)))
+                if (ids >= 0).any():
+                    yield start, end, ids
 
     def forward(self, words: np.ndarray) -> tuple[np.ndarray, list]:
         m, n = words.shape
@@ -121,10 +133,8 @@ class Lattice:
         sums = np.concatenate((np.zeros(1, U), np.cumsum(_BYTES[word] * up[:n], dtype=U)))
         table = np.full((self.longest, n), -np.inf)
         for size in range(1, min(self.longest, n) + 1):
-            code = mix((sums[size:] - sums[:-size]) * down[: n - size + 1] + U(size))
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code
-            table[size - 1, size - 1 :][hit] = self.logp[self.ids[at[hit]]]
+            ids = self.find(mix((sums[size:] - sums[:-size]) * down[: n - size + 1] + U(size)))
+            table[size - 1, size - 1 :][ids >= 0] = self.logp[ids[ids >= 0]]
         alpha = np.full(n + 1 + self.longest, -np.inf)  # index shifted, so that windows never leave it
         alpha[self.longest] = 0
         for end in range(1, n + 1):
