@@ -42,11 +42,16 @@ def recent_activity(fact: Fact, ref: Fact | None = None, days: int = 30) -> Fact
     """Rows not older than ``days`` before the last date of ``ref`` (inclusive: days + 1 dates).
 
     The last date is fetched when this is called: only a literal reaches the files, so that
-    a question about recent days does not read all of the history.
+    a question about recent days does not read all of the history, and of a table in
+    monthly folders only the folders of those months.
     """
     date = F.col(fact.spec.date_col)
     last = (ref or fact).df.agg(F.max((ref or fact).spec.date_col)).first()[0]
-    return fact.on(fact.df.filter(date >= F.date_sub(F.lit(last).cast("date"), days)))
+    since = F.date_sub(F.lit(last).cast("date"), days)
+    recent = fact.df.filter(date >= since)
+    if fact.spec.month_col:
+        recent = recent.filter(F.col(fact.spec.month_col) >= F.trunc(since, "month"))
+    return fact.on(recent)
 
 
 def date_range(fact: Fact, days: int | None = None) -> Fact:

@@ -22,6 +22,8 @@ class FactSpec:
     levels: tuple[str, ...] = ("state", "district", "pincode")
     # Set on pre-aggregated cubes: the column holding how many source rows a row stands for.
     records_col: str | None = None
+    # Set on tables in monthly folders: the folder's column, the first day of the month.
+    month_col: str | None = None
 
     def raw_schema(self) -> T.StructType:
         """Schema of the CSV files: the date is still text, the last level is a number."""
