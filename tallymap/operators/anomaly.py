@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallymap.operators.rollup import daily_by_region, daily_totals, rollup_by
+from tallymap.operators.rollup import daily_by_region, daily_totals, levels_of, rollup_by
 from tallymap.operators.topk import top_k
 from tallymap.operators.trends import growth_rate_7, rolling_stats
 from tallymap.spec import Fact
@@ -30,24 +30,29 @@ def zscore_anomalies(fact: Fact, threshold: float = 2.0) -> DataFrame:
 
 
 def spike_detection(
-    fact: Fact, level: str = "state", window: int = 7, min_days: int = 7, baseline: str = "trailing"
+    fact: Fact,
+    level: str | Sequence[str] = "state",
+    window: int = 7,
+    min_days: int = 7,
+    baseline: str = "trailing",
 ) -> DataFrame:
-    """Days on which a region exceeds its rolling mean by two deviations.
+    """Days on which a region exceeds its rolling mean by two deviations; several levels name a region together.
 
     With the ``trailing`` baseline the day itself is part of the window, which
     bounds its z-score by (n-1)/sqrt(n) and rules out severity ``high`` at
     window 7; ``prior`` compares with the days before.
     """
     date = fact.spec.date_col
-    series = rolling_stats(daily_by_region(fact, level), [level], window, baseline, date)
-    days = F.count(F.lit(1)).over(W.partitionBy(level))
+    by = levels_of(level)
+    series = rolling_stats(daily_by_region(fact, by), by, window, baseline, date)
+    days = F.count(F.lit(1)).over(W.partitionBy(*by))
     value, avg, std = F.col("total"), F.col("rolling_avg"), F.col("rolling_std")
     spikes = series.withColumn("days", days).filter(
         (F.col("days") >= min_days) & (value > avg + 2 * std)
     )
     return spikes.select(
         date,
-        level,
+        *by,
         value.alias("value"),
         "rolling_avg",
         "rolling_std",

@@ -66,8 +66,13 @@ def daily_totals(fact: Fact) -> DataFrame:
     return rollup_by(fact, [fact.spec.date_col])
 
 
-def daily_by_region(fact: Fact, level: str = "state") -> DataFrame:
-    return rollup_by(fact, [fact.spec.date_col, level])
+def levels_of(level: str | Sequence[str]) -> list[str]:
+    """One level or several that name a region together, as (state, district): names of districts may repeat."""
+    return [level] if isinstance(level, str) else list(level)
+
+
+def daily_by_region(fact: Fact, level: str | Sequence[str] = "state") -> DataFrame:
+    return rollup_by(fact, [fact.spec.date_col, *levels_of(level)])
 
 
 def _ranked(df: DataFrame, key: str) -> DataFrame:

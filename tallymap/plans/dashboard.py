@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -13,7 +14,7 @@ from tallymap.functions.shape import distinct_places, fold_places, stack_facts
 from tallymap.operators.anomaly import low_activity_alerts
 from tallymap.operators.capacity import load_columns, monthly_cost, utilization
 from tallymap.operators.filters import last_date
-from tallymap.operators.rollup import rollup_by
+from tallymap.operators.rollup import levels_of, rollup_by
 from tallymap.operators.topk import top_bottom
 from tallymap.spec import FactSet
 
@@ -46,10 +47,13 @@ def dashboard(facts: FactSet) -> dict[str, DataFrame]:
     }
 
 
-def region_report(facts: FactSet, level: str | None = "state") -> DataFrame:
+def region_report(facts: FactSet, level: str | Sequence[str] | None = "state") -> DataFrame:
     """Enrolment load, capacity, cost and band sums of the other two tables, one row per region;
-    ``level=None`` gives one row for the country."""
-    by = [level] if level else []
+    ``level=None`` gives one row for the country.
+
+    Several levels, as (state, district), name a region together; level and name are then joined by a slash.
+    """
+    by = levels_of(level) if level else []
     demo, bio, enrol = facts.all()
     date = enrol.spec.date_col
     bands = [*demo.spec.measures[:2], *bio.spec.measures[:2]]
@@ -68,8 +72,8 @@ def region_report(facts: FactSet, level: str | None = "state") -> DataFrame:
     )
     avg, peak = F.col("avg_daily"), F.col("peak")
     return both.select(
-        F.lit(level or "country").alias("level"),
-        (F.col(level).cast("string") if level else F.lit("all")).alias("name"),
+        F.lit("/".join(by) or "country").alias("level"),
+        (F.concat_ws("/", *[F.col(c).cast("string") for c in by]) if by else F.lit("all")).alias("name"),
         "total_enrollments",
         "avg_daily",
         "peak",
