@@ -6,7 +6,13 @@ fields and digests), ``parse_records`` cuts the bytes of WARC files into records
 ``conversion`` record.  Both carry ``WARC-Refers-To`` with the response's identifier
 and keep its target, date and payload digest; block digests are of their own content.  The
 metadata record lists every header of the response record and of HTTP, repeats included.
-Text is taken after transfer and content encoding are undone, in the declared charset.
+Text is taken after transfer and content encoding are undone, in the declared charset if it is one
+that browsers read, else as UTF-8; what cannot be decoded becomes a replacement character, so
+that no page content ends a job.
+
+Header names go by their letters, not their case.  Files may be packed with gzip, record by record or
+whole.  Null or empty files have no records, null blocks are empty, repeated records give repeated derivatives, other
+columns of the input are not read, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,13 +34,23 @@ from pyspark.sql import functions as F
 from .shared import text_or_empty
 
 VERSION = "WARC/1.1"
-#: Captured pages carry no time; records of a table get this one unless a column ``date`` exists.
+#: Captured pages carry no time; records of a table get this one.
 UNDATED = "1970-01-01T00:00:00Z"
 RECORD = (
     "record_id string, record_type string, headers map<string,string>, block binary, "
     "fields array<struct<name:string,value:string>>"
 )
 
+# The charsets that browsers read, by Python's names for them.
+CHARSETS = frozenset((
+    "utf-8", "utf-16", "utf-16-le", "utf-16-be", "ascii", "iso8859-1", "iso8859-2", "iso8859-3", "iso8859-4", "iso8859-5", "iso8859-6",
+    "iso8859-7", "iso8859-8", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-14", "iso8859-15", "iso8859-16", "cp866", "cp874",
+    "cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "koi8-r", "koi8-u", "mac-roman",
+    "mac-cyrillic", "gbk", "gb2312", "gb18030", "big5", "big5hkscs", "euc_jp", "shift_jis", "cp932", "iso2022_jp", "euc_kr", "cp949",
+))
+#: Bytes of records that a task hands on at once.
+BATCH = 16 << 20
+
 _DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|body)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|$)")
@@ -113,11 +129,18 @@ def _markup(body: bytes, content_type: str) -> tuple[str, str]:
     name = named[1].lower() if named else "utf-8"
     try:
         name = codecs.lookup(name).name
-        if name in ("iso8859-1", "ascii"):  # as browsers read them
-            name = "cp1252"
-        return body.decode(name, "replace"), name
     except (LookupError, ValueError):
-        return body.decode("utf-8", "replace"), "utf-8"
+        name = ""
+    if name in ("iso8859-1", "ascii"):  # as browsers read them
+        name = "cp1252"
+    if name not in CHARSETS:
+        name = "utf-8"
+    return _sound(body.decode(name, "replace")), name
+
+
+def _sound(text: str) -> str:
+    """The text without halves of surrogate pairs, which no UTF-8 can hold."""
+    return text.encode("utf-8", "replace").decode()
 
 
 def digest(block: bytes) -> str:
@@ -143,8 +166,30 @@ def write_record(headers: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The content of a file: as it is, or of each gzip member, one after the other."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            content = member.decompress(data)
+        except zlib.error as error:
+            raise ValueError("bad gzip data") from error
+        if not member.eof:
+            raise ValueError("a gzip member is cut")
+        yield content
+        data = member.unused_data.lstrip(b"\0")
+
+
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a file's bytes; stops with an error at one whose length is missing or too large."""
+    """Records of a file's bytes, packed or not; stops with an error at one whose length is missing or too large."""
+    for content in _members(data):
+        yield from _records(content)
+
+
+def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
@@ -155,7 +200,8 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no record at byte {at}")
         lines = re.sub(r"\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace")).split("\r\n")[1:]
         headers = Fields(_pairs(lines))
-        size = int(headers.get("Content-Length", "-1"))
+        named = next((v for k, v in headers.pairs if k.lower() == "content-length"), "")
+        size = int(named) if named.isascii() and named.isdigit() else -1
         if size < 0 or end + 4 + size > len(data):
             raise ValueError(f"bad length of the record at byte {at}")
         yield headers, data[end + 4 : end + 4 + size]
@@ -163,7 +209,7 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def response_record(url: str, markup: str, date: str, key: str) -> tuple[dict[str, str], bytes]:
-    payload = markup.encode()
+    payload = markup.encode("utf-8", "replace")
     block = (
         f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     ).encode() + payload
@@ -216,14 +262,14 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, s
         *((f"http-{k}", v) for k, v in http),
         *((f"source-{k}", v) for k, v in pairs),
     ]
-    described = "".join(f"{k}: {v}\r\n" for k, v in facts).encode()
+    described = "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "replace")
     source = named.get("warc-record-id", "")
     kept = {k: named[k.lower()] for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in named}
     payload_digest = named.get("warc-payload-digest") or digest(sent)
     out = []
     for kind, content, mime in (
         ("metadata", described, "application/warc-fields"),
-        ("conversion", text.encode(), "text/plain; charset=utf-8"),
+        ("conversion", text.encode("utf-8", "replace"), "text/plain; charset=utf-8"),
     ):
         out.append((
             {
@@ -260,12 +306,23 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def parse_records(files: DataFrame) -> DataFrame:
-    """Records of WARC files, from a frame with a binary column ``content`` (one file each)."""
+    """Records of WARC files, from a frame with a binary column ``content`` (one file each), as ``binaryFile`` reads them.
+
+    A file's records are unpacked and handed on a few at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for data in batch.column(0):
-                yield _batch(list(read_records(data.as_py() or b"")))
+                for record in read_records(data.as_py() or b""):
+                    held.append(record)
+                    size += len(record[1]) + 1024
+                    if size > BATCH:
+                        yield _batch(held)
+                        held, size = [], 0
+        if held:
+            yield _batch(held)
 
     return files.select("content").mapInArrow(run, RECORD)
 
