@@ -10,6 +10,8 @@ turns escaped, after which no control string is left in it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,23 +107,46 @@ def format_chats(turns: DataFrame) -> DataFrame:
     )
 
 
+#: Turns whose sizes are added up together, so that starts of many turns are not each counted from the first.
+RUN = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda variable holds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(sizes: Column) -> Column:
+    """Sum of the sizes before each one, by sums of whole runs and of what is before in the own run."""
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    first = lambda run: run * RUN + 1
+    every = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    runs = lambda s: every(F.ceil(F.size(s) / RUN).cast("int"), lambda r: add(F.slice(s, first(r), RUN)))
+    before = lambda sums: every(F.size(sums), lambda r: add(F.slice(sums, 1, r)))
+
+    def start(s: Column, offsets: Column, i: Column) -> Column:
+        run = F.floor(i / RUN).cast("int")
+        return F.get(offsets, run) + add(F.slice(s, first(run), i - run * RUN))
+
+    return _let(sizes, lambda s: _let(_let(runs(s), before), lambda o: every(F.size(s), lambda i: start(s, o, i))))
+
+
 def _spans() -> Column:
     """Where the assistant's texts stand, counted along the turns as they were written."""
-    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans"))
-    items = F.arrays_zip(F.col("written"), F.col("sizes"))
 
-    def step(acc: Column, item: Column) -> Column:
-        turn = item["written"]
+    def span(turn: Column, size: Column, start: Column) -> Column:
         length = F.length(turn["text"]).cast("long")
-        start = acc["at"] + item["sizes"] - length - F.lit(len(CLOSE))
-        more = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), length.alias("length"))))
-        return F.struct(
-            (acc["at"] + item["sizes"]).alias("at"),
-            F.when(turn["source_role"] == ANSWERS, more).otherwise(acc["spans"]).alias("spans"),
-        )
+        return F.struct((start + size - length - F.lit(len(CLOSE))).alias("start"), length.alias("length"))
 
-    return F.aggregate(items, zero, step)["spans"]
+    def spans(starts: Column) -> Column:
+        placed = F.transform(F.arrays_zip(F.col("written"), F.col("sizes"), starts.alias("starts")), lambda x: F.struct(
+            x["written"]["source_role"].alias("role"), span(x["written"], x["sizes"], x["starts"]).alias("span")
+        ))
+        return F.transform(F.filter(placed, lambda x: x["role"] == ANSWERS), lambda x: x["span"])
+
+    return spans(_starts(F.col("sizes")))
 
 
 def turns_digest(turns: Column) -> Column:
@@ -130,17 +155,16 @@ def turns_digest(turns: Column) -> Column:
 
 
 def chat_report(turns: DataFrame) -> DataFrame:
-    """Digests of what can be read back from the formatted conversations and their loss spans."""
+    """Digests of what can be read back from the formatted conversations: all turns, and what the loss spans cover.
+
+    Cases as in ``format_chats``; an empty table gives an empty one, other columns are not read.
+    """
     chats = format_chats(turns)
+    # What the mask covers is the written text of the assistant's turns, taken from the turns that are read back:
+    # cutting each span out of the whole string would count its characters from the start every time.
+    answers = F.filter("read", lambda t: t["role"] == ANSWERS)
     read = chats.withColumn("read", read_turns(F.col("formatted"))).withColumn(
-        "loss",
-        F.array_join(
-            F.transform(
-                "loss_spans",
-                lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))),
-            ),
-            "",
-        ),
+        "loss", F.array_join(F.transform(answers, lambda t: unescape(t["body"])), "")
     )
     return read.select(
         "conv_id",
