@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymap.functions.columns import record_count
+from tallymap.functions.columns import record_count, sum_or_zero, total
 from tallymap.functions.name_tables import ALIASES, INVALID_NAMES
 from tallymap.functions.names import Aliases, normalize_by_value, normalize_region_name
 from tallymap.sources.scratch import stage
@@ -207,6 +207,18 @@ def load_summary(facts: FactSet) -> DataFrame:
     )
 
 
+def load_summary_rows(facts: FactSet) -> DataFrame:
+    """(dataset, state, records, total): a row per name, however many names there are."""
+    wide = facts.demographic.spec.levels[0]
+    parts = [
+        f.df.groupBy(F.col(wide).alias(wide)).agg(
+            record_count(f.spec).alias("records"), sum_or_zero(total(f.spec.measures)).alias("total")
+        ).select(F.lit(f.spec.name).alias("dataset"), wide, "records", "total")
+        for f in facts.all()
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def dataset_catalog(facts: FactSet) -> DataFrame:
     """Record count and field list of each table."""
     rows = [
