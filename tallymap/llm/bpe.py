@@ -8,10 +8,14 @@ at that time.  The result is deterministic in what a word spells: each word has
 exactly one path, and the path's labels are its BPE tokens.
 
 The full table would hold the square of the vocabulary.  A gadget is therefore kept
-as one row (parts, birth, arc removed and when); an arc of the table is derived by
-following the gadgets back to base symbols, and remembered.  Encoding runs over a
-word once: for each end, the one token that ends there and has an arc from the state
-at its start.  Decoding emits the labels of the arcs.
+as one row (parts, birth, arc removed and when); an arc is derived by
+following the gadgets back to base symbols, and remembered.
+
+What is walked is a table over single symbols, made deterministic as it is met: its states
+are the sets of (piece of a token read since a place, arc state at that place), and a
+row's entry for a symbol is the next state with the one token that ends there.  Encoding
+follows one entry a symbol and then the tokens back from the end.  Rows stay in the task; a bound on
+states starts the table anew.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import text_or_empty, tidy
 
-MEMO = 400_000
+MEMO = 200_000
 START = -1
 
 
@@ -54,17 +58,18 @@ class Automaton:
     end: str
     pattern: str
     special: list[str]
-    longest: int = 0
+    steps: list[str]
     #: Tokens on some path, by spelling: inside a word and at its end.
     inner: dict[str, int] = field(default_factory=dict)
     final: dict[str, int] = field(default_factory=dict)
     arcs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    table: Transitions | None = None
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether ``state`` has an arc ``token`` after all gadgets."""
         known = self.arcs.get((state, token))
         if known is None:
-            if len(self.arcs) > 4 * MEMO:
+            if len(self.arcs) > MEMO:
                 self.arcs.clear()
             known = self.arcs[(state, token)] = self._derive(state, token)
         return known
@@ -90,25 +95,9 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """The path of one word, given as a string of base symbols (the last one ends the word)."""
-        n, longest, arcs, has_arc = len(word), self.longest, self.arcs, self.has_arc
-        state, back = [START] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            ids = self.inner if end < n else self.final
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is None:
-                    continue
-                if start:
-                    arc = arcs.get((state[start], token))
-                    if not (has_arc(state[start], token) if arc is None else arc):
-                        continue
-                state[end], back[end] = token, start
-                break
-        path, end = [], n
-        while end:
-            path.append(state[end])
-            end = back[end]
-        return path[::-1]
+        if self.table is None or len(self.table.states) > MEMO // 2:
+            self.table = Transitions(self)
+        return self.table.walk(word)
 
     def reachable(self, token: int) -> bool:
         """Whether any path ends with the token: its parts must have been neighbours when it was born."""
@@ -130,6 +119,86 @@ class Automaton:
             self.removed = saved
 
 
+class Transitions:
+    """Table of an automaton over single symbols, with a row for each state that was met.
+
+    ``rows[state][symbol]`` is (next state, token that ends with the symbol, its length); ``ends[state, symbol]`` has
+    the token and its length for a word's last symbol.  Equal words take equal ways whatever was met before.
+    """
+
+    def __init__(self, automaton: Automaton) -> None:
+        self.automaton = automaton
+        # Tokens by spelling, a node a beginning: children by symbol, token inside a word and at its end, length.
+        self.children: list[dict[str, int]] = [{}]
+        self.inner, self.final, self.depth = [-1], [-1], [0]
+        for tokens, at in ((automaton.inner, self.inner), (automaton.final, self.final)):
+            for spelling, token in tokens.items():
+                at[self._node(spelling)] = token
+        begin = ((0, START),)
+        self.states: list[tuple[tuple[int, int], ...]] = [begin]
+        self.numbers = {begin: 0}
+        self.rows: list[dict[str, tuple[int, int, int]]] = [{}]
+        self.ends: dict[tuple[int, str], tuple[int, int]] = {}
+
+    def _node(self, spelling: str) -> int:
+        node = 0
+        for symbol in spelling:
+            child = self.children[node].get(symbol)
+            if child is None:
+                child = self.children[node][symbol] = len(self.children)
+                self.children.append({})
+                for values, first in ((self.inner, -1), (self.final, -1), (self.depth, self.depth[node] + 1)):
+                    values.append(first)
+            node = child
+        return node
+
+    def _moved(self, state: int, symbol: str, tokens: list[int]) -> tuple[list[tuple[int, int]], int, int]:
+        """Places after a symbol, the token that ends with it and the token's length."""
+        automaton, places, token, length = self.automaton, [], -1, 0
+        for node, before in self.states[state]:
+            child = self.children[node].get(symbol)
+            if child is None:
+                continue
+            ending = tokens[child]
+            if token < 0 <= ending and (before == START or automaton.has_arc(before, ending)):
+                token, length = ending, self.depth[child]
+            if self.children[child]:
+                places.append((child, before))
+        return places, token, length
+
+    def entry(self, state: int, symbol: str) -> tuple[int, int, int]:
+        places, token, length = self._moved(state, symbol, self.inner)
+        key = (*places, (0, token))
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.rows.append({})
+        found = self.rows[state][symbol] = (number, token, length)
+        return found
+
+    def end(self, state: int, symbol: str) -> tuple[int, int]:
+        _, token, length = self._moved(state, symbol, self.final)
+        found = self.ends[state, symbol] = (token, length)
+        return found
+
+    def walk(self, word: str) -> list[int]:
+        rows, state, way = self.rows, 0, []
+        for symbol in word[:-1]:
+            step = rows[state].get(symbol) or self.entry(state, symbol)
+            way.append(step)
+            state = step[0]
+        if not word:
+            return []
+        token, length = self.ends.get((state, word[-1])) or self.end(state, word[-1])
+        path, at = [token], len(word) - length
+        while at:
+            _, token, length = way[at - 1]
+            path.append(token)
+            at -= length
+        return path[::-1]
+
+
 class _Before:
     """Removals that gadgets before ``time`` made."""
 
@@ -144,6 +213,18 @@ class _Before:
         return len(self.all)
 
 
+def normalising(spec: dict) -> list[str]:
+    """The steps that a tokenizer file prescribes before words are cut; ValueError for one that is not known here."""
+    wanted = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = []
+    for step in wanted["normalizers"] if wanted["type"] == "Sequence" else [wanted]:
+        if step["type"] in ("NFC", "Lowercase"):
+            steps.append(step["type"])
+        elif step != {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}:  # white space is in no word
+            raise ValueError(f"no normaliser {step}")
+    return steps
+
+
 def compile_merges(path: str) -> Automaton:
     """The automaton of a tokenizer file: vocabulary, merges in order, word end, pattern, special tokens."""
     with open(path, encoding="utf-8") as file:
@@ -165,14 +246,13 @@ def compile_merges(path: str) -> Automaton:
     split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     out = Automaton(
         ids, labels, born, left, right, removed,
-        model["end_of_word_suffix"] or "", split["pattern"]["Regex"], list(special),
+        model["end_of_word_suffix"] or "", split["pattern"]["Regex"], list(special), normalising(spec),
     )
     for token, at in ids.items():
         if out.reachable(at):
             ends = out.end and token.endswith(out.end) and token != out.end
             (out.final if ends or not out.end else out.inner)[token.removesuffix(out.end)] = at
     out.inner = out.inner or out.final
-    out.longest = max(map(len, [*out.inner, *out.final]))
     out.ids = {**ids, **special}
     return out
 
@@ -203,10 +283,11 @@ class Codec:
             if piece in self.automaton.special:
                 out.append(struct.pack("<I", self.automaton.ids[piece]))
             elif piece:
-                # Lower-casing goes character by character: a capital sigma has one small form here.
-                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+                for step in self.automaton.steps:
+                    # Lower-casing goes character by character: a capital sigma has one small form here.
+                    piece = unicodedata.normalize("NFC", piece) if step == "NFC" else piece.replace("Σ", "σ").lower()
                 get = self.words.get
-                for word in self.split.findall(plain):
+                for word in self.split.findall(piece):
                     out.append(get(word) or self.word(word))
         return b"".join(out)
 
@@ -243,4 +324,4 @@ def tokenize(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(run), schema)
