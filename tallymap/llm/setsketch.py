@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, digest16, partitions, staged, text_or_empty
+from .shared import components, digest16, partitions, staged, text_or_empty, tidy
 
 U = np.uint64
 #: Odd multipliers of the 64-bit mixing steps (fixed values of the splitmix64 generator).
@@ -126,6 +126,11 @@ def sketch(codes: np.ndarray, settings: Settings) -> np.ndarray:
     return np.clip(value, 0, settings.top).astype(np.uint16)
 
 
+def merged(sketches: np.ndarray) -> np.ndarray:
+    """Registers of the union of the sets whose registers are the rows: the largest of each, as registers grow when minima fall."""
+    return np.max(sketches, axis=0)
+
+
 def band_keys(registers: np.ndarray, settings: Settings) -> np.ndarray:
     bands = registers.reshape(settings.bands, settings.rows).astype(U)
     key = mix(np.arange(1, settings.bands + 1, dtype=U) * MIX[2])
@@ -175,7 +180,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
     text = text_or_empty()
     return docs.select("doc_id", digest16(text).alias("node"), text.cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, node binary, n_shingles long, registers binary, keys array<bigint>"
+        tidy(run), f"doc_id {kind}, node binary, n_shingles long, registers binary, keys array<bigint>"
     )
 
 
@@ -198,7 +203,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame
             sizes = [col[n].to_numpy().astype(float) for n in ("na", "nb")]
             yield batch.select(["a", "b"]).filter(pa.array(estimate(*regs, *sizes, settings) >= bound))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -219,7 +224,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
                 good.append(100 * common >= settings.percent * (len(have) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _candidates(rows: DataFrame, docs: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -325,7 +330,7 @@ def _met_in_blocks(member: DataFrame, nodes: DataFrame, settings: Settings) -> D
         if tile:
             yield _pairs(*meet())
 
-    return tiles.mapInArrow(run, "a binary, b binary")
+    return tiles.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _pairs(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
@@ -415,14 +420,18 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     text = text_or_empty()
     _, roots = links(docs, settings)
-    keyed = docs.withColumn("_node", digest16(text)).withColumn("_empty", F.trim(F.regexp_replace(text, r"\s+", " ")) == "")
-    best = keyed.select("_node", "_empty", "doc_id").join(
-        roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node", "left"
-    ).withColumn("_root", F.coalesce("_root", "_node"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_node").alias("t"))
-    chosen = best.where(~F.col("_empty")).groupBy("_root").agg(F.min(order).alias("o"))
-    chosen = chosen.select(F.col("o.i").alias("_id"), F.col("o.t").alias("_node"))
-    same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_node"] == chosen["_node"])
-    kept = keyed.where(~F.col("_empty")).join(chosen, same, "left_semi")
-    once = kept.dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
-    return once.unionByName(keyed.where("_empty").select(*docs.columns))
+    # The rows are one column, so that no name of theirs meets a name used here.
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").alias("id"),
+        digest16(text).alias("node"),
+        (F.trim(F.regexp_replace(text, r"\s+", " ")) == "").alias("empty"),
+    )
+    best = keyed.select("node", "empty", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("node").alias("t"))
+    first = best.where(~F.col("empty")).groupBy("root").agg(F.min(order).alias("o"))
+    chosen = first.select(F.col("o.i").alias("first_id"), F.col("o.t").alias("first_node"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node"))
+    kept = keyed.where(~F.col("empty")).join(chosen, same, "left_semi")
+    once = kept.dropDuplicates(["id", "node"]).select("row")
+    return once.unionByName(keyed.where("empty").select("row")).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .setsketch import _BYTES, MIX, _powers, mix
-from .shared import digest16, partitions, staged, text_or_empty
+from .shared import digest16, partitions, staged, text_or_empty, tidy
 
 U = np.uint64
 LEAST = 200
@@ -194,7 +194,7 @@ def _all_runs(docs: DataFrame, least: int) -> DataFrame:
             )
 
     return _texts(docs).where(F.length("text") >= least).mapInArrow(
-        run, "node binary, start long, windows long, key long, seg long, inner long"
+        tidy(run), "node binary, start long, windows long, key long, seg long, inner long"
     )
 
 
@@ -217,7 +217,7 @@ def _contents(docs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
             )
 
     joined = _texts(docs).where(F.length("text") >= least).join(wanted, "node").select("text", "runs")
-    return joined.mapInArrow(run, "key long, seg long, content binary")
+    return joined.mapInArrow(tidy(run), "key long, seg long, content binary")
 
 
 def _compare(contents: DataFrame, least: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _compare(contents: DataFrame, least: int) -> DataFrame:
         if rows:
             yield result(rows)
 
-    return dealt.select("key", "seg", "content", "often").mapInArrow(run, "key long, seg long, lo long, hi long")
+    return dealt.select("key", "seg", "content", "often").mapInArrow(tidy(run), "key long, seg long, lo long, hi long")
 
 
 def _compare_hot(contents: DataFrame, least: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _compare_hot(contents: DataFrame, least: int) -> DataFrame:
                         names=["key", "seg", "often", "at", "window"],
                     )
 
-    windows = staged(distinct, "hot").mapInArrow(run, "key long, seg long, often boolean, at long, window binary")
+    windows = staged(distinct, "hot").mapInArrow(tidy(run), "key long, seg long, often boolean, at long, window binary")
     repeated = windows.groupBy("key", "window").agg(F.count("*").alias("n"), F.max("often").alias("often")).where("n > 1 or often")
     found = windows.drop("often").join(repeated.select("key", "window"), ["key", "window"])
     row = F.col("at") - F.row_number().over(Window.partitionBy("key", "seg").orderBy("at"))
@@ -361,7 +361,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
                 names=[*rest.schema.names, *extra],
             )
 
-    return joined.mapInArrow(run, schema.schema)
+    return joined.mapInArrow(tidy(run), schema.schema)
 
 
 def cut_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -383,7 +383,7 @@ def cut_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).select(own)
 
-    return cut_out.mapInArrow(run, schema)
+    return cut_out.mapInArrow(tidy(run), schema)
 
 
 def removal_report(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_fold, staged, text_or_empty
+from .shared import id_fold, staged, text_or_empty, tidy
 
 #: Constant bytes after each window and at the end of both dictionaries.
 TAIL = hashlib.sha512(b"window end").digest()
@@ -218,7 +218,7 @@ def _word_counts(rows: DataFrame, settings: Settings) -> tuple[dict[int, Counter
             )
 
     texts = Counter({r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()})
-    counted = rows.select("text", "toxic").mapInArrow(run, "toxic int, window binary, n long")
+    counted = rows.select("text", "toxic").mapInArrow(tidy(run), "toxic int, window binary, n long")
     of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0)).alias(f"n{label}")
     counts = staged(counted.groupBy("window").agg(of(0), of(1)), "windows")
     both = F.col("n0") + F.col("n1")
@@ -261,7 +261,7 @@ def _held_features(rows: DataFrame, model: Model) -> list[tuple[list[float], int
                 [pa.array(made, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "h"]
             )
 
-    found = rows.select("text", "toxic", "h").mapInArrow(run, "x array<double>, toxic int, h long")
+    found = rows.select("text", "toxic", "h").mapInArrow(tidy(run), "x array<double>, toxic int, h long")
     held = found.groupBy("toxic", "h").agg(F.first("x").alias("x"), F.count("*").alias("n")).collect()
     return [(list(r.x), r.toxic, r.n) for r in sorted(held, key=lambda r: (r.toxic, r.h))]
 
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"]
             )
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tidy(run), schema)
 
 
 def labelled_rows(
