@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,18 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; on one machine without that setting, an own one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tallymap-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+from tallymap.sources.scratch import shared_dir
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
