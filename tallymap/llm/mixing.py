@@ -7,18 +7,18 @@ drawn independently with a probability in proportion to the weight, decided by a
 hash of the row, so that a draw can be repeated.  Cells are few against documents
 but may be many (one per web host), so they stay a table that no step rewrites: a round makes a
 small table of factors for each margin from sums that are combined before the shuffle.
-Every text is measured once, into a staged table that cells and draws both read.
+Every text is measured once, into a staged table that topics, cells and draws all read.
 
 Topics are clusters of whole texts by their words: log counts of hashed words, weighted by
-how rare they are.  The eight centres are fitted on a sample of at most ``SAMPLE`` texts,
-chosen by a hash, each counted whole, and every whole text goes to its nearest centre.
+how rare they are.  Texts become vectors when they are measured; rarity and the eight centres are
+then fitted on the vectors of all rows, a pass over the staged table for each centre and each round.
+Weights are whole steps, so that sums are exact and a fit does not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +30,16 @@ from .shared import staged, text_or_empty, tidy
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
-#: Texts that the topics are fitted on.
-SAMPLE = 4096
 #: Classes that words are hashed to, for topics.
 BUCKETS = 2048
 #: Words over this length, as in texts without blanks, count as their pairs of characters.
 LONGEST = 24
+#: A text's vector: classes of words found and log(1 + count).
+WORDS = np.dtype([("at", "<u2"), ("log", "<f4")])
+#: Steps that vectors of length one and centres are rounded to; products of two still sum exactly in a double.
+ONE = float(1 << 24)
+#: Rows whose vectors are spelled out together.
+BLOCK = 128
 
 
 def tokens_of(text: Column) -> Column:
@@ -53,84 +57,164 @@ class _Buckets(dict):
         return bucket
 
 
-def word_counts(text: str, buckets: _Buckets) -> Counter:
+def word_counts(text: str, buckets: _Buckets) -> np.ndarray:
     """How often each class of words occurs in a text."""
-    found: Counter = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        for part in [word] if len(word) <= LONGEST else (word[i : i + 2] for i in range(len(word) - 1)):
-            found[buckets[part]] += n
-    return found
+    words = text.lower().split()
+    if words and max(map(len, words)) > LONGEST:
+        words = [
+            part
+            for word in words
+            for part in ([word] if len(word) <= LONGEST else (word[i : i + 2] for i in range(len(word) - 1)))
+        ]
+    return np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=BUCKETS)
+
+
+def words_of(text: Column) -> Column:
+    """The vector of the whole text, as bytes of ``WORDS``."""
+
+    @F.arrow_udf("binary")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = _Buckets()
+        for batch in batches:
+            made = []
+            for t in batch:
+                counts = word_counts(t.as_py(), buckets)
+                at = np.flatnonzero(counts)
+                found = np.empty(len(at), WORDS)
+                found["at"], found["log"] = at, np.log1p(counts[at])
+                made.append(found.tobytes())
+            yield pa.array(made, pa.binary())
+
+    return counted(text)
 
 
 @dataclass(frozen=True)
 class Topics:
-    """``rarity``: weight of each class of words; ``centres``: a row of length one for each topic."""
+    """``rarity``: weight of each class of words; ``centres``: a row of length ``ONE`` for each topic."""
 
     rarity: np.ndarray
     centres: np.ndarray
 
-    def of(self, found: Counter) -> int:
-        if not found:
-            return 0
-        at = np.fromiter(found, np.int64, len(found))
-        weight = np.log1p(np.fromiter(found.values(), np.float64, len(found))) * self.rarity[at]
-        return int(np.argmax(np.round(self.centres[:, at] @ weight, 9)))
+    def blocks(self, columns: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For every few rows: each entry's row, class and weight in steps of 1 / ``ONE``; the rows' products with the centres."""
+        spelled = np.zeros((BLOCK, BUCKETS))
+        for column in columns:
+            for start in range(0, len(column), BLOCK):
+                rows = column.slice(start, BLOCK).to_pylist()
+                found = np.frombuffer(b"".join(rows), WORDS)
+                row = np.repeat(np.arange(len(rows)), [len(r) // WORDS.itemsize for r in rows])
+                at = found["at"].astype(np.int64)
+                weight = found["log"] * self.rarity[at]
+                length = np.sqrt(np.bincount(row, weight * weight, len(rows)))
+                weight = np.rint(ONE * weight / np.where(length > 0, length, 1)[row])
+                place = row * BUCKETS + at
+                spelled.reshape(-1)[place] = weight
+                yield row, at, weight, spelled[: len(rows)] @ self.centres.T
+                spelled.reshape(-1)[place] = 0
+
+    def of(self, column: pa.Array) -> pa.Array:
+        """The nearest centre of every row, the first one of equals."""
+        return pa.array([k for *_, alike in self.blocks(iter([column])) for k in np.argmax(alike, axis=1)], pa.int32())
+
+
+def _sums(words: DataFrame, of: Callable[[Iterator[pa.Array]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all tasks of the whole numbers that each one makes of its rows."""
 
+    def run(batches):  # noqa: ANN001, ANN202
+        made = of(batch.column(0) for batch in batches)
+        at = np.flatnonzero(made)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(made[at].astype(np.int64))], names=["at", "n"])
 
-def fit_topics(docs: DataFrame, size: int = SAMPLE, rounds: int = 20) -> Topics:
-    """Spherical k-means on the whole texts of the ``size`` smallest hashes; begins with texts far from each other."""
-    text = text_or_empty()
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"), text.alias("text"))
-    last = rows.select("h").distinct().orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    found = words.mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    whole = np.zeros(size)
+    whole[found["at"].to_numpy()] = found["n"].to_numpy()
+    return whole
+
+
+def _rarity(words: DataFrame) -> np.ndarray:
+    """The weight of each class of words, by the number of all rows that have it."""
+
+    def rows_with(columns: Iterator[pa.Array]) -> np.ndarray:
+        n = np.zeros(BUCKETS, np.int64)
+        for column in columns:
+            n += np.bincount(np.frombuffer(b"".join(column.to_pylist()), WORDS)["at"], minlength=BUCKETS)
+        return n
+
+    return np.log((1 + words.count()) / (1 + _sums(words, rows_with, BUCKETS)))
+
+
+def _far(words: DataFrame, known: Topics) -> np.ndarray | None:
+    """The vector of one of all rows, drawn by its hash in proportion to the distance from the nearest known centre."""
 
     def run(batches):  # noqa: ANN001, ANN202
-        buckets = _Buckets()
+        best = None
         for batch in batches:
-            made = [word_counts(t.as_py(), buckets) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([list(m) for m in made], pa.list_(pa.int32())),
-                    pa.array([list(m.values()) for m in made], pa.list_(pa.int64())),
-                ],
-                names=["h", "at", "n"],
-            )
-
-    found = rows.where(F.col("h") <= F.lit(last)).mapInArrow(tidy(run), "h long, at array<int>, n array<long>").dropDuplicates(["h"])
-    sample = sorted(found.collect(), key=lambda r: r.h)
-    x = np.zeros((max(1, len(sample)), BUCKETS))
-    for i, r in enumerate(sample):
-        x[i, r.at] = np.log1p(r.n)
-    rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
-    x *= rarity
-    size_of = np.linalg.norm(x, axis=1, keepdims=True)
-    x /= np.where(size_of > 0, size_of, 1)
-    centres = [x[0]]
-    nearest = x @ x[0]
-    for _ in range(TOPICS - 1):
-        centres.append(x[int(np.argmin(np.round(nearest, 9)))])
-        nearest = np.maximum(nearest, x @ centres[-1])
-    middle = np.array(centres)
+            draws = batch.column(1).to_numpy()
+            start = 0
+            for row, _, weight, alike in known.blocks(iter([batch.column(0)])):
+                n = len(alike)
+                far = 1 - alike.max(axis=1, initial=0) / ONE**2
+                far[(far < 1e-6) | (np.bincount(row, weight, n) == 0)] = 0
+                with np.errstate(divide="ignore"):
+                    turn = -np.log(draws[start : start + n]) / far
+                first = int(np.argmin(turn))
+                if far[first] > 0:
+                    here = (float(turn[first]), batch.column(0)[start + first].as_py())
+                    best = here if best is None else min(best, here)
+                start += n
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["turn", "words"])
+
+    steps = float(1 << 52)
+    draw = (F.pmod(F.xxhash64("mix_words", F.lit(len(known.centres))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(steps)
+    drawn = words.select("mix_words", draw.alias("draw")).mapInArrow(tidy(run), "turn double, words binary")
+    found = drawn.orderBy("turn", "words").first()
+    if found is None:
+        return None
+    centre = np.zeros(BUCKETS)
+    for _, at, weight, _ in known.blocks(iter([pa.array([bytes(found.words)], pa.binary())])):
+        centre[at] = weight
+    return centre
+
+
+def fit_topics(measured: DataFrame, rounds: int = 20) -> Topics:
+    """Spherical k-means on the vectors (``mix_words``) of all rows; begins with texts far from each other.
+
+    Rounds end when no centre moves.  Fewer different texts than topics have fewer centres.
+    """
+    words = measured.select("mix_words")
+    topics = Topics(_rarity(words), np.zeros((0, BUCKETS)))
+    while len(topics.centres) < TOPICS and (centre := _far(words, topics)) is not None:
+        topics = Topics(topics.rarity, np.vstack([topics.centres, centre]))
+    if not len(topics.centres):
+        return Topics(topics.rarity, np.zeros((1, BUCKETS)))
     for _ in range(rounds):
-        topic = np.argmax(np.round(x @ middle.T, 9), axis=1)
-        for k in range(TOPICS):
-            whole = x[topic == k].sum(axis=0)
-            if (norm := np.linalg.norm(whole)) > 0:
-                middle[k] = whole / norm
-    return Topics(rarity, middle)
 
+        def members(columns: Iterator[pa.Array], topics: Topics = topics) -> np.ndarray:
+            whole = np.zeros(topics.centres.size)
+            for row, at, weight, alike in topics.blocks(columns):
+                whole += np.bincount(np.argmax(alike, axis=1)[row] * BUCKETS + at, weight, whole.size)
+            return whole
 
-def topic_of(text: Column, topics: Topics) -> Column:
-    """The topic of the whole text."""
+        sums = _sums(words, members, topics.centres.size).reshape(topics.centres.shape)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        moved = np.where(length > 0, np.rint(ONE * sums / np.where(length > 0, length, 1)), topics.centres)
+        if np.array_equal(moved, topics.centres):
+            break
+        topics = Topics(topics.rarity, moved)
+    return topics
+
+
+def topic_of(words: Column, topics: Topics) -> Column:
+    """The topic of the whole text that has this vector."""
     shared = SparkSession.active().sparkContext.broadcast(topics)
 
     @F.arrow_udf("int")
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets = _Buckets()
         for batch in batches:
-            yield pa.array([shared.value.of(word_counts(t.as_py(), buckets)) for t in batch], pa.int32())
+            yield shared.value.of(batch)
 
-    return nearest(text)
+    return nearest(words)
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -204,23 +288,29 @@ def calibrate(fitted: DataFrame, keep: float) -> float:
     return factors[low]
 
 
-ADDED = ("tokens", "topic", "mix_draw", "mix_weight", "mix_residual", "mix_probability", "mix_kept")
+ADDED = ("tokens", "topic", "mix_words", "mix_draw", "mix_weight", "mix_residual", "mix_probability", "mix_kept")
 
 
 def _measured(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with tokens, topic and the row's draw from 0 to 1, in place of columns of the added names."""
+    """``docs`` with tokens, vector and the row's draw from 0 to 1, in place of columns of the added names."""
     text = text_or_empty()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return docs.select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in ADDED),
         tokens_of(text).alias("tokens"),
-        topic_of(text, fit_topics(docs)).alias("topic"),
+        words_of(text).alias("mix_words"),
         draw.alias("mix_draw"),
     )
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Measured rows with their topic in place of the vector."""
+    topic = topic_of(F.col("mix_words"), fit_topics(rows)).alias("topic")
+    return rows.select(*(topic if c == "mix_words" else F.col(f"`{c}`") for c in rows.columns))
+
+
 def _drawn(rows: DataFrame, targets: dict[str, DataFrame] | None, keep: float, power: float) -> DataFrame:
-    """Measured rows with their weight, probability and whether the draw keeps them."""
+    """Rows with a topic, with their weight, probability and whether the draw keeps them."""
     cells = staged(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "margins")
     targets = targets or {m: tempered(cells, m, power) for m in MARGINS}
     fitted = staged(rake(cells, targets), "fitted")
@@ -257,7 +347,7 @@ def mix(
     Null margins are a value of their own; a null text is an empty one and has one token; columns of the added
     names (``ADDED``) are replaced; equal rows share one draw; an empty table gives an empty one.
     """
-    return _drawn(staged(_measured(docs, seed), "measured"), targets, keep, power)
+    return _drawn(_placed(staged(_measured(docs, seed), "measured")), targets, keep, power)
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
@@ -265,7 +355,7 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
     Cases as in ``mix``.
     """
-    rows = _measured(docs, 0).select("doc_id", *MARGINS, "tokens", "mix_draw")
-    return _drawn(staged(rows, "measured"), None, 0.5, 0.7).select(
+    rows = staged(_measured(docs, 0).select("doc_id", "source", "lang", "tokens", "mix_words", "mix_draw"), "measured")
+    return _drawn(staged(_placed(rows), "placed"), None, 0.5, 0.7).select(
         "doc_id", *MARGINS, "tokens", "mix_weight", "mix_probability", "mix_kept"
     )
