@@ -125,7 +125,7 @@ def _sums(words: DataFrame, of: Callable[[Iterator[pa.Array]], np.ndarray], size
         at = np.flatnonzero(made)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(made[at].astype(np.int64))], names=["at", "n"])
 
-    found = words.mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = words.select("mix_words").mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     whole = np.zeros(size)
     whole[found["at"].to_numpy()] = found["n"].to_numpy()
     return whole
@@ -144,31 +144,28 @@ def _rarity(words: DataFrame) -> np.ndarray:
 
 
 def _far(words: DataFrame, known: Topics) -> np.ndarray | None:
-    """The vector of one of all rows, drawn by its hash in proportion to the distance from the nearest known centre."""
+    """The vector least like the known centres, of equals the row of the smallest hash; rows without a weight are none."""
 
     def run(batches):  # noqa: ANN001, ANN202
         best = None
         for batch in batches:
-            draws = batch.column(1).to_numpy()
+            hashes = batch.column(1).to_numpy()
             start = 0
             for row, _, weight, alike in known.blocks(iter([batch.column(0)])):
                 n = len(alike)
-                far = 1 - alike.max(axis=1, initial=0) / ONE**2
-                far[(far < 1e-6) | (np.bincount(row, weight, n) == 0)] = 0
-                with np.errstate(divide="ignore"):
-                    turn = -np.log(draws[start : start + n]) / far
-                first = int(np.argmin(turn))
-                if far[first] > 0:
-                    here = (float(turn[first]), batch.column(0)[start + first].as_py())
+                near = np.round(alike.max(axis=1, initial=0) / ONE**2, 9)
+                near[np.bincount(row, weight, n) == 0] = np.inf
+                first = int(np.lexsort((hashes[start : start + n], near))[0])
+                if np.isfinite(near[first]):
+                    here = (float(near[first]), int(hashes[start + first]), batch.column(0)[start + first].as_py())
                     best = here if best is None else min(best, here)
                 start += n
         if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["turn", "words"])
+            made = [pa.array([best[0]]), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["near", "h", "words"])
 
-    steps = float(1 << 52)
-    draw = (F.pmod(F.xxhash64("mix_words", F.lit(len(known.centres))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(steps)
-    drawn = words.select("mix_words", draw.alias("draw")).mapInArrow(tidy(run), "turn double, words binary")
-    found = drawn.orderBy("turn", "words").first()
+    drawn = words.select("mix_words", "mix_row").mapInArrow(tidy(run), "near double, h long, words binary")
+    found = drawn.orderBy("near", "h").first()
     if found is None:
         return None
     centre = np.zeros(BUCKETS)
@@ -178,11 +175,11 @@ def _far(words: DataFrame, known: Topics) -> np.ndarray | None:
 
 
 def fit_topics(measured: DataFrame, rounds: int = 20) -> Topics:
-    """Spherical k-means on the vectors (``mix_words``) of all rows; begins with texts far from each other.
+    """Spherical k-means on the vectors (``mix_words``) of all rows, equal rows once; begins with texts far from each other.
 
-    Rounds end when no centre moves.  Fewer different texts than topics have fewer centres.
+    Rounds end when no centre moves.
     """
-    words = measured.select("mix_words")
+    words = staged(measured.select("mix_row", "mix_words").dropDuplicates(["mix_row"]), "vectors")
     topics = Topics(_rarity(words), np.zeros((0, BUCKETS)))
     while len(topics.centres) < TOPICS and (centre := _far(words, topics)) is not None:
         topics = Topics(topics.rarity, np.vstack([topics.centres, centre]))
@@ -288,25 +285,26 @@ def calibrate(fitted: DataFrame, keep: float) -> float:
     return factors[low]
 
 
-ADDED = ("tokens", "topic", "mix_words", "mix_draw", "mix_weight", "mix_residual", "mix_probability", "mix_kept")
+ADDED = ("tokens", "topic", "mix_row", "mix_words", "mix_draw", "mix_weight", "mix_residual", "mix_probability", "mix_kept")
 
 
 def _measured(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with tokens, vector and the row's draw from 0 to 1, in place of columns of the added names."""
+    """``docs`` with tokens, the row's hash, vector and draw from 0 to 1, in place of columns of the added names."""
     text = text_or_empty()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return docs.select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in ADDED),
         tokens_of(text).alias("tokens"),
+        F.xxhash64(F.col("doc_id").cast("string"), text).alias("mix_row"),
         words_of(text).alias("mix_words"),
         draw.alias("mix_draw"),
     )
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Measured rows with their topic in place of the vector."""
+    """Measured rows with their topic in place of hash and vector."""
     topic = topic_of(F.col("mix_words"), fit_topics(rows)).alias("topic")
-    return rows.select(*(topic if c == "mix_words" else F.col(f"`{c}`") for c in rows.columns))
+    return rows.select(*(topic if c == "mix_words" else F.col(f"`{c}`") for c in rows.columns if c != "mix_row"))
 
 
 def _drawn(rows: DataFrame, targets: dict[str, DataFrame] | None, keep: float, power: float) -> DataFrame:
@@ -355,7 +353,7 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
     Cases as in ``mix``.
     """
-    rows = staged(_measured(docs, 0).select("doc_id", "source", "lang", "tokens", "mix_words", "mix_draw"), "measured")
+    rows = staged(_measured(docs, 0).select("doc_id", "source", "lang", "tokens", "mix_row", "mix_words", "mix_draw"), "measured")
     return _drawn(staged(_placed(rows), "placed"), None, 0.5, 0.7).select(
         "doc_id", *MARGINS, "tokens", "mix_weight", "mix_probability", "mix_kept"
     )

@@ -29,7 +29,7 @@ def vectors(texts):
 def test_rarity_and_centres_come_from_all_rows(spark):
     docs = kinds(spark, 5000)
     topics = mixing.fit_topics(mixing._measured(docs, 0))
-    counts = vectors([r.text for r in docs.collect()])
+    counts = vectors([r.text for r in docs.distinct().orderBy(F.col("doc_id").asc_nulls_last()).collect()])
     rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
     assert topics.rarity == pytest.approx(rarity, rel=1e-9)
     x = np.log1p(counts) * rarity
