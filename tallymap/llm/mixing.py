@@ -10,13 +10,15 @@ small table of factors for each margin from sums that are combined before the sh
 Every text is measured once, into a staged table that topics, cells and draws all read.
 
 Topics are clusters of whole texts by their words: log counts of hashed words, weighted by
-how rare they are.  Texts become vectors when they are measured; rarity and the eight centres are
-then fitted on the vectors of all rows, a pass over the staged table for each centre and each round.
+how rare they are.  Texts become vectors when they are measured, a block of texts at a time; rarity and the eight centres are
+then fitted on the vectors of all rows: these are weighed once, packed in blocks, and a pass over that staged
+table follows for each centre and each round.
 Weights are whole steps, so that sums are exact and a fit does not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,31 +36,35 @@ TOPICS = 8
 BUCKETS = 2048
 #: Words over this length, as in texts without blanks, count as their pairs of characters.
 LONGEST = 24
+#: What is not part of a word at its ends.
+MARKS = ".,;:!?\"'()[]"
 #: A text's vector: classes of words found and log(1 + count).
 WORDS = np.dtype([("at", "<u2"), ("log", "<f4")])
 #: Steps that vectors of length one and centres are rounded to; products of two still sum exactly in a double.
 ONE = float(1 << 24)
-#: Rows whose vectors are spelled out together.
+#: Rows that are measured, packed and spelled out together.
 BLOCK = 128
-
-
-def tokens_of(text: Column) -> Column:
-    """White-space separated words, at least one."""
-    return F.greatest(F.size(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")), F.lit(1)).cast("long")
+#: A block of weighed vectors: what its columns hold.
+PACKED = {"rows": np.dtype("<i8"), "sizes": np.dtype("<i4"), "at": np.dtype("<u2"), "weight": np.dtype("<i4")}
+#: White space besides ASCII's six.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACES, _MARKS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\v\f\r", MARKS.encode()))
+#: crc32 of single bytes, from which that of longer strings follows.
+_CRC = np.array([zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)], np.uint32)
 
 
 class _Buckets(dict):
-    """The class of a word; remembers a bounded number of words."""
+    """The class of a single word; remembers a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 200_000:
             self.clear()
-        bucket = self[word] = zlib.crc32(word.strip(".,;:!?\"'()[]").encode("utf-8", "replace")) % BUCKETS
+        bucket = self[word] = zlib.crc32(word.strip(MARKS).encode("utf-8", "replace")) % BUCKETS
         return bucket
 
 
 def word_counts(text: str, buckets: _Buckets) -> np.ndarray:
-    """How often each class of words occurs in a text."""
+    """How often each class of words occurs in a text, by the rule as it is; ``measure`` does the same for many texts at once."""
     words = text.lower().split()
     if words and max(map(len, words)) > LONGEST:
         words = [
@@ -69,25 +75,115 @@ def word_counts(text: str, buckets: _Buckets) -> np.ndarray:
     return np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=BUCKETS)
 
 
-def words_of(text: Column) -> Column:
-    """The vector of the whole text, as bytes of ``WORDS``."""
-
-    @F.arrow_udf("binary")
+def _within(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each of the ranges, spelled out."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _classes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The classes of many words at once, as ``_Buckets`` has them: crc32 of the bytes ``data[start:end]`` without marks around them."""
+    start, end = start.copy(), end.copy()
+    live = np.arange(len(start))
+    while len(live := live[(start[live] < end[live]) & _MARKS[data[start[live]]]]):
+        start[live] += 1
+    live = np.arange(len(start))
+    while len(live := live[(start[live] < end[live]) & _MARKS[data[end[live] - 1]]]):
+        end[live] -= 1
+    size = (end - start).astype(np.uint16)  # 24 characters at most
+    longest_last = np.argsort(size, kind="stable")
+    size, start = size[longest_last], start[longest_last]
+    crc = np.full(len(size), 0xFFFFFFFF, np.uint32)
+    for k in range(int(size[-1]) if len(size) else 0):  # the byte k of every word that has one
+        first = int(np.searchsorted(size, k, "right"))
+        now = crc[first:]
+        crc[first:] = _CRC[(now ^ data[start[first:] + k]) & 0xFF] ^ (now >> 8)
+    out = np.empty(len(size), np.int64)
+    out[longest_last] = ~crc % BUCKETS
+    return out
+
+
+def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text; and the entries (``WORDS``) of all, with the number of each text's; counts as ``word_counts`` has them.
+
+    Tokens are separated by ASCII white space, words by all of it; a text has one token at least.
+    """
+    lowered, tokens = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        low = text.lower()
+        if _ODD_SPACE.search(text):
+            tokens[i] = len(text.encode("utf-8", "replace").split())
+            low = " ".join(low.split())
+        lowered.append(low.encode("utf-8", "replace"))
+    data = np.frombuffer(b"\n".join([b"", *lowered, b""]), np.uint8)
+    space = _SPACES[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    borders = np.cumsum([len(low) + 1 for low in lowered])
+    row = np.searchsorted(borders, start, "right")
+    tokens = np.maximum(1, np.where(tokens > 0, tokens, np.bincount(row, minlength=len(texts))))
+    cut = end - start > LONGEST  # bytes so far, of which a character may have several
+    if cut.any():
+        leads = _within(start[cut], end[cut] + 1 - start[cut])
+        leads = leads[(data[leads] & 0xC0) != 0x80]
+        cut[cut] = np.searchsorted(leads, end[cut]) - np.searchsorted(leads, start[cut]) > LONGEST
+        first = np.searchsorted(leads, start[cut])
+        pairs = np.searchsorted(leads, end[cut]) - first - 1
+        at = _within(first, pairs)
+        row = np.concatenate((row[~cut], np.repeat(row[cut], pairs)))
+        start, end = np.concatenate((start[~cut], leads[at])), np.concatenate((end[~cut], leads[at + 2]))
+    counts = np.bincount(row * BUCKETS + _classes(data, start, end), minlength=len(texts) * BUCKETS)
+    at = np.flatnonzero(counts)
+    found = np.empty(len(at), WORDS)
+    found["at"], found["log"] = at % BUCKETS, np.log1p(counts[at])
+    return tokens, found, np.bincount(at // BUCKETS, minlength=len(texts))
+
+
+def measures_of(text: Column) -> Column:
+    """Of the whole text: ``tokens``, its white-space separated words, at least one; and ``words``, its vector as bytes of ``WORDS``."""
+
+    @F.arrow_udf("tokens long, words binary")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets = _Buckets()
         for batch in batches:
-            made = []
-            for t in batch:
-                counts = word_counts(t.as_py(), buckets)
-                at = np.flatnonzero(counts)
-                found = np.empty(len(at), WORDS)
-                found["at"], found["log"] = at, np.log1p(counts[at])
-                made.append(found.tobytes())
-            yield pa.array(made, pa.binary())
+            tokens, sizes, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for start in range(0, len(batch), BLOCK):
+                of_block = measure(batch.slice(start, BLOCK).to_pylist())
+                tokens.append(of_block[0])
+                found.append(of_block[1].tobytes())
+                sizes.append(of_block[2])
+            ends = WORDS.itemsize * np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            words = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(found))]
+            vectors = pa.Array.from_buffers(pa.binary(), len(batch), words)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), vectors], names=["tokens", "words"])
 
     return counted(text)
 
 
+def weighed(rows: list[bytes], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of each row; and the class and weight of all, in steps of 1 / ``ONE``."""
+    found = np.frombuffer(b"".join(rows), WORDS)
+    sizes = np.array([len(r) // WORDS.itemsize for r in rows], np.int64)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    weight = found["log"] * rarity[found["at"]]
+    length = np.sqrt(np.bincount(row, weight * weight, len(rows)))
+    return sizes, found["at"], np.rint(ONE * weight / np.where(length > 0, length, 1)[row])
+
+
+class _Alike:
+    """Products of rows with centres; at most ``BLOCK`` rows at a time are spelled out."""
+
+    def __init__(self, centres: np.ndarray) -> None:
+        self.centres = np.ascontiguousarray(centres.T)
+        self.spelled = np.zeros((BLOCK, BUCKETS))
+
+    def __call__(self, sizes: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        place = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes) + at
+        flat = self.spelled.reshape(-1)
+        flat[place] = weight
+        alike = self.spelled[: len(sizes)] @ self.centres
+        flat[place] = 0
+        return alike
+
+
 @dataclass(frozen=True)
 class Topics:
     """``rarity``: weight of each class of words; ``centres``: a row of length ``ONE`` for each topic."""
@@ -95,82 +191,95 @@ class Topics:
     rarity: np.ndarray
     centres: np.ndarray
 
-    def blocks(self, columns: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For every few rows: each entry's row, class and weight in steps of 1 / ``ONE``; the rows' products with the centres."""
-        spelled = np.zeros((BLOCK, BUCKETS))
-        for column in columns:
-            for start in range(0, len(column), BLOCK):
-                rows = column.slice(start, BLOCK).to_pylist()
-                found = np.frombuffer(b"".join(rows), WORDS)
-                row = np.repeat(np.arange(len(rows)), [len(r) // WORDS.itemsize for r in rows])
-                at = found["at"].astype(np.int64)
-                weight = found["log"] * self.rarity[at]
-                length = np.sqrt(np.bincount(row, weight * weight, len(rows)))
-                weight = np.rint(ONE * weight / np.where(length > 0, length, 1)[row])
-                place = row * BUCKETS + at
-                spelled.reshape(-1)[place] = weight
-                yield row, at, weight, spelled[: len(rows)] @ self.centres.T
-                spelled.reshape(-1)[place] = 0
-
     def of(self, column: pa.Array) -> pa.Array:
         """The nearest centre of every row, the first one of equals."""
-        return pa.array([k for *_, alike in self.blocks(iter([column])) for k in np.argmax(alike, axis=1)], pa.int32())
+        alike = _Alike(self.centres)
+        nearest = [np.empty(0, np.int64)]
+        for start in range(0, len(column), BLOCK):
+            nearest.append(np.argmax(alike(*weighed(column.slice(start, BLOCK).to_pylist(), self.rarity)), axis=1))
+        return pa.array(np.concatenate(nearest), pa.int32())
 
 
-def _sums(words: DataFrame, of: Callable[[Iterator[pa.Array]], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all tasks of the whole numbers that each one makes of its rows."""
+def _sums(rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all tasks of the whole numbers, ``width`` for each class of words, that each one makes of its rows."""
+    names = [f"n{k}" for k in range(width)]
 
     def run(batches):  # noqa: ANN001, ANN202
-        made = of(batch.column(0) for batch in batches)
-        at = np.flatnonzero(made)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(made[at].astype(np.int64))], names=["at", "n"])
-
-    found = words.select("mix_words").mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    whole = np.zeros(size)
-    whole[found["at"].to_numpy()] = found["n"].to_numpy()
+        made = of(batches).astype(np.int64)
+        at = np.flatnonzero(made.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(n[at]) for n in made)], names=["at", *names])
+
+    parts = rows.mapInArrow(tidy(run), ", ".join(["at int", *(f"{n} long" for n in names)]))
+    found = parts.groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    whole = np.zeros((width, BUCKETS))
+    for k, n in enumerate(names):
+        whole[k, found["at"].to_numpy()] = found[n].to_numpy()
     return whole
 
 
 def _rarity(words: DataFrame) -> np.ndarray:
     """The weight of each class of words, by the number of all rows that have it."""
 
-    def rows_with(columns: Iterator[pa.Array]) -> np.ndarray:
-        n = np.zeros(BUCKETS, np.int64)
-        for column in columns:
-            n += np.bincount(np.frombuffer(b"".join(column.to_pylist()), WORDS)["at"], minlength=BUCKETS)
+    def rows_with(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        n = np.zeros((1, BUCKETS), np.int64)
+        for batch in batches:
+            n[0] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), WORDS)["at"], minlength=BUCKETS)
         return n
 
-    return np.log((1 + words.count()) / (1 + _sums(words, rows_with, BUCKETS)))
+    return np.log((1 + words.count()) / (1 + _sums(words.select("mix_words"), rows_with, 1)[0]))
 
 
-def _far(words: DataFrame, known: Topics) -> np.ndarray | None:
-    """The vector least like the known centres, of equals the row of the smallest hash; rows without a weight are none."""
+def _packed(words: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """Weighed vectors, some rows' together in one: hashes, numbers of entries, classes and weights; rows without a weight are left out."""
+    shared = words.sparkSession.sparkContext.broadcast(rarity)
 
-    def run(batches):  # noqa: ANN001, ANN202
-        best = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = batch.column(1).to_numpy()
-            start = 0
-            for row, _, weight, alike in known.blocks(iter([batch.column(0)])):
-                n = len(alike)
-                near = np.round(alike.max(axis=1, initial=0) / ONE**2, 9)
-                near[np.bincount(row, weight, n) == 0] = np.inf
-                first = int(np.lexsort((hashes[start : start + n], near))[0])
-                if np.isfinite(near[first]):
-                    here = (float(near[first]), int(hashes[start + first]), batch.column(0)[start + first].as_py())
-                    best = here if best is None else min(best, here)
-                start += n
+            for start in range(0, batch.num_rows, BLOCK):
+                few = batch.slice(start, BLOCK)
+                sizes, at, weight = weighed(few.column(0).to_pylist(), shared.value)
+                row = np.repeat(np.arange(len(sizes)), sizes)[weight > 0]
+                sizes = np.bincount(row, minlength=len(sizes))
+                made = [
+                    few.column(1).to_numpy()[sizes > 0], sizes[sizes > 0].astype(np.int32), at[weight > 0], weight[weight > 0].astype(np.int32),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in made], names=list(PACKED))
+
+    return words.select("mix_words", "mix_row").mapInArrow(tidy(run), ", ".join(f"{n} binary" for n in PACKED))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Hashes, numbers of entries, classes and weights of some rows at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cells = [batch.column(k)[i].as_buffer() for k in range(len(PACKED))]
+            yield [np.frombuffer(cell, kind) for cell, kind in zip(cells, PACKED.values(), strict=True)]
+
+
+def _far(packed: DataFrame, centres: np.ndarray) -> np.ndarray | None:
+    """The vector least like the known centres, of equals the row of the smallest hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products, best = _Alike(centres), None
+        for hashes, sizes, at, weight in _unpacked(batches):
+            if len(hashes):
+                near = np.round(products(sizes, at, weight).max(axis=1, initial=0) / ONE**2, 9)
+                first = int(np.lexsort((hashes, near))[0])
+                here = (float(near[first]), int(hashes[first]))
+                if best is None or here < best[0]:
+                    part = slice(sizes[:first].sum(), sizes[: first + 1].sum())
+                    best = here, at[part].tobytes(), weight[part].tobytes()
         if best is not None:
-            made = [pa.array([best[0]]), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["near", "h", "words"])
+            (near, h), at, weight = best
+            made = [pa.array([near]), pa.array([h], pa.int64()), pa.array([at], pa.binary()), pa.array([weight], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["near", "h", "at", "weight"])
 
-    drawn = words.select("mix_words", "mix_row").mapInArrow(tidy(run), "near double, h long, words binary")
+    drawn = packed.mapInArrow(tidy(run), "near double, h long, at binary, weight binary")
     found = drawn.orderBy("near", "h").first()
     if found is None:
         return None
     centre = np.zeros(BUCKETS)
-    for _, at, weight, _ in known.blocks(iter([pa.array([bytes(found.words)], pa.binary())])):
-        centre[at] = weight
+    centre[np.frombuffer(found["at"], PACKED["at"])] = np.frombuffer(found["weight"], PACKED["weight"])
     return centre
 
 
@@ -180,26 +289,30 @@ def fit_topics(measured: DataFrame, rounds: int = 20) -> Topics:
     Rounds end when no centre moves.
     """
     words = staged(measured.select("mix_row", "mix_words").dropDuplicates(["mix_row"]), "vectors")
-    topics = Topics(_rarity(words), np.zeros((0, BUCKETS)))
-    while len(topics.centres) < TOPICS and (centre := _far(words, topics)) is not None:
-        topics = Topics(topics.rarity, np.vstack([topics.centres, centre]))
-    if not len(topics.centres):
-        return Topics(topics.rarity, np.zeros((1, BUCKETS)))
+    rarity = _rarity(words)
+    tasks = 2 * words.sparkSession.sparkContext.defaultParallelism  # each sums as it reads, so few make few partial sums
+    packed = staged(_packed(words, rarity), "packed").coalesce(tasks)
+    centres = np.zeros((0, BUCKETS))
+    while len(centres) < TOPICS and (centre := _far(packed, centres)) is not None:
+        centres = np.vstack([centres, centre])
+    if not len(centres):
+        return Topics(rarity, np.zeros((1, BUCKETS)))
     for _ in range(rounds):
 
-        def members(columns: Iterator[pa.Array], topics: Topics = topics) -> np.ndarray:
-            whole = np.zeros(topics.centres.size)
-            for row, at, weight, alike in topics.blocks(columns):
-                whole += np.bincount(np.argmax(alike, axis=1)[row] * BUCKETS + at, weight, whole.size)
-            return whole
+        def members(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> np.ndarray:
+            products, whole = _Alike(centres), np.zeros(centres.size)
+            for _, sizes, at, weight in _unpacked(batches):
+                nearest = np.argmax(products(sizes, at, weight), axis=1)
+                whole += np.bincount(np.repeat(nearest * BUCKETS, sizes) + at, weight, whole.size)
+            return whole.reshape(centres.shape)
 
-        sums = _sums(words, members, topics.centres.size).reshape(topics.centres.shape)
+        sums = _sums(packed, members, len(centres))
         length = np.linalg.norm(sums, axis=1, keepdims=True)
-        moved = np.where(length > 0, np.rint(ONE * sums / np.where(length > 0, length, 1)), topics.centres)
-        if np.array_equal(moved, topics.centres):
+        moved = np.where(length > 0, np.rint(ONE * sums / np.where(length > 0, length, 1)), centres)
+        if np.array_equal(moved, centres):
             break
-        topics = Topics(topics.rarity, moved)
-    return topics
+        centres = moved
+    return Topics(rarity, centres)
 
 
 def topic_of(words: Column, topics: Topics) -> Column:
@@ -292,13 +405,11 @@ def _measured(docs: DataFrame, seed: int) -> DataFrame:
     """``docs`` with tokens, the row's hash, vector and draw from 0 to 1, in place of columns of the added names."""
     text = text_or_empty()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in ADDED),
-        tokens_of(text).alias("tokens"),
-        F.xxhash64(F.col("doc_id").cast("string"), text).alias("mix_row"),
-        words_of(text).alias("mix_words"),
-        draw.alias("mix_draw"),
-    )
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    row = F.xxhash64(F.col("doc_id").cast("string"), text).alias("mix_row")
+    rows = docs.select(*own, row, measures_of(text).alias("mix_words"), draw.alias("mix_draw"))
+    tokens, words = (F.col("mix_words")[part].alias(name) for part, name in (("tokens", "tokens"), ("words", "mix_words")))
+    return rows.select(*own, tokens, "mix_row", words, "mix_draw")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
