@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, tidy
+from .shared import few_rows, text_or_empty, tidy
 
 MEMO = 200_000
 START = -1
@@ -308,7 +308,7 @@ def tokenize(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for batch in batches:
+        for batch in few_rows(batches):
             codec = codec or Codec(compile_merges(path))
             encoded = [codec.encode(t.as_py()) for t in batch.column(1)]
             decoded = [codec.decode(x) for x in encoded]

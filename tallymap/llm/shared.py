@@ -33,6 +33,13 @@ def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], n: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``n`` rows, so that a task holds little of what it makes besides what it was sent."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, n):
+            yield batch.slice(start, n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

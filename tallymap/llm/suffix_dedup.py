@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .setsketch import _BYTES, MIX, _powers, mix
-from .shared import digest16, partitions, staged, text_or_empty, tidy
+from .shared import digest16, few_rows, partitions, staged, text_or_empty, tidy
 
 U = np.uint64
 LEAST = 200
@@ -42,6 +42,8 @@ CHUNK = 1 << 22
 BATCH = 1 << 16
 #: Bytes of one key's runs from which their windows are dealt on by content.
 HOT = 1 << 22
+#: Columns that are set beside a caller's while spans are looked up.
+HELPERS = ("_node", "_spans")
 #: Windows of a run that are handed on at once.
 WINDOWS = 1 << 14
 
@@ -203,7 +205,7 @@ def _contents(docs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
     wanted = marks.groupBy("node").agg(F.collect_set(F.struct("start", "windows", "key", "seg")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             keys, segs, contents = [], [], []
             for text, found in zip(batch.column(0), batch.column(1), strict=True):
                 data = text.as_py()
@@ -325,38 +327,44 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, ranges
 
 
+def _with_spans(docs: DataFrame, own: list[str], least: int, hot: int) -> DataFrame:
+    """The columns ``own`` with ``_spans``, the ranges that go."""
+    spans = repeated_spans(docs, least, hot).select(F.col("node").alias("_node"), F.col("spans").alias("_spans"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in own), digest16(text_or_empty()).alias("_node"))
+    return keyed.join(spans, "_node", "left").drop("_node")
+
+
+def _to_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[bytes, list]]]]:
+    """Some rows at a time, without ``_spans``; and the text and the ranges that go of each."""
+    for few in few_rows(batches):
+        texts, found = (few.column(few.schema.get_field_index(name)) for name in ("text", "_spans"))
+        rest = few.select([c for c in few.schema.names if c != "_spans"])
+        yield rest, (
+            ((t.as_py() or "").encode(), [(x["lo"], x["hi"]) for x in s.as_py() or []]) for t, s in zip(texts, found, strict=True)
+        )
+
+
 def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """``docs`` with ``rest`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Null texts are empty; texts shorter than ``least`` stay.  Columns of these names are replaced.
     """
     extra = ("rest", "n_bytes", "n_removed", "n_spans")
-    own = [c for c in docs.columns if c not in (*extra, "_node", "_spans")]
-    spans = repeated_spans(docs, least, hot).select(F.col("node").alias("_node"), F.col("spans").alias("_spans"))
-    text = text_or_empty()
-    keyed = docs.select(*(F.col(f"`{c}`") for c in own), digest16(text).alias("_node"))
-    joined = keyed.join(spans, "_node", "left").drop("_node")
+    joined = _with_spans(docs, [c for c in docs.columns if c not in (*extra, *HELPERS)], least, hot)
     schema = joined.drop("_spans")
     for name, kind in zip(extra, ("binary", "long", "long", "long"), strict=True):
         schema = schema.withColumn(name, F.lit(None).cast(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            found = batch.column(batch.schema.get_field_index("_spans"))
-            made, sizes = [], []
-            for t, s in zip(texts, found, strict=True):
-                data = (t.as_py() or "").encode()
-                sizes.append(len(data))
-                made.append(cut(data, [(x["lo"], x["hi"]) for x in s.as_py() or []]))
-            rest = batch.select([c for c in batch.schema.names if c != "_spans"])
+        for rest, texts in _to_cut(batches):
+            made = [(len(data), cut(data, spans)) for data, spans in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *rest.columns,
-                    pa.array([m[0] for m in made], pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([m[1] for m in made], pa.int64()),
-                    pa.array([m[2] for m in made], pa.int64()),
+                    pa.array([m[0] for _, m in made], pa.binary()),
+                    pa.array([n for n, _ in made], pa.int64()),
+                    pa.array([m[1] for _, m in made], pa.int64()),
+                    pa.array([m[2] for _, m in made], pa.int64()),
                 ],
                 names=[*rest.schema.names, *extra],
             )
@@ -369,21 +377,19 @@ def cut_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     Texts without repeats, null ones included, stay as they are.
     """
-    cut_out = remove_repeats(docs, least)
-    own = [c for c in cut_out.columns if c not in ("rest", "n_bytes", "n_removed", "n_spans")]
-    schema = cut_out.select(*(F.col(f"`{c}`") for c in own)).schema
+    own = [c for c in docs.columns if c not in ("rest", "n_bytes", "n_removed", "n_spans", *HELPERS)]
+    joined = _with_spans(docs, own, least, HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-            texts = [
-                t.as_py() if not n.as_py() else r.as_py().decode("utf-8", "ignore")
-                for t, n, r in zip(get("text"), get("n_removed"), get("rest"), strict=True)
+        for rest, texts in _to_cut(batches):
+            at = rest.schema.get_field_index("text")
+            kept = [
+                cut(data, spans)[0].decode("utf-8", "ignore") if spans else old.as_py()
+                for old, (data, spans) in zip(rest.column(at), texts, strict=True)
             ]
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).select(own)
+            yield rest.set_column(at, rest.schema.field(at), pa.array(kept, rest.schema.field(at).type))
 
-    return cut_out.mapInArrow(tidy(run), schema)
+    return joined.mapInArrow(tidy(run), joined.drop("_spans").schema)
 
 
 def removal_report(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
