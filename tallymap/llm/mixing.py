@@ -290,8 +290,7 @@ def fit_topics(measured: DataFrame, rounds: int = 20) -> Topics:
     """
     words = staged(measured.select("mix_row", "mix_words").dropDuplicates(["mix_row"]), "vectors")
     rarity = _rarity(words)
-    tasks = 2 * words.sparkSession.sparkContext.defaultParallelism  # each sums as it reads, so few make few partial sums
-    packed = staged(_packed(words, rarity), "packed").coalesce(tasks)
+    packed = staged(_packed(words, rarity), "packed")
     centres = np.zeros((0, BUCKETS))
     while len(centres) < TOPICS and (centre := _far(packed, centres)) is not None:
         centres = np.vstack([centres, centre])
