@@ -8,7 +8,8 @@ search the last bytes of its input, every window is followed by the same constan
 bytes, which end both dictionaries.  Both dictionaries share a part trained on
 ordinary text, so that common words cancel out and only the class parts differ.  The
 class parts hold the words whose rate in texts of the class exceeds their rate in the
-other by more than chance; such words of the toxic class are left out of the common part.
+other by more than chance, the clearest ones whole and the rest as far as training keeps it; such words of the toxic
+class are left out of the common part.
 Texts are counted whole, on Spark; what training collects is counts and features.
 
 A text's windows give four features: the share and the log count of windows that
@@ -19,7 +20,9 @@ a score.  Words come and go with the corpus, so nothing but bytes is used.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -127,20 +130,31 @@ def score_of(found: list[float], weights: tuple[float, ...]) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def _excess(words: dict[int, Counter], texts: Counter, label: int, w: bytes) -> float:
+    """Standard deviations by which texts of a class hold a window more often than its share of all texts would make likely."""
+    share = texts[label] / max(1, texts[0] + texts[1])
+    both = words[label][w] + words[1 - label][w]
+    return (words[label][w] - both * share) / math.sqrt(both * share * (1 - share) + 1)
+
+
 def class_words(words: dict[int, Counter], texts: Counter, label: int, excess: float) -> set[bytes]:
     """Windows that texts of a class hold more often than its share of all texts would make likely."""
-    share = texts[label] / max(1, texts[0] + texts[1])
-    found = set()
-    for w, n in words[label].items():
-        both = n + words[1 - label][w]
-        if n > 1 and n - both * share >= excess * math.sqrt(both * share * (1 - share) + 1):
-            found.add(w)
-    return found
+    return {w for w, n in words[label].items() if n > 1 and _excess(words, texts, label, w) >= excess}
+
+
+def _class_part(excess: dict[bytes, float], size: int) -> bytes:
+    """A class's windows whole, the largest excess last; where not all fit, half of the bytes are trained on the others by excess."""
+    ranked = sorted(excess, key=lambda w: (-excess[w], w))
+    ends = list(itertools.accumulate(len(w) + 2 for w in ranked))
+    whole = bisect.bisect_right(ends, size if not ends or ends[-1] <= size else size // 2)
+    kept = b"".join(b" " + w + b" " for w in reversed(ranked[:whole]))
+    rest = {w: max(1, round(excess[w])) for w in ranked[whole:]}
+    return (_dictionary(rest, size - size // 2) if rest else b"") + kept
 
 
-def _dictionary(words: Counter, size: int) -> bytes:
-    """Dictionary content trained on each window as often as its count has binary digits."""
-    samples = [b" " + w + b" " for w in sorted(words) for _ in range(words[w].bit_length())]
+def _dictionary(times: dict[bytes, int], size: int) -> bytes:
+    """Dictionary content trained on each window so many times."""
+    samples = [b" " + w + b" " for w in sorted(times) for _ in range(times[w])]
     random.Random(7).shuffle(samples)
     samples = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)]
     try:
@@ -240,11 +254,11 @@ def _word_counts(rows: DataFrame, settings: Settings) -> tuple[dict[int, Counter
 def _dictionaries(words: dict[int, Counter], texts: Counter, settings: Settings) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary; a class's part stands before the common one."""
     own = {label: class_words(words, texts, label, settings.excess) for label in (0, 1)}
-    common = _dictionary(Counter({w: n for w, n in words[0].items() if w not in own[1]}), settings.common_bytes)
-    have = set(common.split())
+    # Common windows count as often as their number has binary digits.
+    common = _dictionary({w: n.bit_length() for w, n in words[0].items() if w not in own[1]}, settings.common_bytes)
+    own[0] -= set(common.split())
     parts = {
-        1: _dictionary(Counter({w: words[1][w] for w in own[1]}), settings.class_bytes),
-        0: _dictionary(Counter({w: words[0][w] for w in own[0] if w not in have}), settings.class_bytes),
+        label: _class_part({w: _excess(words, texts, label, w) for w in own[label]}, settings.class_bytes) for label in (0, 1)
     }
     return tuple((parts[label] + b" " + common).replace(b" ", START) + TAIL for label in (1, 0))
 

@@ -32,3 +32,16 @@ def test_pieces_of_long_tokens_overlap():
         token = b"x" * at + b"horridword" + b"y" * (300 - at)
         assert any(b"horridword" in w for w in toxicity.windows(token))
         assert token.startswith(toxicity.windows(token)[0]) and token.endswith(toxicity.windows(token)[-1])
+
+
+def test_clearest_class_words_are_known_whole():
+    rng = np.random.default_rng(4)
+    parts = ["an", "the", "ing", "or", "es", "ly", "tion", "er", "wh", "st"]
+    weak = {"".join(rng.choice(parts, 4)).encode() for _ in range(4000)}
+    clear = b"idiot worthless moron clown trash pathetic disgusting stupid loser".split()
+    words = {0: Counter({b"the": 9000, b"of": 8000}), 1: Counter({b"the": 1000, b"of": 900} | dict.fromkeys(weak, 6) | dict.fromkeys(clear, 300))}
+    toxic, ordinary = toxicity._dictionaries(words, Counter({0: 9000, 1: 1000}), toxicity.Settings())
+    assert sum(map(len, weak)) > toxicity.Settings().class_bytes
+    assert all(toxicity.START + w + toxicity.START in toxic and w not in ordinary for w in clear)
+    distance = toxicity.Distance(toxicity.Model(toxic, ordinary, (), toxicity.Settings().level))
+    assert all(distance[w] > 0 for w in clear) and distance[b"the"] == 0
