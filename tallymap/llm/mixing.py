@@ -11,8 +11,8 @@ Every text is measured once, into a staged table that topics, cells and draws al
 
 Topics are clusters of whole texts by their words: log counts of hashed words, weighted by
 how rare they are.  Texts become vectors when they are measured, a block of texts at a time; rarity and the eight centres are
-then fitted on the vectors of all rows: these are weighed once, packed in blocks, and a pass over that staged
-table follows for each centre and each round.
+then fitted on the vectors of all rows: these are packed in blocks, and a pass over that staged table, which weighs them,
+follows for each centre and each round.
 Weights are whole steps, so that sums are exact and a fit does not depend on how rows are dealt out.
 """
 
@@ -44,8 +44,8 @@ WORDS = np.dtype([("at", "<u2"), ("log", "<f4")])
 ONE = float(1 << 24)
 #: Rows that are measured, packed and spelled out together.
 BLOCK = 128
-#: A block of weighed vectors: what its columns hold.
-PACKED = {"rows": np.dtype("<i8"), "sizes": np.dtype("<i4"), "at": np.dtype("<u2"), "weight": np.dtype("<i4")}
+#: A block of vectors, in columns: hashes, numbers of entries, classes, the distinct logs, and for each entry the place of its log.
+PACKED = {"rows": np.dtype("<i8"), "sizes": np.dtype("<i4"), "at": np.dtype("<u2"), "logs": np.dtype("<f4"), "code": None}
 #: White space besides ASCII's six.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACES, _MARKS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\v\f\r", MARKS.encode()))
@@ -158,14 +158,17 @@ def measures_of(text: Column) -> Column:
     return counted(text)
 
 
-def weighed(rows: list[bytes], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The entries of each row; and the class and weight of all, in steps of 1 / ``ONE``."""
-    found = np.frombuffer(b"".join(rows), WORDS)
-    sizes = np.array([len(r) // WORDS.itemsize for r in rows], np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    weight = found["log"] * rarity[found["at"]]
-    length = np.sqrt(np.bincount(row, weight * weight, len(rows)))
-    return sizes, found["at"], np.rint(ONE * weight / np.where(length > 0, length, 1)[row])
+def weighed(sizes: np.ndarray, at: np.ndarray, log: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the weight of each entry, in steps of 1 / ``ONE``, from rows' numbers of entries and what the entries hold."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    weight = log * rarity[at]
+    length = np.sqrt(np.bincount(row, weight * weight, len(sizes)))
+    return row, np.rint(ONE * weight / np.where(length > 0, length, 1)[row])
+
+
+def _entries(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of entries of each row; and the entries of all."""
+    return np.array([len(r) // WORDS.itemsize for r in rows], np.int64), np.frombuffer(b"".join(rows), WORDS)
 
 
 class _Alike:
@@ -175,11 +178,11 @@ class _Alike:
         self.centres = np.ascontiguousarray(centres.T)
         self.spelled = np.zeros((BLOCK, BUCKETS))
 
-    def __call__(self, sizes: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        place = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes) + at
+    def __call__(self, n: int, row: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        place = row * BUCKETS + at
         flat = self.spelled.reshape(-1)
         flat[place] = weight
-        alike = self.spelled[: len(sizes)] @ self.centres
+        alike = self.spelled[:n] @ self.centres
         flat[place] = 0
         return alike
 
@@ -196,7 +199,9 @@ class Topics:
         alike = _Alike(self.centres)
         nearest = [np.empty(0, np.int64)]
         for start in range(0, len(column), BLOCK):
-            nearest.append(np.argmax(alike(*weighed(column.slice(start, BLOCK).to_pylist(), self.rarity)), axis=1))
+            sizes, found = _entries(column.slice(start, BLOCK).to_pylist())
+            row, weight = weighed(sizes, found["at"], found["log"], self.rarity)
+            nearest.append(np.argmax(alike(len(sizes), row, found["at"], weight), axis=1))
         return pa.array(np.concatenate(nearest), pa.int32())
 
 
@@ -217,58 +222,72 @@ def _sums(rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
     return whole
 
 
-def _rarity(words: DataFrame) -> np.ndarray:
-    """The weight of each class of words, by the number of all rows that have it."""
-
-    def rows_with(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        n = np.zeros((1, BUCKETS), np.int64)
-        for batch in batches:
-            n[0] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), WORDS)["at"], minlength=BUCKETS)
-        return n
-
-    return np.log((1 + words.count()) / (1 + _sums(words.select("mix_words"), rows_with, 1)[0]))
+def _once(rows: DataFrame) -> DataFrame:
+    """Each of equal rows (``mix_row``) once; where few repeat, none but those are shuffled."""
+    repeated = staged(rows.groupBy("mix_row").count().where("count > 1").select("mix_row"), "repeated")
+    several = rows.join(repeated, "mix_row", "left_semi").dropDuplicates(["mix_row"])
+    return rows.join(repeated, "mix_row", "left_anti").unionByName(several)
 
 
-def _packed(words: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """Weighed vectors, some rows' together in one: hashes, numbers of entries, classes and weights; rows without a weight are left out."""
-    shared = words.sparkSession.sparkContext.broadcast(rarity)
+def _packed(words: DataFrame) -> DataFrame:
+    """Vectors, some rows' together in one (``PACKED``): an entry's log is sent as its place among the block's distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 few = batch.slice(start, BLOCK)
-                sizes, at, weight = weighed(few.column(0).to_pylist(), shared.value)
-                row = np.repeat(np.arange(len(sizes)), sizes)[weight > 0]
-                sizes = np.bincount(row, minlength=len(sizes))
-                made = [
-                    few.column(1).to_numpy()[sizes > 0], sizes[sizes > 0].astype(np.int32), at[weight > 0], weight[weight > 0].astype(np.int32),
-                ]
+                sizes, found = _entries(few.column(0).to_pylist())
+                logs = np.unique(found["log"])
+                code = np.searchsorted(logs, found["log"]).astype(_code_type(logs))
+                made = [few.column(1).to_numpy(), sizes.astype(np.int32), found["at"], logs, code]
                 yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in made], names=list(PACKED))
 
     return words.select("mix_words", "mix_row").mapInArrow(tidy(run), ", ".join(f"{n} binary" for n in PACKED))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Hashes, numbers of entries, classes and weights of some rows at a time."""
+def _code_type(logs: np.ndarray) -> np.dtype:
+    """The type of places among a block's distinct logs."""
+    return np.min_scalar_type(max(0, len(logs) - 1))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], rarity: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hashes of some rows at a time; and the row, class and weight of each of their entries."""
     for batch in batches:
         for i in range(batch.num_rows):
-            cells = [batch.column(k)[i].as_buffer() for k in range(len(PACKED))]
-            yield [np.frombuffer(cell, kind) for cell, kind in zip(cells, PACKED.values(), strict=True)]
+            *cells, code = (batch.column(k)[i].as_buffer() for k in range(len(PACKED)))
+            hashes, sizes, at, logs = (np.frombuffer(cell, kind) for cell, kind in zip(cells, PACKED.values(), strict=False))
+            row, weight = weighed(sizes, at, logs[np.frombuffer(code, _code_type(logs))], rarity)
+            yield hashes, row, at, weight
+
+
+def _rarity(packed: DataFrame) -> np.ndarray:
+    """The weight of each class of words, by the number of all rows that have it."""
+
+    def rows_with(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        n = np.zeros((1, BUCKETS), np.int64)
+        for batch in batches:
+            for cell in batch.column(0):
+                n[0] += np.bincount(np.frombuffer(cell.as_buffer(), PACKED["at"]), minlength=BUCKETS)
+        return n
+
+    rows = (packed.agg(F.sum(F.length("rows"))).first()[0] or 0) // PACKED["rows"].itemsize
+    return np.log((1 + rows) / (1 + _sums(packed.select("at"), rows_with, 1)[0]))
 
 
-def _far(packed: DataFrame, centres: np.ndarray) -> np.ndarray | None:
-    """The vector least like the known centres, of equals the row of the smallest hash."""
+def _far(packed: DataFrame, centres: np.ndarray, rarity: np.ndarray) -> np.ndarray | None:
+    """The vector least like the known centres, of equals the row of the smallest hash; rows without a weight are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         products, best = _Alike(centres), None
-        for hashes, sizes, at, weight in _unpacked(batches):
-            if len(hashes):
-                near = np.round(products(sizes, at, weight).max(axis=1, initial=0) / ONE**2, 9)
-                first = int(np.lexsort((hashes, near))[0])
+        for hashes, row, at, weight in _unpacked(batches, rarity):
+            some = np.flatnonzero(np.bincount(row, weight, len(hashes)))
+            if len(some):
+                near = np.round(products(len(hashes), row, at, weight).max(axis=1, initial=0) / ONE**2, 9)
+                first = some[np.lexsort((hashes[some], near[some]))[0]]
                 here = (float(near[first]), int(hashes[first]))
                 if best is None or here < best[0]:
-                    part = slice(sizes[:first].sum(), sizes[: first + 1].sum())
-                    best = here, at[part].tobytes(), weight[part].tobytes()
+                    part = row == first
+                    best = here, at[part].tobytes(), weight[part].astype(np.int32).tobytes()
         if best is not None:
             (near, h), at, weight = best
             made = [pa.array([near]), pa.array([h], pa.int64()), pa.array([at], pa.binary()), pa.array([weight], pa.binary())]
@@ -279,7 +298,7 @@ def _far(packed: DataFrame, centres: np.ndarray) -> np.ndarray | None:
     if found is None:
         return None
     centre = np.zeros(BUCKETS)
-    centre[np.frombuffer(found["at"], PACKED["at"])] = np.frombuffer(found["weight"], PACKED["weight"])
+    centre[np.frombuffer(found["at"], PACKED["at"])] = np.frombuffer(found["weight"], np.int32)
     return centre
 
 
@@ -288,11 +307,10 @@ def fit_topics(measured: DataFrame, rounds: int = 20) -> Topics:
 
     Rounds end when no centre moves.
     """
-    words = staged(measured.select("mix_row", "mix_words").dropDuplicates(["mix_row"]), "vectors")
-    rarity = _rarity(words)
-    packed = staged(_packed(words, rarity), "packed")
+    packed = staged(_packed(_once(measured.select("mix_row", "mix_words"))), "packed")
+    rarity = _rarity(packed)
     centres = np.zeros((0, BUCKETS))
-    while len(centres) < TOPICS and (centre := _far(packed, centres)) is not None:
+    while len(centres) < TOPICS and (centre := _far(packed, centres, rarity)) is not None:
         centres = np.vstack([centres, centre])
     if not len(centres):
         return Topics(rarity, np.zeros((1, BUCKETS)))
@@ -300,9 +318,9 @@ def fit_topics(measured: DataFrame, rounds: int = 20) -> Topics:
 
         def members(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> np.ndarray:
             products, whole = _Alike(centres), np.zeros(centres.size)
-            for _, sizes, at, weight in _unpacked(batches):
-                nearest = np.argmax(products(sizes, at, weight), axis=1)
-                whole += np.bincount(np.repeat(nearest * BUCKETS, sizes) + at, weight, whole.size)
+            for hashes, row, at, weight in _unpacked(batches, rarity):
+                nearest = np.argmax(products(len(hashes), row, at, weight), axis=1)
+                whole += np.bincount(nearest[row] * BUCKETS + at, weight, whole.size)
             return whole.reshape(centres.shape)
 
         sums = _sums(packed, members, len(centres))
