@@ -5,8 +5,9 @@ cells so that one margin after the other meets its target shares, until all do;
 a cell's fitted mass over its tokens is its documents' weight.  Documents are then
 drawn independently with a probability in proportion to the weight, decided by a
 hash of the row, so that a draw can be repeated.  Cells are few against documents
-but may be many (one per web host), so they stay a table that no step rewrites: a round makes a
-small table of factors for each margin from sums that are combined before the shuffle.
+but may be many (one per web host), so they stay a table that no step rewrites: a round makes one
+small table of factors for all margins, from sums that are combined before the shuffle.  Values of margins are numbered
+first, so that a plan's joins are on whole numbers and small, and the driver holds few of them.
 Every text is measured once, into a staged table that topics, cells and draws all read.
 
 Topics are clusters of whole texts by their words: log counts of hashed words, weighted by
@@ -18,6 +19,7 @@ Weights are whole steps, so that sums are exact and a fit does not depend on how
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import staged, text_or_empty, tidy
@@ -352,14 +354,37 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return raised.select(margin, (F.col("n") / whole).alias("target"))
 
 
-def _with_factors(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-    """Cells with each margin's factor (``_<margin>``) and ``fitted``, their share times all factors."""
-    mass = cells.withColumn("fitted", F.col("_share"))
+def _coded(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """Cells with their share of all tokens; and for each margin the number of its value (``_<margin>``) and the value's target."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    coded = cells.withColumn("_share", F.col("tokens") / total)
+    for margin, target in targets.items():
+        known = target.where("target > 0").select(F.col(margin).alias("_known"), F.col("target").cast("double").alias(f"_target_{margin}"))
+        values = cells.select(F.col(margin).alias("_value")).distinct().join(known, F.col("_value").eqNullSafe(F.col("_known")), "left")
+        numbered = staged(values.select("_value", f"_target_{margin}", F.monotonically_increasing_id().alias(f"_{margin}")), "values")
+        coded = coded.join(numbered, F.col(margin).eqNullSafe(F.col("_value"))).drop("_value")
+    return staged(coded, "coded")
+
+
+def _with_factors(coded: DataFrame, factors: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """Coded cells with each margin's factor (``_factor_<margin>``); and their share times all factors."""
+    mass = F.col("_share")
     for margin, table in factors.items():
-        named = table.select("_value", F.col("factor").alias(f"_{margin}"))
-        mass = mass.join(named, F.col(margin).eqNullSafe(F.col("_value"))).drop("_value")
-        mass = mass.withColumn("fitted", F.col("fitted") * F.col(f"_{margin}"))
-    return mass
+        named = table.select(F.col("number").alias(f"_{margin}"), F.col("factor").alias(f"_factor_{margin}"))
+        coded = coded.join(named, f"_{margin}")
+        mass = mass * F.col(f"_factor_{margin}")
+    return coded, mass
+
+
+def _scaled(coded: DataFrame, factors: dict[str, DataFrame], margin: str) -> DataFrame:
+    """(margin, number, factor, gap): of each value, the factor that meets its target, and how far its share was from that."""
+    cells, mass = _with_factors(coded, factors)
+    factor = F.first(f"_factor_{margin}") if margin in factors else F.lit(1.0)
+    share, target = F.sum(mass), F.first(f"_target_{margin}")
+    wanted = F.coalesce(target, share)
+    return cells.groupBy(F.col(f"_{margin}").alias("number")).agg(
+        F.lit(margin).alias("margin"), (factor * wanted / share).alias("factor"), F.abs(wanted - share).alias("gap")
+    )
 
 
 def rake(
@@ -370,32 +395,28 @@ def rake(
     A margin value without a target keeps its share; targets of absent values are spread over the others.
     Rounds end when no share is off by more than ``tolerance``; ``residual`` is how far the worst one was before its last
     scaling, which stays large where targets cannot be met together.  No cells give none.
+
+    A round is one job: margin after margin is scaled within one plan, whose parts share their joins and sums.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    base = cells.withColumn("_share", F.col("tokens") / total)
+    coded = _coded(cells, targets)
+    if coded.isEmpty():
+        return cells.select("*", F.lit(0.0).alias("fitted"), F.lit(0.0).alias("residual"))
     factors: dict[str, DataFrame] = {}
     worst = 0.0
     for _ in range(rounds):
-        gaps = []
-        for margin, target in targets.items():
-            known = target.where("target > 0").select(
-                F.col(margin).alias("_known"), F.col("target").cast("double").alias("target")
-            )
-            mass = _with_factors(base, factors)
-            before = F.first(f"_{margin}") if margin in factors else F.lit(1.0)
-            sums = mass.groupBy(F.col(margin).alias("_value")).agg(F.sum("fitted").alias("share"), before.alias("factor"))
-            wanted = F.coalesce("target", "share")
-            scaled = sums.join(known, F.col("_value").eqNullSafe(F.col("_known")), "left").select(
-                "_value", (F.col("factor") * wanted / F.col("share")).alias("factor"), F.abs(wanted - F.col("share")).alias("gap")
-            )
-            factors[margin] = staged(scaled, "factors")
-            gaps.append(factors[margin].agg(F.max("gap")).first()[0] or 0.0)
-        worst = max(gaps)
+        parts = []
+        for margin in targets:
+            factors[margin] = _scaled(coded, factors, margin)
+            parts.append(factors[margin])
+        gaps = Observation()
+        made = staged(functools.reduce(DataFrame.unionAll, parts).observe(gaps, F.max("gap").alias("worst")), "factors")
+        factors = {margin: made.where(F.col("margin") == margin) for margin in targets}
+        worst = gaps.get["worst"] or 0.0
         if worst <= tolerance:
             break
-    mass = _with_factors(base, factors)
-    norm = mass.agg(F.sum("fitted")).first()[0] or 1.0
-    return mass.withColumn("fitted", F.col("fitted") / norm).select(*cells.columns, "fitted", F.lit(worst).alias("residual"))
+    found, mass = _with_factors(coded, factors)
+    norm = found.agg(F.sum(mass)).first()[0] or 1.0
+    return found.select(*cells.columns, (mass / norm).alias("fitted"), F.lit(worst).alias("residual"))
 
 
 def calibrate(fitted: DataFrame, keep: float) -> float:
