@@ -359,7 +359,8 @@ def _coded(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     coded = cells.withColumn("_share", F.col("tokens") / total)
     for margin, target in targets.items():
-        known = target.where("target > 0").select(F.col(margin).alias("_known"), F.col("target").cast("double").alias(f"_target_{margin}"))
+        wanted = F.col("target").cast("double").alias(f"_target_{margin}")
+        known = target.where("target > 0").select(F.col(margin).alias("_known"), wanted)
         values = cells.select(F.col(margin).alias("_value")).distinct().join(known, F.col("_value").eqNullSafe(F.col("_known")), "left")
         numbered = staged(values.select("_value", f"_target_{margin}", F.monotonically_increasing_id().alias(f"_{margin}")), "values")
         coded = coded.join(numbered, F.col(margin).eqNullSafe(F.col("_value"))).drop("_value")
