@@ -10,6 +10,7 @@ Rows are packed into blocks, anchors into smaller ones, both staged in the share
 Every pair of blocks is one row of a join over numbered groups, and yields only the
 best few per anchor; the rest of the choice is a window.  A first pass finds the positives.
 Their scores give each anchor's windows, in which a second pass finds the negatives.
+Joins are merge joins by hint, so that no side is gathered on the driver.
 
 A row with a null id, label or vector, or with a null or non-finite component, takes no
 part; nor does one whose squared length reaches 2^61, since its scores would not fit a long.  Shorter
@@ -179,11 +180,12 @@ def _pairs(blocks: DataFrame, chunks: DataFrame, groups: int) -> DataFrame:
     """Every block next to every chunk: blocks are dealt over groups, each group gets all chunks.
 
     Chunks hold the anchors only, the small side; a group is some blocks, so what is sent stays a
-    fraction of the scores that are computed from it.
+    fraction of the scores that are computed from it.  Spark's estimate of the copies leaves out how many
+    there are, so it would broadcast them at any number of groups.
     """
     dealt = blocks.drop("anchors").withColumn("dealt", F.pmod(F.xxhash64("block"), F.lit(groups)))
     copies = chunks.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return copies.join(dealt, "dealt")
+    return copies.hint("merge").join(dealt, "dealt")
 
 
 CANDIDATE = "chunk long, anchor long, anchor_id long, slot int, row long, vec_id long, score long"
@@ -251,17 +253,18 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, settings: Settings = Sett
     spark = rows.sparkSession
     marked = rows.select("vec_id", "embedding", "label", F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"))
     blocks = staged(packed(marked, settings), "vector-blocks")
-    size = blocks.agg(F.max("largest").alias("largest"), F.sum(F.length("parts")).alias("bytes")).first()
+    size = blocks.agg(F.max("largest").alias("largest"), F.sum(F.length("parts")).alias("bytes"), F.count("*").alias("n")).first()
     primes = primes_for(size.largest or 0.0)
     groups = max(partitions(spark), math.ceil((size.bytes or 0) / settings.group_bytes))
+    groups = max(1, min(groups, 2 * size.n))  # a group without a block gets all chunks too
     chunks = staged(anchor_chunks(blocks, settings), "anchor-chunks")
     near = _candidates(_pairs(blocks, chunks, groups), primes, settings, windows=False)
     positives = staged(_ranked(near, settings.positives, "anchor").withColumn("slot", F.col("rank")), "positives")
     windows = positives.groupBy("chunk").agg(F.collect_list(F.struct("anchor", "slot", "score")).alias("windows"))
-    far = _candidates(_pairs(blocks, chunks.join(windows, "chunk"), groups), primes, settings, windows=True)
+    far = _candidates(_pairs(blocks, chunks.join(windows.hint("merge"), "chunk"), groups), primes, settings, windows=True)
     ranked = _ranked(far, settings.negatives, "anchor", "slot")
     found = positives.select("anchor", "slot", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return ranked.join(found, ["anchor", "slot"]).select(
+    return ranked.join(found.hint("merge"), ["anchor", "slot"]).select(
         "anchor_id",
         "positive_id",
         F.col("rank").cast("int"),
